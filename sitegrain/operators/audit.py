@@ -126,7 +126,7 @@ def content_rules() -> dict[str, tuple[Column, Column | None]]:
         "multiple-h1": (c("h1_count") > 1, _text(c("h1_count"), " H1 tags")),
         "missing-alt": (some("images_missing_alt"), _text(c("images_missing_alt"), " of ", c("images"), " images")),
         "slow-page": (c("ttfb_ms") > 1000, _text(c("ttfb_ms"), " ms")),
-        "large-page": (c("html_bytes") > 1024 * 1024, _text(F.format_number(c("html_bytes") / (1024 * 1024), "0.0"), " MB")),
+        "large-page": (c("html_bytes") > 1024 * 1024, _text(F.format_string("%.1f", c("html_bytes") / (1024 * 1024)), " MB")),
         "low-word-count": (indexable & (words < 200), _text(words, " words")),
         "missing-viewport": (~F.coalesce(c("viewport"), F.lit(False)), None),
         "mixed-content": (some("mixed_content"), _text(c("mixed_content"), " insecure resource(s)")),

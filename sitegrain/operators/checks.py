@@ -114,7 +114,7 @@ def page_check_registry() -> list[Check]:
         Check("kw-h1", "Keyword", 1, when(kw, when(F.exists("h1", _contains), PASS).otherwise(WARN))),
         Check("kw-url", "Keyword", 1, when(kw, when(_contains(slug), PASS).otherwise(WARN))),
         Check("kw-intro", "Keyword", 1, when(kw, when(_contains(intro), PASS).otherwise(WARN))),
-        Check("kw-density", "Keyword", 1, when(kw, _warn_if((hits == 0) | (density > 4))), F.format_number(density, "0.00")),
+        Check("kw-density", "Keyword", 1, when(kw, _warn_if((hits == 0) | (density > 4))), F.format_string("%.2f", density)),
         Check("internal-links", "Links", 1, _warn_if(F.size(links) - external == 0), (F.size(links) - external).cast("string")),
         Check("nofollow-internal", "Links", 1, when(nofollow_in > 0, WARN), nofollow_in.cast("string")),
         Check("anchor-text", "Links", 1, _warn_if(no_text > 0), no_text.cast("string")),

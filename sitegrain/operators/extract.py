@@ -189,7 +189,7 @@ def scan(html: str, page_url: str) -> tuple[list[dict], str, str]:
 def scan_pages(pages: DataFrame, html: str = "html", url: str = "url", text_only: bool = False) -> DataFrame:
     """Adds ``nodes``, ``all_text`` and ``main_text``; with ``text_only`` the node array is left out of the transfer."""
     keep = [f for f in pages.schema.fields if f.name != html]
-    out = T.StructType(keep + ([] if text_only else [T.StructField("nodes", T._parse_datatype_string(NODE_SCHEMA))])
+    out = T.StructType(keep + ([] if text_only else [T.StructField("nodes", T.DataType.fromDDL(NODE_SCHEMA))])
                        + [T.StructField("all_text", T.StringType()), T.StructField("main_text", T.StringType())])
     node_type = pa.list_(pa.struct([
         ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("url", pa.string()),

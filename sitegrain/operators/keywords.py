@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import phrases as ph
@@ -189,14 +189,13 @@ def recent_searches(log: DataFrame, stored: int = 30) -> DataFrame:
     return top_n(once, ["user_id"], [F.col("at").desc(), F.col("tool"), F.col("_q")], stored, "position").drop("_q")
 
 
-def share_of_total(df: DataFrame, value: str, key: str) -> DataFrame:
-    """Percent of the column total per row, one decimal; the total is a one-row aggregate."""
-    total = df.agg(F.sum(value).alias("_total"))
-    pct = F.floor(F.col(value) / F.nullif(F.col("_total"), F.lit(0)) * 1000 + 0.5) / 10
-    return df.join(F.broadcast(total)).withColumn("pct", pct).drop("_total")
+def share_of_total(df: DataFrame, value: str) -> DataFrame:
+    """Percent of the column total per row, one decimal; the total is a scalar subquery."""
+    total = F.nullif(df.agg(F.sum(value)).scalar(), F.lit(0))
+    return df.withColumn("pct", F.floor(F.col(value) / total * 1000 + 0.5) / 10)
 
 
 def duplicates_flagged(df: DataFrame, key: str, order: str) -> DataFrame:
     """First row per key wins; later rows are flagged."""
-    window = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("is_duplicate", F.row_number().over(window) > 1)
+    first = df.groupBy(key).agg(F.min(order).alias("_first"))
+    return df.join(first, key).withColumn("is_duplicate", F.col(order) > F.col("_first")).drop("_first")

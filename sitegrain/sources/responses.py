@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RESPONSE_SCHEMA = T._parse_datatype_string(
+RESPONSE_SCHEMA = (
     "site string, url string, final_url string, status int, error string, error_code string, content_type string,"
     " content_encoding string, headers map<string,string>, ttfb_ms int, total_ms int, transfer_bytes bigint, body binary,"
     " fetched_at timestamp, ord bigint, redirects array<struct<url:string,status:int,location:string>>,"
