@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,7 +48,10 @@ TITLE_PX, TITLE_LIMIT_PX = 20, 600
 SNIPPET_PX, SNIPPET_LIMIT_PX = 14, 920
 
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}'’-]*"
+# A sentence end: text, end marks, then space or the end. Anchored to the last match or end mark, so it never rescans.
+SENTENCE_TEMPLATE = r"(?:\G|(?<=[.!?]))[^.!?]++[.!?]++(?:%s|\z)"
 SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SENTENCE = SENTENCE_TEMPLATE % SPACE
 
 
 def js_round(value: Column) -> Column:
@@ -70,37 +75,54 @@ def count_words(text: Column) -> Column:
 
 
 def count_syllables(word: Column) -> Column:
-    letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    core = F.regexp_replace(F.regexp_replace(letters, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
-    groups = F.regexp_count(core, F.lit("[aeiouy]{1,2}"))
-    return F.when(letters == "", 0).when(F.length(letters) <= 3, 1).otherwise(F.greatest(F.lit(1), groups))
+    def count(letters: Column) -> Column:
+        core = F.regexp_replace(F.regexp_replace(letters, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
+        groups = F.regexp_count(core, F.lit("[aeiouy]{1,2}"))
+        return F.when(letters == "", 0).when(F.length(letters) <= 3, 1).otherwise(F.greatest(F.lit(1), groups))
+
+    return let(F.regexp_replace(F.lower(word), "[^a-z]", ""), count)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def readability(text: Column) -> Column:
     """struct<sentences, words, words_per_sentence, flesch, label>; null below 30 words."""
     words = F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z'’-]*"), F.lit(0))
-    n_words = F.size(words)
-    sentences = F.greatest(F.lit(1), F.regexp_count(text, F.lit(rf"[^.!?]+[.!?]+(?:{SPACE}|\z)")))
-    syllables = F.aggregate(words, F.lit(0), lambda total, w: total + count_syllables(w))
-    per_sentence = n_words.cast("double") / sentences
-    raw = F.lit(206.835) - F.lit(1.015) * per_sentence - F.lit(84.6) * (syllables.cast("double") / n_words)
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw))
-    label = (
-        F.when(score >= 80, "Very easy")
-        .when(score >= 70, "Easy")
-        .when(score >= 60, "Plain English")
-        .when(score >= 50, "Fairly difficult")
-        .when(score >= 30, "Difficult")
-        .otherwise("Very difficult")
-    )
-    result = F.struct(
-        sentences.alias("sentences"),
-        n_words.alias("words"),
-        (js_round(per_sentence * 10) / 10).alias("words_per_sentence"),
-        js_round(score).cast("int").alias("flesch"),
-        label.alias("label"),
-    )
-    return F.when(n_words >= 30, result)
+    sentences = F.greatest(F.lit(1), F.regexp_count(text, F.lit(SENTENCE)))
+
+    def measure(w: Column) -> Column:
+        syllables = F.aggregate(w, F.lit(0), lambda total, one: total + count_syllables(one))
+        return F.struct(F.size(w).alias("words"), sentences.alias("sentences"), syllables.alias("syllables"))
+
+    def rate(m: Column) -> Column:
+        per_sentence = m["words"].cast("double") / m["sentences"]
+        raw = F.lit(206.835) - F.lit(1.015) * per_sentence - F.lit(84.6) * (m["syllables"].cast("double") / m["words"])
+        return F.struct(
+            m["sentences"].alias("sentences"),
+            m["words"].alias("words"),
+            (js_round(per_sentence * 10) / 10).alias("words_per_sentence"),
+            F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)).alias("score"),
+        )
+
+    def label(r: Column) -> Column:
+        score = r["score"]
+        band = (
+            F.when(score >= 80, "Very easy")
+            .when(score >= 70, "Easy")
+            .when(score >= 60, "Plain English")
+            .when(score >= 50, "Fairly difficult")
+            .when(score >= 30, "Difficult")
+            .otherwise("Very difficult")
+        )
+        return F.struct(
+            r["sentences"].alias("sentences"), r["words"].alias("words"), r["words_per_sentence"].alias("words_per_sentence"),
+            js_round(score).cast("int").alias("flesch"), band.alias("label"),
+        )
+
+    return let(words, lambda w: F.when(F.size(w) >= 30, let(let(measure(w), rate), label)))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -7,6 +7,7 @@ table grows with the given tables; none is sampled or cut.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -112,7 +113,9 @@ def with_landed(sql: str) -> str:
     return f"WITH {ctes}, {body[4:]}" if body.upper().startswith("WITH") else f"WITH {ctes} {body}"
 
 
+@lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; the lazy reader is kept, so its schema is read once per session."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
