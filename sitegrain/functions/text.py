@@ -88,14 +88,30 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def total_syllables(words: Column) -> Column:
+    """Sum of ``count_syllables`` over an array of Latin words, by a few passes over the joined text instead of one per word."""
+    joined = F.regexp_replace(F.lower(F.array_join(words, " ")), "[^a-z ]", "")
+
+    def count(text: Column) -> Column:
+        long_ = F.regexp_replace(text, "(?<![a-z])[a-z]{1,3}(?![a-z])", "")
+        core = F.regexp_replace(F.regexp_replace(long_, "(?:[^laeiouy ]es|ed|[^laeiouy ]e)(?![a-z])", ""), "(?<![a-z])y", "")
+        return F.struct(F.regexp_count(long_, F.lit("[a-z]+")).alias("n_long"), core.alias("core"))
+
+    def add(c: Column) -> Column:
+        groups = F.regexp_count(c["core"], F.lit("[aeiouy]{1,2}"))
+        voiced = F.regexp_count(c["core"], F.lit("[b-df-hj-np-tv-xz]*+[aeiouy][a-z]*"))
+        return F.size(words) + groups - voiced
+
+    return let(let(joined, count), add)
+
+
 def readability(text: Column) -> Column:
     """struct<sentences, words, words_per_sentence, flesch, label>; null below 30 words."""
     words = F.regexp_extract_all(text, F.lit("[A-Za-z][A-Za-z'’-]*"), F.lit(0))
     sentences = F.greatest(F.lit(1), F.regexp_count(text, F.lit(SENTENCE)))
 
     def measure(w: Column) -> Column:
-        syllables = F.aggregate(w, F.lit(0), lambda total, one: total + count_syllables(one))
-        return F.struct(F.size(w).alias("words"), sentences.alias("sentences"), syllables.alias("syllables"))
+        return F.struct(F.size(w).alias("words"), sentences.alias("sentences"), total_syllables(w).alias("syllables"))
 
     def rate(m: Column) -> Column:
         per_sentence = m["words"].cast("double") / m["sentences"]
@@ -159,10 +175,9 @@ def content_hash(text: Column) -> Column:
         code = F.ascii(ch).cast("bigint")
         high = F.lit(0xD7C0) + F.shiftright(code, 10)
         low = F.lit(0xDC00) + code.bitwiseAND(F.lit(0x3FF))
-        return F.when(code < 65536, step(h, code)).otherwise(step(step(h, high), low))
+        return F.when(ch == "", h).when(code < 65536, step(h, code)).otherwise(step(step(h, high), low))
 
-    normal = squeeze(F.lower(text))
-    chars = F.filter(F.split(normal, ""), lambda c: c != "")
+    chars = F.split(squeeze(F.lower(text)), "")
     return F.lower(F.lpad(F.hex(F.aggregate(chars, F.lit(2166136261).cast("bigint"), fold)), 8, "0"))
 
 

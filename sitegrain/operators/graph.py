@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import urls as ur
 from sitegrain.operators.ranking import fan_out, hot_keys, spread
-from sitegrain.session import cut_lineage
+from sitegrain.session import cut_lineage, forget
 
 
 def graph_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -39,10 +39,12 @@ def click_depths(starts: DataFrame, edges: DataFrame, rows_per_part: int = 1_000
                 .agg(F.min(F.col("depth") + F.col("w")).alias("found"))
             )
             better = F.col("found").isNotNull() & (F.col("depth").isNull() | (F.col("found") < F.col("depth")))
-            seen = cut_lineage(
+            grown = cut_lineage(
                 seen.drop("fresh").join(reached, ["site", "url"], "full_outer")
                 .select("site", "url", F.least("depth", "found").alias("depth"), better.alias("fresh"))
             )
+            forget(seen)
+            seen = grown
             if seen.where("fresh").isEmpty():
                 return seen.drop("fresh")
     finally:

@@ -13,6 +13,10 @@ from sitegrain.functions import urls as ur
 from sitegrain.operators.ranking import top_n
 
 
+# The suggestion sources.
+SOURCES = ["amazon", "bing", "duckduckgo", "google", "youtube"]
+
+
 def top_ngrams(texts: DataFrame, key: str, text: str, n: int, limit: int = 15) -> DataFrame:
     """Most frequent phrases of n words per text with their share of its words.
 
@@ -33,17 +37,17 @@ def idea_scores(suggestions: DataFrame) -> DataFrame:
     Every appearance adds 1/position; each further source adds a quarter; the best keyword of a seed is 100. The maximum per
     seed is a partial aggregate joined back, so a seed with very many ideas is never one task.
     """
-    rows = suggestions.select("seed", "source", F.posexplode("suggestions").alias("at", "raw"))
-    keyword = tx.squeeze(F.lower("raw"))
-    clean = rows.select("seed", "source", (F.col("at") + 1).alias("position"), keyword.alias("keyword")).where(
-        (F.col("keyword") != "") & (F.length("keyword") <= 120))
-    by_place = clean.groupBy("seed", "keyword", "source", "position").agg(F.count("*").alias("n"))
-    ideas = by_place.groupBy("seed", "keyword").agg(
-        F.sort_array(F.collect_list(F.struct("position", "n"))).alias("_p"), F.sort_array(F.collect_set("source")).alias("sources"),
-        F.min("position").alias("best_position"), F.sum("n").alias("appearances"))
-    # Summed in position order so that equal inputs give equal doubles whatever the partitioning.
-    raw = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p["n"] / p["position"])
-    weighted = ideas.withColumn("raw", raw * (1 + 0.25 * (F.size("sources") - 1))).drop("_p")
+    # Cleaned inside the array, so that each text is cleaned once and filters see the finished column.
+    clean = F.transform("suggestions", lambda s: tx.squeeze(F.lower(s)))
+    rows = suggestions.select("seed", "source", F.posexplode(clean).alias("at", "keyword")).where((F.col("keyword") != "") & (F.length("keyword") <= 120))
+    position = F.col("at") + 1
+    # Shares are summed as integers (units of 2^-40), so the sum does not depend on the order of rows.
+    share = F.sum(F.floor(F.lit(2.0**40) / position))
+    heard = [F.max(F.col("source") == name).alias(f"_{name}") for name in SOURCES]
+    ideas = rows.groupBy("seed", "keyword").agg(share.alias("_share"), F.min(position).alias("best_position"), F.count("*").alias("appearances"), *heard)
+    sources = F.filter(F.array(*[F.when(F.col(f"_{n}"), F.lit(n)) for n in SOURCES]), lambda n: n.isNotNull())
+    named = ideas.select("seed", "keyword", "_share", "best_position", "appearances", sources.alias("sources"))
+    weighted = named.withColumn("raw", F.col("_share") / F.lit(2.0**40) * (1 + 0.25 * (F.size("sources") - 1)))
     best = weighted.groupBy("seed").agg(F.max("raw").alias("best"))
     score = F.greatest(F.lit(1), F.floor(F.col("raw") / F.greatest(F.col("best"), F.lit(1e-9)) * 100 + 0.5)).cast("int")
     return weighted.join(best, "seed").select(
@@ -115,11 +119,11 @@ def candidate_phrases(sites: DataFrame, limit: int = 14) -> DataFrame:
     found = F.concat(
         tag(brand, "brand"), tag(F.filter(F.array(name), lambda n: n != ""), "brand"), tag(stems(title), "title"),
         tag(F.flatten(F.transform(h1, stems)), "h1"), tag(h2, "h2"), tag(frequent, "content"))
-    rows = sites.join(label, "domain").select("domain", F.transform(words, ph.stem).alias("topic"), F.posexplode(found).alias("ord", "f"))
-    phrase = ph.drop_year(ph.normalize_phrase(F.col("f.raw")))
-    on_topic = F.arrays_overlap(F.transform(F.split("phrase", " "), ph.stem), F.col("topic"))
-    kept = rows.select("domain", "topic", "ord", phrase.alias("phrase"), F.col("f.origin").alias("origin")).where(
-        ph.acceptable(F.col("phrase")) & (~F.col("origin").isin("h2", "content") | on_topic))
+    # Normalised inside the array: the filter below then reads a finished column instead of repeating the work per condition.
+    cleaned = F.transform(found, lambda f: F.struct(ph.drop_year(ph.normalize_phrase(f["raw"])).alias("phrase"), f["origin"].alias("origin")))
+    rows = sites.join(label, "domain").select("domain", F.transform(words, ph.stem).alias("topic"), F.posexplode(cleaned).alias("ord", "f"))
+    on_topic = F.arrays_overlap(F.transform(F.split("f.phrase", " "), ph.stem), F.col("topic"))
+    kept = rows.where(ph.acceptable(F.col("f.phrase")) & (~F.col("f.origin").isin("h2", "content") | on_topic)).select("domain", "ord", "f.phrase", "f.origin")
     merged = kept.groupBy("domain", "phrase").agg(F.collect_set("origin").alias("_o"), F.min("ord").alias("ord"))
     listed = merged.select("domain", F.col("phrase").alias("keyword"), ph.origin_list(F.col("_o")).alias("found_in"), "ord")
     order = F.array_position(F.array(*[F.lit(o) for o in ph.ORIGINS]), F.get("found_in", F.lit(0)))

@@ -9,6 +9,7 @@ from sitegrain.functions import urls as ur
 from sitegrain.operators import audit, graph, ranking, robots
 from sitegrain.plans.catalog import query
 from sitegrain.plans.landed import derive, landed
+from sitegrain.session import cut_lineage
 from sitegrain.sources import responses, sinks
 
 
@@ -141,10 +142,12 @@ ALL = f"""WITH RECURSIVE {FULL}, targets AS (SELECT e.site, e.src, e.dst, coales
 
 
 def findings_of(spark, d):
+    """All findings. Pages and edges feed many rules, so they are written once, as a crawl would have landed them."""
     sites = graph.host_checks(landed(spark, d, "sites"), landed(spark, d, "host_probes"))
-    pages = pages_of(spark, d).join(audit.inlink_counts(edges_of(spark, d)).select("site", "url", "inlinks"), ["site", "url"], "left")
-    pages = pages.withColumn("inlinks", F.coalesce("inlinks", F.lit(0)))
-    return audit.find_issues(pages, edges_of(spark, d), landed(spark, d, "image_links"), landed(spark, d, "external_links"), landed(spark, d, "link_checks"), sites)
+    edges = cut_lineage(edges_of(spark, d))
+    pages = pages_of(spark, d).join(audit.inlink_counts(edges).select("site", "url", "inlinks"), ["site", "url"], "left")
+    pages = cut_lineage(pages.withColumn("inlinks", F.coalesce("inlinks", F.lit(0))))
+    return audit.find_issues(pages, edges, landed(spark, d, "image_links"), landed(spark, d, "external_links"), landed(spark, d, "link_checks"), sites)
 
 
 @query("page_issues", f"WITH {FULL} {PAGE_ISSUES}")
@@ -200,7 +203,7 @@ def site_issues(spark, d):
 @query("issue_rollup", ALL + """SELECT site, issue, severity, count(*) AS count, array_to_string(list_slice(list(url ORDER BY url, detail NULLS FIRST), 1, 500), ' ') AS urls
     FROM findings GROUP BY site, issue, severity""")
 def issue_rollup(spark, d):
-    return audit.issue_rollup(findings_of(spark, d)).withColumn("urls", F.array_join(F.transform("urls", lambda u: u["url"]), " "))
+    return audit.issue_rollup(cut_lineage(findings_of(spark, d))).withColumn("urls", F.array_join(F.transform("urls", lambda u: u["url"]), " "))
 
 
 @query("severity_totals", ALL + """SELECT site, severity, CAST(sum(n) AS BIGINT) AS findings, count(*) AS issue_types FROM
@@ -429,7 +432,7 @@ def sitemap_summary(spark, d):
 @query("issues_export", ALL + """SELECT site, severity, issue, url, CASE WHEN regexp_matches(coalesce(detail, ''), '^[=+\\-@\t\r]') THEN '''' ELSE '' END || coalesce(detail, '') AS detail FROM
     (SELECT *, row_number() OVER (PARTITION BY site, issue ORDER BY url, detail NULLS FIRST) AS rn FROM findings) q WHERE rn <= 500""")
 def issues_export(spark, d):
-    return sinks.csv_safe(sinks.issues_export(audit.issue_rollup(findings_of(spark, d))))
+    return sinks.csv_safe(sinks.issues_export(audit.issue_rollup(cut_lineage(findings_of(spark, d)))))
 
 
 @query("concurrent_jobs", """SELECT user_id, CAST(max(run) AS BIGINT) AS peak FROM (SELECT user_id, sum(delta) OVER (PARTITION BY user_id ORDER BY ts, delta, event_id ROWS UNBOUNDED PRECEDING) AS run

@@ -189,8 +189,7 @@ SYLLABLES = """CASE WHEN l = '' THEN 0 WHEN length(l) <= 3 THEN 1 ELSE greatest(
     CASE WHEN score >= 80 THEN 'Very easy' WHEN score >= 70 THEN 'Easy' WHEN score >= 60 THEN 'Plain English' WHEN score >= 50 THEN 'Fairly difficult' WHEN score >= 30 THEN 'Difficult'
     ELSE 'Very difficult' END AS label FROM f""")
 def readability(spark, d):
-    # Dealt by document so that one file of texts keeps every core busy.
-    rows = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", tx.readability(F.col("text")).alias("r"))
+    rows = table(spark, d, "documents").select("doc_id", tx.readability(F.col("text")).alias("r"))
     return rows.where("r is not null").select("doc_id", "r.*")
 
 
@@ -200,7 +199,7 @@ NORMAL = "trim(regexp_replace(lower(text), '[\\s ]+', ' ', 'g'))"
 @query("content_hashes", f"""SELECT doc_id, printf('%08x', list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split({NORMAL}, ''), lambda c: unicode(c)::UBIGINT)),
     lambda h, c: (xor(h, c) * 16777619::UBIGINT) & 4294967295::UBIGINT)) AS content_hash FROM documents WHERE {NORMAL} <> ''""")
 def content_hashes(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return docs.where(tx.squeeze(F.col("text")) != "").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"))
 
 

@@ -28,7 +28,7 @@ def suggestion_lists(spark, d):
 
 IDEAS = f"""placed AS (SELECT seed, engine, keyword, position, count(*) AS n FROM (SELECT seed, engine, unnest(l) AS keyword, unnest(range(1, len(l) + 1)) AS position FROM
     (SELECT seed, engine, {PAIRS} AS l FROM suggestion_texts WHERE ok) x) y WHERE length(keyword) <= 120 GROUP BY ALL),
-    raw AS (SELECT seed, keyword, list_sum(list_transform(list((n / position) ORDER BY position, n), lambda v: v)) * (1 + 0.25 * (count(DISTINCT engine) - 1)) AS raw,
+    raw AS (SELECT seed, keyword, sum(n * floor(1099511627776.0::DOUBLE / position)) / 1099511627776.0::DOUBLE * (1 + 0.25 * (count(DISTINCT engine) - 1)) AS raw,
     array_to_string(list_sort(list_distinct(list(engine))), ' ') AS sources, min(position) AS best_position, CAST(sum(n) AS BIGINT) AS appearances FROM placed GROUP BY seed, keyword),
     ideas AS (SELECT *, CAST(greatest(1, floor(raw / max(raw) OVER (PARTITION BY seed) * 100 + 0.5)) AS INT) AS score FROM raw)"""
 
@@ -109,7 +109,7 @@ def candidates_of(spark, d):
     return keywords.candidate_phrases(rows)
 
 
-PHRASE_ROWS = """cand AS (SELECT domain, k AS keyword, string_agg(o, ' ' ORDER BY p) AS found_in, min(p) AS first_place, min(i) AS ord FROM (SELECT domain, k, o, min(p) AS p, min(i) AS i FROM (
+PHRASE_ROWS = f"""cand AS (SELECT domain, k AS keyword, string_agg(o, ' ' ORDER BY p) AS found_in, min(p) AS first_place, min(i) AS ord FROM (SELECT domain, k, o, min(p) AS p, min(i) AS i FROM (
     SELECT 'best-' || lower(p_type) || p_partkey || '.com' AS domain, unnest(['best ' || lower(p_type) || p_partkey, 'best' || lower(p_type) || p_partkey, replace(lower(p_brand), '#', ' '),
     p_name || ' for home use today', split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2), replace(lower(p_brand), '#', ' '), p_name || ' guide', p_name || ' reviews',
     split_part(p_name, ' ', 1) || ' price']) AS k, unnest(['brand', 'brand', 'brand', 'title', 'title', 'title', 'h1', 'h2', 'content']) AS o, unnest([1, 1, 1, 2, 2, 2, 3, 4, 5]) AS p, unnest(range(9)) AS i FROM part) x
@@ -418,8 +418,8 @@ def section_status(spark, d):
     return domains.section_rows(out).groupBy("section", "status").agg(F.count("*").alias("domains"))
 
 
-@query("recent_searches", """SELECT user_id, tool, query, CAST(rn AS INT) AS position FROM (SELECT user_id, tool, query, row_number() OVER (PARTITION BY user_id ORDER BY at DESC, tool, lower(query)) AS rn FROM
-    (SELECT *, row_number() OVER (PARTITION BY user_id, tool, lower(query) ORDER BY at DESC) AS k FROM search_log) l WHERE k = 1) q WHERE rn <= 30""")
+@query("recent_searches", """SELECT user_id, tool, query, CAST(rn AS INT) AS position FROM (SELECT user_id, tool, query, row_number() OVER (PARTITION BY user_id ORDER BY "at" DESC, tool, lower(query)) AS rn FROM
+    (SELECT *, row_number() OVER (PARTITION BY user_id, tool, lower(query) ORDER BY "at" DESC) AS k FROM search_log) l WHERE k = 1) q WHERE rn <= 30""")
 def recent_searches(spark, d):
     return keywords.recent_searches(landed(spark, d, "search_log")).select("user_id", "tool", "query", "position")
 

@@ -11,10 +11,16 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sitegrain.session import balanced
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations"]
 
 
+# Tables whose rows cost much work each; see ``balanced``.
+TEXT_TABLES = ["documents", "pages"]
+
+
 def s(expr: str) -> str:
     return f"CAST({expr} AS STRING)"
 
@@ -116,7 +122,8 @@ def with_landed(sql: str) -> str:
 @lru_cache(maxsize=256)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; the lazy reader is kept, so its schema is read once per session."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(scan) if name in TEXT_TABLES else scan
 
 
 def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
