@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitegrain.functions import urls as ur
 from sitegrain.operators.graph import redirect_chains
 from sitegrain.operators.ranking import count_with_examples, top_n
+from sitegrain.session import cut_lineage
 
 # Issue ids and severities.
 SEVERITY = {
@@ -201,27 +202,44 @@ def link_targets(edges: DataFrame, pages: DataFrame, checks: DataFrame) -> DataF
     return joined.withColumn("status", F.coalesce("_page", "_check")).drop("_page", "_check").where(F.col("status") != -1)
 
 
-def _per_source(rows: DataFrame, issue: str, n: int, detail) -> DataFrame:
-    found = count_with_examples(rows, ["site", "src"], "item", n)
-    return found.select("site", F.lit(issue).alias("issue"), F.col("src").alias("url"), detail(F.col("count"), F.col("examples")).alias("detail"))
+def link_rows(targets: DataFrame) -> DataFrame:
+    """Broken and redirecting targets per source page, ``(site, src, issue, item)``."""
+    s = F.col("status")
+    label = F.concat("dst", F.lit(" ("), F.when(s == 0, "failed").otherwise(s.cast("string")), F.lit(")"))
+    broken, moved = broken_internal(s), s.between(300, 399)
+    return targets.where(broken | moved).select(
+        "site", "src", F.when(broken, "broken-internal-links").otherwise("links-to-redirect").alias("issue"), F.when(broken, label).otherwise(F.col("dst")).alias("item"))
+
+
+def image_rows(images: DataFrame, checks: DataFrame) -> DataFrame:
+    """``images(site, src, dst)`` are distinct page and image pairs."""
+    bad = checks.where(broken_image(F.col("status"), F.col("code"))).select("site", F.col("url").alias("dst"))
+    return images.join(bad, ["site", "dst"]).select("site", "src", F.lit("broken-images").alias("issue"), F.col("dst").alias("item"))
+
+
+def source_findings(rows: DataFrame) -> DataFrame:
+    """Findings per source page from ``(site, src, issue, item)`` rows: how many items, and the first few."""
+    found = count_with_examples(rows, ["site", "src", "issue"], "item", 3)
+    n, e, issue = F.col("count"), F.col("examples"), F.col("issue")
+    listed = lambda k: F.concat(_text(n, " broken: "), F.array_join(F.slice(e, 1, k), ", "))
+    detail = (
+        F.when(issue == "links-to-redirect", F.concat(_text(n, " link(s), e.g. "), F.get(e, F.lit(0))))
+        .when(issue == "broken-internal-links", F.concat(listed(3), F.when(n > 3, "…").otherwise("")))
+        .otherwise(listed(2))
+    )
+    return found.select("site", "issue", F.col("src").alias("url"), detail.alias("detail"))
 
 
 def broken_link_issues(targets: DataFrame) -> DataFrame:
-    label = F.concat("dst", F.lit(" ("), F.when(F.col("status") == 0, "failed").otherwise(F.col("status").cast("string")), F.lit(")"))
-    rows = targets.where(broken_internal(F.col("status"))).select("site", "src", label.alias("item"))
-    return _per_source(rows, "broken-internal-links", 3, lambda n, e: F.concat(_text(n, " broken: "), F.array_join(e, ", "), F.when(n > 3, "…").otherwise("")))
+    return source_findings(link_rows(targets).where("issue = 'broken-internal-links'"))
 
 
 def redirect_link_issues(targets: DataFrame) -> DataFrame:
-    rows = targets.where(F.col("status").between(300, 399)).select("site", "src", F.col("dst").alias("item"))
-    return _per_source(rows, "links-to-redirect", 1, lambda n, e: F.concat(_text(n, " link(s), e.g. "), F.get(e, F.lit(0))))
+    return source_findings(link_rows(targets).where("issue = 'links-to-redirect'"))
 
 
 def broken_image_issues(images: DataFrame, checks: DataFrame) -> DataFrame:
-    """``images(site, src, dst)`` are distinct page and image pairs."""
-    bad = checks.where(broken_image(F.col("status"), F.col("code"))).select("site", F.col("url").alias("dst"))
-    rows = images.join(bad, ["site", "dst"]).select("site", "src", F.col("dst").alias("item"))
-    return _per_source(rows, "broken-images", 2, lambda n, e: F.concat(_text(n, " broken: "), F.array_join(e, ", ")))
+    return source_findings(image_rows(images, checks))
 
 
 def check_sources(edges: DataFrame, checks: DataFrame, n: int = 20) -> DataFrame:
@@ -230,12 +248,15 @@ def check_sources(edges: DataFrame, checks: DataFrame, n: int = 20) -> DataFrame
     return top_n(rows, ["site", "dst"], [F.col("ord"), F.col("src")], n)
 
 
-def broken_external_issues(edges: DataFrame, checks: DataFrame) -> DataFrame:
-    """Only the first 20 source pages of an external URL are told about it."""
+def external_rows(edges: DataFrame, checks: DataFrame) -> DataFrame:
+    """Only the first 20 source pages of a broken external URL are told about it."""
     label = F.concat("dst", F.lit(" ("), F.when(F.col("status") == 0, F.col("code")).otherwise(F.col("status").cast("string")), F.lit(")"))
     bad = checks.where(broken_external(F.col("status"), F.col("code")))
-    rows = check_sources(edges, bad).select("site", "src", label.alias("item"))
-    return _per_source(rows, "broken-external-links", 2, lambda n, e: F.concat(_text(n, " broken: "), F.array_join(e, ", ")))
+    return check_sources(edges, bad).select("site", "src", F.lit("broken-external-links").alias("issue"), label.alias("item"))
+
+
+def broken_external_issues(edges: DataFrame, checks: DataFrame) -> DataFrame:
+    return source_findings(external_rows(edges, checks))
 
 
 def canonical_issues(pages: DataFrame) -> DataFrame:
@@ -281,11 +302,10 @@ def find_issues(pages: DataFrame, edges: DataFrame, images: DataFrame, externals
     facts = sites.select("site", F.col("final_url").startswith("https:").alias("https_site"), "limit_reached")
     raw = inlink_counts(edges).select("site", "url", "raw_inlinks")
     full = pages.join(facts, "site").join(raw, ["site", "url"], "left")
-    targets = link_targets(edges, pages, checks)
-    parts = [
-        site_issues(sites), page_issues(full), duplicate_issues(pages), redirect_issues(pages), canonical_issues(pages),
-        broken_link_issues(targets), redirect_link_issues(targets), broken_image_issues(images, checks), broken_external_issues(externals, checks),
-    ]
+    # The rows behind the per-source findings feed a count and a top-n; they are written once so that no join runs twice.
+    rows = [link_rows(link_targets(edges, pages, checks)), image_rows(images, checks), external_rows(externals, checks)]
+    per_source = source_findings(cut_lineage(reduce(DataFrame.unionByName, rows)))
+    parts = [site_issues(sites), page_issues(full), duplicate_issues(pages), redirect_issues(pages), canonical_issues(pages), per_source]
     return with_severity(reduce(DataFrame.unionByName, parts))
 
 

@@ -147,7 +147,8 @@ def findings_of(spark, d):
     edges = cut_lineage(edges_of(spark, d))
     pages = pages_of(spark, d).join(audit.inlink_counts(edges).select("site", "url", "inlinks"), ["site", "url"], "left")
     pages = cut_lineage(pages.withColumn("inlinks", F.coalesce("inlinks", F.lit(0))))
-    return audit.find_issues(pages, edges, landed(spark, d, "image_links"), landed(spark, d, "external_links"), landed(spark, d, "link_checks"), sites)
+    images, externals, checks = (cut_lineage(landed(spark, d, n)) for n in ("image_links", "external_links", "link_checks"))
+    return audit.find_issues(pages, edges, images, externals, checks, sites)
 
 
 @query("page_issues", f"WITH {FULL} {PAGE_ISSUES}")
