@@ -399,9 +399,6 @@ def robots_summary(spark, d):
 
 
 # Sitemaps: an index per site names one file per group of ten pages; each file lists its pages.
-SITEMAPS = """SELECT site, 'https://' || site || '.example.com/index.xml' AS sitemap, 'index' AS kind, '' AS pages_text, CAST(NULL AS BIGINT) AS grp FROM sites"""
-
-
 def sitemap_files(spark, d):
     pages = landed(spark, d, "site_pages").where("in_sitemap").withColumn("grp", F.floor(F.col("ord") / 10))
     base = F.concat(F.lit("https://"), "site", F.lit(".example.com/"))

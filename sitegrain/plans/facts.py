@@ -128,15 +128,11 @@ VOLUMES_BEST = "SELECT keyword, max(volume) AS volume FROM (" + VOLUME_ROWS + ")
 @query("keywords_from_volumes", f"""WITH {PHRASE_ROWS}, vol AS ({VOLUMES_BEST}) SELECT domain, keyword, volume, CASE WHEN volume >= 10000 THEN 'High' WHEN volume >= 1000 THEN 'Medium' ELSE 'Low' END AS level,
     CAST(row_number() OVER (PARTITION BY domain ORDER BY volume DESC, first_place, ord) AS INT) AS rank FROM cand JOIN vol USING (keyword) WHERE volume > 0 QUALIFY rank <= 10""")
 def keywords_from_volumes(spark, d):
-    volumes = derive(spark, d, VOLUMES_BEST.replace("split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 1)"))
+    volumes = derive(spark, d, VOLUMES_BEST)
     return keywords.keywords_from_volumes(candidates_of(spark, d), volumes).select("domain", "keyword", "volume", "level", "rank")
 
 
 # Prefix lists: every start of a part name of at least half its length suggests it, third after two rivals.
-PREFIXES = """SELECT name, substr(name, 1, n) AS prefix FROM (SELECT DISTINCT p_name AS name FROM part) p CROSS JOIN (SELECT DISTINCT CAST(p_size AS INT) AS n FROM part) s
-    WHERE n BETWEEN length(name) / 2 AND length(name)"""
-
-
 def prefix_lists(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
     starts = F.explode(F.sequence(F.ceil(F.length("name") / 2).cast("int"), F.length("name")))
@@ -173,9 +169,6 @@ def merged_volumes(spark, d):
     return keywords.merge_volumes(requested, js.parse_volumes(raw)).select("p_partkey", "volume")
 
 
-RANK_JSON = "SELECT * FROM rank_history"
-
-
 def rank_bodies(spark, d):
     """One rank answer per domain and year, as the service would have sent it."""
     rows = landed(spark, d, "rank_history").withColumns({"date": F.col("date").cast("string"), "year": F.year("date")})
