@@ -411,6 +411,7 @@ def client_rendered(spark, d):
     return docs.select(F.col("doc_id").alias("page_id"), extract.looks_client_rendered(html, words, F.lit(0), F.array().cast("array<string>")).alias("shell"))
 
 
-@query("phrase_normalisation", None)
+@query("phrase_normalisation", r"""SELECT item_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}''&+.\s-]', ' ', 'g'), '\s+'),
+    lambda w: regexp_replace(w, '^[-''.&+]+|[-''.&]+$', '', 'g')), lambda w: w <> ''), ' ') AS phrase FROM benchmark""")
 def phrase_normalisation(spark, d):
     return table(spark, d, "benchmark").select("item_id", ph.normalize_phrase(F.col("text")).alias("phrase"))

@@ -143,8 +143,11 @@ def prefix_lists(spark, d):
 VOLUME_FORMULA = "(7.6::DOUBLE - 0.45::DOUBLE * (plen + 3 * (1 - least(10, 1)::DOUBLE / 10)) - log10(3.0::DOUBLE))"
 
 
-@query("volume_estimates", f"""SELECT keyword, prefix, CAST(floor(v / pow(10, floor(log10(v))) + 0.5) * pow(10, floor(log10(v))) AS BIGINT) AS volume FROM (SELECT keyword, substr(keyword, 1, CAST(plen AS INT)) AS prefix,
-    pow(10.0, least(8.0, greatest(1.0, {VOLUME_FORMULA}))) AS v FROM (SELECT DISTINCT p_name AS keyword, ceil(length(p_name) / 2) AS plen FROM part) p) q""")
+ESTIMATES = f"""SELECT keyword, prefix, CAST(floor(v / pow(10, floor(log10(v))) + 0.5) * pow(10, floor(log10(v))) AS BIGINT) AS volume FROM (SELECT keyword, substr(keyword, 1, CAST(plen AS INT)) AS prefix,
+    pow(10.0, least(8.0, greatest(1.0, {VOLUME_FORMULA}))) AS v FROM (SELECT DISTINCT p_name AS keyword, ceil(length(p_name) / 2) AS plen FROM part) p) q"""
+
+
+@query("volume_estimates", ESTIMATES)
 def volume_estimates(spark, d):
     names = table(spark, d, "part").select(F.col("p_name").alias("keyword")).distinct()
     best = keywords.shortest_prefixes(names, prefix_lists(spark, d))
@@ -152,11 +155,12 @@ def volume_estimates(spark, d):
     return best.select("keyword", "prefix", volume.alias("volume"))
 
 
-@query("keywords_from_estimates")
+@query("keywords_from_estimates", f"""WITH est AS ({ESTIMATES}) SELECT 'p' || p_partkey || '.com' AS domain, keyword, volume, prefix AS typed_prefix,
+    CASE WHEN volume >= 10000 THEN 'High' WHEN volume >= 1000 THEN 'Medium' ELSE 'Low' END AS level, 1 AS rank FROM part JOIN est ON keyword = p_name""")
 def keywords_from_estimates(spark, d):
     named = derive(spark, d, "SELECT 'p' || CAST(p_partkey AS STRING) || '.com' AS domain, p_name AS keyword FROM part").withColumns(
         {"found_in": F.array(F.lit("title")), "origin_order": F.lit(2), "position": F.lit(1)})
-    return keywords.keywords_from_estimates(named, prefix_lists(spark, d)).drop("found_in")
+    return keywords.keywords_from_estimates(named, prefix_lists(spark, d)).select("domain", "keyword", "volume", "typed_prefix", "level", "rank")
 
 
 @query("merged_volumes", """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(floor(p_retailprice) AS BIGINT) END AS volume FROM part""")
