@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sitegrain.session import cut_lineage, forget
@@ -21,10 +21,11 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         near = both.join(state.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("best"))
         step = state.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "best").alias("component"))
         after = state.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        settled = cut_lineage(step.join(after, "component", "left").select("node", "was", F.least("component", F.coalesce("next", "component")).alias("component")))
-        changed = settled.where("was <> component").limit(1).count()
+        jumped = step.join(after, "component", "left").select("node", "was", F.least("component", F.coalesce("next", "component")).alias("component"))
+        seen = Observation()
+        settled = cut_lineage(jumped.observe(seen, F.count(F.when(F.col("was") != F.col("component"), 1)).alias("changed")).select("node", "component"))
         forget(state)
-        state = settled.select("node", "component")
-        state.settled_path = settled.settled_path
-        if not changed:
+        state = settled
+        if not seen.get["changed"]:
+            forget(edges)
             return state

@@ -7,10 +7,11 @@ smaller and equal registers, given the two known set sizes, gives the similarity
 on their full sets. Links make components.
 
 How it stays linear and whole under skew: equal sets become one class before anything else. A bucket is not expanded into its
-pairs: its first member is compared with the others, which joins most of a group of near copies, and a second such round follows
-with a member of another component. What is left in a bucket in more than one component is compared in blocks of sketches, so that
-no pair of a bucket goes unseen, and only pairs that may be similar and whose components differ leave the block. Rows lost with
-an executor are computed again: every table between rounds is written to the shared folder.
+pairs: its first member is compared with the others. The buckets whose members are then in more than one group of likely pairs are compared
+in blocks of sketches, so that no pair of a bucket goes unseen; of a block only as many pairs come out as join its groups. Every link
+lies within such a group, so a group's members meet once more in blocks, now with their full sets, most similar pairs first; a pair
+whose documents are joined already needs no look. Rows lost with an executor are computed again: every table between steps is
+written to the shared folder.
 
 Defined results: a null or wordless text has no shingles and is linked with nothing. A row whose id is null has no component
 (null) and is kept. A repeated row counts as one document. Where rows share an id but not a set, and the id is the smallest of both
@@ -28,14 +29,14 @@ from pyspark.sql import functions as F
 
 from sitegrain.llm.common import bytes_of, mix, own_columns, slices
 from sitegrain.llm.components import components
-from sitegrain.session import cut_lineage, forget
+from sitegrain.session import cut_lineage
 
 #: Fixed sketch parameters: base and truncation of the register scale, rate of the exponentials.
 BASE, LIMIT, RATE = 1.001, 2**16 - 2, 20.0
 #: Bands and registers in a band. A pair at similarity 0.8 shares no band with a probability of (1 - 0.8 ** 6) ** 50 < 3e-7.
 BANDS, ROWS = 50, 6
-#: Rows of sketches that are compared with as many others at a time.
-BLOCK = 512
+#: Rows of a block, and bytes of their sets, that are compared with as many others at a time.
+BLOCK, BLOCK_BYTES = 1024, 8_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -177,13 +178,17 @@ def _estimates(share: int, n: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            a, b = (_sketches(batch.column(c)) for c in ("sketch_a", "sketch_b"))
             j = likely_similarity((a > b).sum(1), (a < b).sum(1), (a == b).sum(1), *(batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")))
             yield batch.filter(pa.array(j >= least)).select(["a", "b"])
 
     return run
 
 
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,41 +202,88 @@ def _sets(width: int):
     return run
 
 
-def _confirm(share: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= share * (len(x) + len(y) - common))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+class _Joined:
+    """Which members of a block are joined."""
+
+    def __init__(self, names: np.ndarray):
+        self.of = {x: x for x in names.tolist()}
+
+    def root(self, x: int) -> int:
+        while self.of[x] != x:
+            self.of[x] = x = self.of[self.of[x]]
+        return x
+
+    def join(self, a: int, b: int) -> None:
+        self.of[self.root(a)] = self.root(b)
+
+
+def _likely_pairs(rows: pa.Table, apart: np.ndarray, share: int, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others, similarities) of each row with the later rows that may be similar to it and, in a pair of blocks, are in the other one."""
+    least, sketch, size, block = _least_estimate(share, n), _sketches(rows.column("sketch")), rows.column("n").to_numpy(), rows.column("block").to_numpy()
+    across = len(np.unique(rows.column("x").to_numpy())) and rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
+    for i in range(len(size) - 1):
+        close = (100 * np.minimum(size[i], size[i + 1 :]) >= share * np.maximum(size[i], size[i + 1 :])) & (apart[i] != apart[i + 1 :])
+        other = i + 1 + np.flatnonzero(close & (block[i] != block[i + 1 :]) if across else close)
+        if len(other):
+            a, c = sketch[i], sketch[other]
+            j = likely_similarity((a > c).sum(1), (a < c).sum(1), (a == c).sum(1), np.full(len(other), float(size[i])), size[other].astype(float))
+            if (j >= least).any():
+                yield i, other[j >= least], j[j >= least]
+
+
+def _pairs_table(pairs: list[tuple[int, int]]) -> pa.Table:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _join_groups(share: int, n: int):
+    """Of a block of a bucket, as many likely pairs as join its members' groups."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        name, group = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+        joined, out = _Joined(np.unique(group)), []
+        for i, other, _ in _likely_pairs(rows, group, share, n):
+            for j in other.tolist():
+                if joined.root(int(group[i])) != joined.root(int(group[j])):
+                    joined.join(int(group[i]), int(group[j]))
+                    out.append((int(name[i]), int(name[j])))
+        return _pairs_table(out)
 
     return run
 
 
-def _in_blocks(share: int, n: int):
-    """Pairs of one block of a bucket with another (or itself) that may be similar and are not in one component yet."""
-    least = _least_estimate(share, n)
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        a_id, b_id, a_of, b_of, a_n, b_n = (t.column(c).to_numpy() for c in ("id", "component", "n") for t in (left, right))
-        b = np.frombuffer(b"".join(right.column("sketch").to_pylist()), np.uint16).reshape(len(b_id), -1)
-        found: list[np.ndarray] = []
-        for i, sketch in enumerate(left.column("sketch").to_pylist()):
-            other = np.flatnonzero((b_of != a_of[i]) & (b_id > a_id[i]) & (100 * np.minimum(a_n[i], b_n) >= share * np.maximum(a_n[i], b_n)))
-            if len(other):
-                a, c = np.frombuffer(sketch, np.uint16), b[other]
-                j = likely_similarity((a > c).sum(1), (a < c).sum(1), (a == c).sum(1), np.full(len(other), float(a_n[i])), b_n[other].astype(float))
-                other = other[j >= least]
-                found.append(np.stack([np.full(len(other), a_id[i]), b_id[other]]))
-        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+def _confirmed(share: int, n: int):
+    """Of a block of a group, as many links, confirmed on full sets, as join all that a link joins."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        name, items = rows.column("id").to_numpy(), rows.column("items")
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in (items.combine_chunks() if isinstance(items, pa.ChunkedArray) else items)]
+        joined, out = _Joined(np.arange(len(name))), []
+        found = [(np.full(len(other), i), other, j) for i, other, j in _likely_pairs(rows, np.arange(len(name)), share, n)]
+        if found:
+            left, right, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            for at in np.argsort(-j, kind="stable").tolist():
+                x, y = int(left[at]), int(right[at])
+                if joined.root(x) != joined.root(y):
+                    both = np.sort(np.concatenate([sets[x], sets[y]]), kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= share * (len(both) - common):
+                        joined.join(x, y)
+                        out.append((int(name[x]), int(name[y])))
+        return _pairs_table(out)
 
     return run
 
 
+def _block_pairs(rows: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
+    """Each row once for each pair of blocks (x <= y) of its key that its own block is in; ``blocks`` says how many a key has."""
+    dealt = rows.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).drop("blocks")
+    return dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, share: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row: groups of documents linked by ``100 * common >= share * union`` of their shingle sets of ``width`` words.
 
@@ -243,34 +295,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = rows_of.where("n > 0 AND id IS NOT NULL")
     # one class for each set; a hot class is added up before the shuffle
     classes = cut_lineage(full.groupBy("f1", "f2", "n").agg(F.min("id").alias("id")))
-    chosen = classes.groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("s")).select("id", "s.f1", "s.f2", "s.n")
-    reps = cut_lineage(full.join(chosen, ["id", "f1", "f2", "n"], "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"))
-
-    members = cut_lineage(reps.select("id", "sketch").mapInArrow(_bands(bands, rows), "bucket long, id long"))
-    shared = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = cut_lineage(members.join(shared, "bucket"))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs, those that hold on the full sets."""
-        a, b = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
-        likely = cut_lineage(pairs.join(a, "a").join(b, "b").where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(share) * F.greatest("n_a", "n_b")).mapInArrow(_estimates(share, n), "a long, b long"))
-        wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-        sets = cut_lineage(docs.join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id long, items binary").dropDuplicates(["id"]))
-        out = cut_lineage(likely.join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b").mapInArrow(_confirm(share), "a long, b long"))
-        forget(likely)
-        forget(sets)
-        return out
-
-    links = linked(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    found = components(links, "a", "b")
-    open_members = cut_lineage(_unsettled(members.select("bucket", "id"), found))
-    pivots = open_members.groupBy("bucket").agg(F.min(F.struct("component", "id")).alias("low"), F.max(F.struct("component", "id")).alias("high"))
-    far = open_members.join(pivots, "bucket")
-    star = far.where("component <> low.component").select(F.col("low.id").alias("p"), F.col("id").alias("q")).union(far.where("component <> high.component").select(F.col("high.id").alias("p"), F.col("id").alias("q")))
-    links = links.union(linked(star.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()))
-    found = components(links, "a", "b")
-    left = cut_lineage(_unsettled(open_members.select("bucket", "id"), found))
-    links = links.union(linked(_block_pairs(left, reps, share, n)))
+    chosen = classes.groupBy("id").agg(F.min(F.struct("f1", "f2", "n")).alias("s"))
+    # merge joins throughout: the plan is the same at every size
+    reps = full.join(chosen.hint("merge"), "id").where("f1 = s.f1 AND f2 = s.f2 AND n = s.n").dropDuplicates(["id"])
+    reps = cut_lineage(reps.select("id", "n", "sketch"))
+
+    banded = reps.select("id", "sketch").mapInArrow(_bands(bands, rows), "bucket long, id long")
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    members = cut_lineage(banded.join(shared.hint("merge"), "bucket"))
+    a, b = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(F.lit(100) * F.least("n_a", "n_b") >= F.lit(share) * F.greatest("n_a", "n_b"))
+    likely = cut_lineage(stars.mapInArrow(_estimates(share, n), "a long, b long"))
+
+    groups = components(likely, "a", "b")
+    of = members.join(groups.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    blocks = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low <> high").select("bucket", "blocks")
+    mixed = _block_pairs(of.join(reps, "id"), "bucket", blocks)
+    more = cut_lineage(mixed.groupBy("bucket", "x", "y").applyInArrow(_join_groups(share, n), "a long, b long"))
+
+    groups = components(likely.union(more), "a", "b")
+    sets = docs.join(groups.select(F.col("node").alias("id")).hint("merge"), "id", "left_semi").mapInArrow(_sets(width), "id long, items binary")
+    grouped = cut_lineage(groups.withColumnRenamed("node", "id").join(reps.hint("merge"), "id").join(sets.hint("merge"), "id").where(F.length("items") == 8 * F.col("n")).dropDuplicates(["id"]))
+    blocks = grouped.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("items")) / BLOCK_BYTES)).alias("blocks"))
+    links = _block_pairs(grouped, "component", blocks).groupBy("component", "x", "y").applyInArrow(_confirmed(share, n), "a long, b long")
     found = components(links, "a", "b")
 
     of_class = rows_of.select("id", "n", "f1", "f2").join(classes.withColumnRenamed("id", "rep"), ["f1", "f2", "n"], "left")
@@ -278,20 +326,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = of_class.select("id", "n", node.alias("node")).join(found.select(F.col("node"), "component"), "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets whose members are in more than one component, with the component of each."""
-    of = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("bucket", "size")
-    return of.join(mixed, "bucket")
-
-
-def _block_pairs(left: DataFrame, reps: DataFrame, share: int, n: int) -> DataFrame:
-    """Every pair of a bucket, compared by sketch in blocks; only those that may be similar come out."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = left.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("blocks", blocks).join(reps, "id")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = dealt.select("bucket", "id", "component", "n", "sketch", F.col("block").alias("x"), F.explode(every).alias("y"))
-    columns = dealt.select("bucket", "id", "component", "n", "sketch", F.explode(every).alias("x"), F.col("block").alias("y")).toDF("bucket", "id", "component", "n", "sketch", "x", "y")
-    return rows.groupBy("bucket", "x", "y").cogroup(columns.groupBy("bucket", "x", "y")).applyInArrow(_in_blocks(share, n), "a long, b long").distinct()
