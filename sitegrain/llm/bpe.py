@@ -10,8 +10,28 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words a worker remembers; beyond, it starts anew. Only speed depends on it.
-REMEMBERED = 400_000
+#: Words of a generation that a worker remembers; those of the last two are known. Only speed depends on it.
+REMEMBERED = 300_000
+
+
+class Memory:
+    """What was found for the words met of late."""
+
+    def __init__(self) -> None:
+        self.found: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words that nothing is known of; all others can be read from ``found`` until the next call."""
+        if len(self.found) > REMEMBERED:
+            self.older, self.found = self.found, {}
+        new = []
+        for word in words.difference(self.found):
+            if word in self.older:
+                self.found[word] = self.older[word]
+            else:
+                new.append(word)
+        return new
 
 
 class Encoder:
@@ -21,7 +41,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary_specials
         self.specials = [] if ordinary_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.words = Memory()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -30,15 +50,13 @@ class Encoder:
         whole = [i for i, t in enumerate(texts) if "  " in t or t.endswith(" ") or any(s in t for s in self.specials)]
         other = set(whole)
         split = [None if i in other else t.split(" ") for i, t in enumerate(texts)]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = set()
+        met: set[str] = set()
         for words in split:
             if words:
-                new.update(words[1:])
-        new = list(new - self.words.keys())
-        self.words.update(zip(new, self._ids([f" {w}" for w in new]), strict=True))
-        known = self.words.__getitem__
+                met.update(words[1:])
+        new = self.words.missing(met)
+        self.words.found.update(zip(new, self._ids([f" {w}" for w in new]), strict=True))
+        known = self.words.found.__getitem__
         starts = iter(self._ids([words[0] for words in split if words]))
         wholes = iter(self._ids([texts[i] for i in whole]))
         return [next(wholes) if words is None else next(starts) + b"".join(map(known, words[1:])) for words in split]

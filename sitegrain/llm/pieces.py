@@ -23,10 +23,9 @@ from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
+from sitegrain.llm.bpe import Memory
 from sitegrain.llm.common import bytes_of, own_columns, slices
 
-#: Words a worker remembers; beyond, it starts anew. Only speed depends on it.
-REMEMBERED = 400_000
 MARK = "▁"
 # Fixed values of the model format: kinds of pieces, kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -120,8 +119,9 @@ class Codec:
         self.model = Model(data)
         self.tokenizer = backend(self.model)
         self.reference = SentencePieceProcessor(model_proto=data)
+        self.last_space = np.asarray([i for i, p in enumerate(self.model.pieces) if p[0] == MARK][:1], "<i4").tobytes(), True
         self.controls = np.asarray([k in (CONTROL,) for _, _, k in self.model.pieces])
-        self.words: dict[str, tuple[bytes, bool]] = {}
+        self.words = Memory()
 
     def backend_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -133,25 +133,22 @@ class Codec:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Of each text its ids as little-endian 32-bit bytes, and whether backend and reference agree."""
         split = [t.split(" ") if self.model.by_word and t and t[0] != " " and "  " not in t and MARK not in t else None for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        new = set()
+        met: set[str] = set()
         for words in split:
             if words:
-                new.update(words)
-        new = list(new - self.words.keys())
+                met.update(words)
+        new = [w for w in self.words.missing(met) if w]
         # the leading marker of each is that of its word; a lone marker is what follows a last space
-        self.words.update(zip([w for w in new if w], self._checked([w for w in new if w]), strict=True))
-        if "" in new:
-            at = next(i for i, p in enumerate(self.model.pieces) if p[0] == MARK)
-            self.words[""] = np.asarray([at], "<i4").tobytes(), True
+        known = self.words.found
+        known.update(zip(new, self._checked(new), strict=True))
+        known[""] = self.last_space
         whole = iter(self._checked([t for t, words in zip(texts, split, strict=True) if words is None]))
         out = []
         for words in split:
             if words is None:
                 out.append(next(whole))
             else:
-                found = [self.words[w] for w in words]
+                found = [known[w] for w in words]
                 out.append((b"".join([f[0] for f in found]), all(f[1] for f in found)))
         return out
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm import impact_index, language, near_dups, packing, personal_data, token_counts, vector_tree
+from sitegrain.llm import html_text, impact_index, language, near_dups, packing, personal_data, pieces, token_counts, vector_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,15 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     counts = [F.size(F.filter("spans", lambda s, k=kind: s.kind == k)).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS]
     return found.select("doc_id", *counts, F.sha2(listed(F.filter("spans", lambda s: s.rule)), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op4_pieces")
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    both = pieces.encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return both.select("doc_id", F.size("ids").alias("n_tokens"), "ids", "parity", F.sha2("decoded", 256).alias("decoded_sha256"))
