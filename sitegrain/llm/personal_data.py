@@ -26,8 +26,8 @@ from sitegrain.llm.common import bytes_of, own_columns, slices
 from sitegrain.llm.tagger import Tagger, classes
 
 KINDS = ("email", "ip", "card", "phone")
-#: Windows to train on at most, passes over them, characters of a window, and how far windows are apart.
-TRAINING, EPOCHS, WIDTH, STRIDE = 1500, 5, 96, 48
+#: Windows to train on at most, steps of training, characters of a window, and how far windows are apart.
+TRAINING, STEPS, WIDTH, STRIDE = 1500, 120, 96, 48
 #: Characters around a digit or an at sign that are looked at with it.
 AROUND = 32
 
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> Tagger | None:
     chosen = found.distinct().orderBy(F.xxhash64("text"), "text", "tags").limit(TRAINING).collect()
     if not chosen:
         return None
-    return Tagger(2 * len(KINDS) + 1).fit(np.stack([classes(r.text, WIDTH) for r in chosen]), np.asarray([r.tags for r in chosen]), EPOCHS)
+    return Tagger(2 * len(KINDS) + 1).fit(np.stack([classes(r.text, WIDTH) for r in chosen]), np.asarray([r.tags for r in chosen]), STEPS)
 
 
 def reconcile(spans: list[tuple[float, int, int, int]]) -> list[Span]:

@@ -91,8 +91,8 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = personal_data.find(docs, personal_data.fit(docs))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=kind: s.kind == k)).cast("long").alias(f"n_{kind}") for kind in personal_data.KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(F.filter("spans", lambda s: s.rule)), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, personal_data.KINDS), F.sha2(listed(F.filter("spans", lambda s: s.rule)), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
 @query("op2_html_text")

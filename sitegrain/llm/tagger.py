@@ -108,8 +108,9 @@ class Tagger:
         np.add.at(grads["chars"], windows.T, dx)
         return float((total - score).mean()), grads
 
-    def fit(self, windows: np.ndarray, tags: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.02, seed: int = 0) -> Tagger:
+    def fit(self, windows: np.ndarray, tags: np.ndarray, steps: int, batch: int = 64, rate: float = 0.02, seed: int = 0) -> Tagger:
         r, step = np.random.default_rng(seed), 0
+        epochs = -(-steps // -(-len(windows) // batch))
         mean, square = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2))
         for _ in range(epochs):
             order = r.permutation(len(windows))
