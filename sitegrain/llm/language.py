@@ -158,3 +158,22 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """doc_id, held_out, lang_pred, score of each row, by a model of the rows that aren't held out."""
     found = predict(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def _kept(model: Model, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            _, offsets = bytes_of(batch.column(at))
+            for a, b in slices(offsets):
+                part = batch.slice(a, b - a)
+                named = pa.RecordBatch.from_arrays([pa.nulls(b - a), part.column(at)], ["id", "text"])
+                found = pa.concat_arrays([x.column("lang_pred") for x in _predict(model)([named])])
+                yield part.filter(pa.array([x != "und" for x in found.to_pylist()], pa.bool_()))
+
+    return run
+
+
+def where_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text is in a language of the model."""
+    return docs.mapInArrow(_kept(model, text_col), docs.schema)
