@@ -11,7 +11,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words of a generation that a worker remembers; those of the last two are known. Only speed depends on it.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
+#: Words that are encoded as one text.
+TOGETHER = 10_000
 
 
 class Memory:
@@ -34,6 +36,12 @@ class Memory:
         return new
 
 
+def cut_at(ids: bytes, starts: np.ndarray, n: int) -> list[bytes] | None:
+    """The ids of each of n words from those of all of them, if so many begin there."""
+    cuts = (4 * np.flatnonzero(starts[np.frombuffer(ids, "<u4")])).tolist()
+    return [ids[a:b] for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True)] if len(cuts) == n and (not n or cuts[0] == 0) else None
+
+
 class Encoder:
     """``encode`` gives each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -42,10 +50,22 @@ class Encoder:
         self.tokenizer.encode_special_tokens = ordinary_specials
         self.specials = [] if ordinary_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = Memory()
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space
+        self.starts[[i for piece, i in vocabulary.items() if piece.startswith("Ġ")]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a leading space, many words in one text, which is cut at the ids that begin with a space."""
+        out = []
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            found = cut_at(self._ids([" " + " ".join(part)])[0], self.starts, len(part))
+            out += self._ids([f" {w}" for w in part]) if found is None else found
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if "  " in t or t.endswith(" ") or any(s in t for s in self.specials)]
         other = set(whole)
@@ -55,7 +75,7 @@ class Encoder:
             if words:
                 met.update(words[1:])
         new = self.words.missing(met)
-        self.words.found.update(zip(new, self._ids([f" {w}" for w in new]), strict=True))
+        self.words.found.update(zip(new, self._word_ids(new), strict=True))
         known = self.words.found.__getitem__
         starts = iter(self._ids([words[0] for words in split if words]))
         wholes = iter(self._ids([texts[i] for i in whole]))

@@ -15,15 +15,16 @@ Defined results: a null text has null ids and decodes to null; an empty text has
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from sentencepiece import SentencePieceProcessor
-from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from sitegrain.llm.bpe import Memory
+from sitegrain.llm.bpe import TOGETHER, Memory, cut_at
 from sitegrain.llm.common import bytes_of, own_columns, slices
 
 MARK = "▁"
@@ -119,7 +120,11 @@ class Codec:
         self.model = Model(data)
         self.tokenizer = backend(self.model)
         self.reference = SentencePieceProcessor(model_proto=data)
-        self.last_space = np.asarray([i for i, p in enumerate(self.model.pieces) if p[0] == MARK][:1], "<i4").tobytes(), True
+        self.starts = np.asarray([p.startswith(MARK) for p, _, _ in self.model.pieces])
+        self.by_words = backend(self.model)
+        self.by_words.pre_tokenizer = pre_tokenizers.Split(MARK, "merged_with_next")
+        self.odd_words: set[str] = set()
+        self.last_space = np.asarray([i for i, p in enumerate(self.model.pieces) if p[0] == MARK][:1], "<i4").tobytes()
         self.controls = np.asarray([k in (CONTROL,) for _, _, k in self.model.pieces])
         self.words = Memory()
 
@@ -130,6 +135,23 @@ class Codec:
         own, other = self.backend_ids(texts), self.reference.encode(texts, num_threads=1) if texts else []
         return [(np.asarray(b, "<i4").tobytes(), a == b) for a, b in zip(own, other, strict=True)]
 
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words, many words in one text, which is cut at the markers; words that ``sentencepiece`` encodes otherwise are noted."""
+        out: list[bytes] = []
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            joined = self.by_words.encode_batch_fast([" ".join(part[i : i + 1000]) for i in range(0, len(part), 1000)], add_special_tokens=False)
+            found = cut_at(np.asarray([x for e in joined for x in e.ids], "<i4").tobytes(), self.starts, len(part))
+            if found is None:
+                found = [b for b, _ in self._checked(part)]
+            for i, want in enumerate(self.reference.encode(part, num_threads=1)):
+                want = array("i", want).tobytes()
+                if want != found[i]:
+                    self.odd_words.add(part[i])
+                    found[i] = want
+            out += found
+        return out
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Of each text its ids as little-endian 32-bit bytes, and whether backend and reference agree."""
         split = [t.split(" ") if self.model.by_word and t and t[0] != " " and "  " not in t and MARK not in t else None for t in texts]
@@ -140,17 +162,10 @@ class Codec:
         new = [w for w in self.words.missing(met) if w]
         # the leading marker of each is that of its word; a lone marker is what follows a last space
         known = self.words.found
-        known.update(zip(new, self._checked(new), strict=True))
+        known.update(zip(new, self._word_ids(new), strict=True))
         known[""] = self.last_space
         whole = iter(self._checked([t for t, words in zip(texts, split, strict=True) if words is None]))
-        out = []
-        for words in split:
-            if words is None:
-                out.append(next(whole))
-            else:
-                found = [known[w] for w in words]
-                out.append((b"".join([f[0] for f in found]), all(f[1] for f in found)))
-        return out
+        return [next(whole) if words is None else (b"".join(map(known.__getitem__, words)), not self.odd_words or self.odd_words.isdisjoint(words)) for words in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """Texts of ids; control pieces write nothing."""
