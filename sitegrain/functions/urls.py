@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import ipaddress
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 RESOURCE_PATH = (
     r"(?i)\.(pdf|zip|gz|rar|7z|tar|jpe?g|png|gif|webp|avif|svg|ico|bmp|tiff?|mp4|webm|mov|avi|mp3|wav|ogg|m4a|docx?|xlsx?"
@@ -154,36 +152,69 @@ def is_public_ipv4(host: Column) -> Column:
     return F.coalesce(valid & ~special, F.lit(False))
 
 
-@F.pandas_udf(T.BooleanType())
-def is_public_ip(address: pd.Series) -> pd.Series:
-    """Public unicast check for any literal, v4-mapped v6 included; only for the few IPv6 rows."""
-
-    def check(text: str | None) -> bool:
-        try:
-            ip = ipaddress.ip_address((text or "").strip("[]"))
-        except ValueError:
-            return False
-        mapped = getattr(ip, "ipv4_mapped", None)
-        ip = mapped or ip
-        return ip.is_global and not ip.is_multicast
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def ipv6_groups(host: Column) -> Column:
+    """The eight numbers of an IPv6 literal, with a dotted end and ``::`` written out; null if it isn't one."""
+    pair = lambda a, b: F.lower(F.hex(a * 256 + b))
+    octets = F.transform(F.split(F.regexp_extract(host, r":(\d{1,3}(\.\d{1,3}){3})$", 1), r"\."), lambda o: o.try_cast("int"))
+    written = lambda o: F.when(F.size(o) == 4, F.concat(F.regexp_replace(host, r"[\d.]+$", ""), pair(o[0], o[1]), F.lit(":"), pair(o[2], o[3]))).otherwise(host)
+    groups = lambda half: F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: g != "")
+
+    def filled(halves: Column) -> Column:
+        left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+        missing = F.when(F.size(halves) == 2, F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))).otherwise(0)
+        return F.when(F.size(halves) <= 2, F.concat(left, F.array_repeat(F.lit("0"), missing), right))
+
+    def numbers(every: Column) -> Column:
+        good = (F.size(every) == 8) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(good, F.transform(every, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    in_range = let(octets, lambda o: F.when(F.forall(o, lambda x: F.coalesce(x <= 255, F.lit(True))), written(o)))
+    return let(F.split(in_range, "::"), lambda halves: let(filled(halves), numbers))
+
+
+def is_public_ipv6(host: Column) -> Column:
+    """Unicast outside all reserved ranges, decided by arithmetic on the groups; a mapped IPv4 address counts as that address."""
+
+    def verdict(groups: Column) -> Column:
+        g = [F.get(groups, F.lit(i)) for i in range(8)]
+        zero = lambda a, b: F.forall(F.slice(groups, a + 1, b - a), lambda x: x == 0)
+        mapped = F.concat_ws(".", F.shiftright(g[6], 8), g[6] % 256, F.shiftright(g[7], 8), g[7] % 256)
+        # Reserved IPv6 ranges.
+        special = (
+            (zero(0, 7) & g[7].isin(0, 1))
+            | (g[0] >= 0xFF00)
+            | g[0].between(0xFE80, 0xFEBF)
+            | g[0].between(0xFC00, 0xFDFF)
+            | ((g[0] == 0x100) & zero(1, 4))
+            | (zero(0, 4) & (g[4] == 0xFFFF) & (g[5] == 0))
+            | ((g[0] == 0x64) & (g[1] == 0xFF9B) & zero(2, 6))
+            | (g[0] == 0x2002)
+            | ((g[0] == 0x2001) & ((g[1] < 0x200) | (g[1] == 0xDB8)))
+        )
+        return F.when(zero(0, 5) & (g[5] == 0xFFFF), let(mapped, is_public_ipv4)).otherwise(~special)
 
-    return address.map(check)
+    return F.coalesce(let(ipv6_groups(host), verdict), F.lit(False))
 
 
 def reject_reason(url: Column) -> Column:
-    """Why a URL may not be fetched; null when it may. IPv6 literals are settled by ``is_public_ip``."""
-    host = F.regexp_replace(host_of(url), r"^\[|\]$", "")
-    local = (
-        (host == "localhost")
-        | host.rlike(r"\.(localhost|local|internal|lan)$")
-        | ~host.contains(".")
-    )
+    """Why a URL may not be fetched; null when it may."""
+    return let(F.regexp_replace(host_of(url), r"^\[|\]$", ""), lambda host: _reject_reason(url, host))
+
+
+def _reject_reason(url: Column, host: Column) -> Column:
+    local = (host == "localhost") | host.rlike(r"\.(localhost|local|internal|lan)$") | ~host.contains(".")
     v4 = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     return (
         F.when(~scheme_of(url).isin("http", "https"), "scheme")
         .when(authority_of(url).contains("@"), "credentials")
         .when(~port_of(url).isin(80, 443, 8080, 8443), "port")
         .when(v4 & ~is_public_ipv4(host), "address")
+        .when(host.contains(":") & ~is_public_ipv6(host), "address")
         .when(~v4 & ~host.contains(":") & local, "host")
     )
 

@@ -66,7 +66,6 @@ SEVERITY = {
 SEVERITY_ORDER = {"error": 0, "warning": 1, "notice": 2}
 # Connection errors that mean an external target is really gone.
 DEAD_CODES = ["ENOTFOUND", "ECONNREFUSED", "CERT_HAS_EXPIRED", "ERR_TLS_CERT_ALTNAME_INVALID", "DEPTH_ZERO_SELF_SIGNED_CERT"]
-URLS_PER_ISSUE = 500
 
 
 def broken_internal(status: Column) -> Column:
@@ -242,14 +241,14 @@ def broken_image_issues(images: DataFrame, checks: DataFrame) -> DataFrame:
     return source_findings(image_rows(images, checks))
 
 
-def check_sources(edges: DataFrame, checks: DataFrame, n: int = 20) -> DataFrame:
-    """Checked URLs with their first n source pages."""
+def check_sources(edges: DataFrame, checks: DataFrame, n: int | None = None) -> DataFrame:
+    """Checked URLs with their source pages; all of them, or the first n."""
     rows = edges.join(checks.select("site", F.col("url").alias("dst"), "status", "code"), ["site", "dst"])
-    return top_n(rows, ["site", "dst"], [F.col("ord"), F.col("src")], n)
+    return rows if n is None else top_n(rows, ["site", "dst"], [F.col("ord"), F.col("src")], n)
 
 
 def external_rows(edges: DataFrame, checks: DataFrame) -> DataFrame:
-    """Only the first 20 source pages of a broken external URL are told about it."""
+    """Every source page of a broken external URL is told about it."""
     label = F.concat("dst", F.lit(" ("), F.when(F.col("status") == 0, F.col("code")).otherwise(F.col("status").cast("string")), F.lit(")"))
     bad = checks.where(broken_external(F.col("status"), F.col("code")))
     return check_sources(edges, bad).select("site", "src", F.lit("broken-external-links").alias("issue"), label.alias("item"))
@@ -314,11 +313,11 @@ def with_severity(findings: DataFrame) -> DataFrame:
     return findings.withColumn("severity", F.element_at(names, F.col("issue")))
 
 
-def issue_rollup(findings: DataFrame) -> DataFrame:
-    """Per site and issue: the full count and the first 500 URLs."""
+def issue_rollup(findings: DataFrame, urls_per_issue: int | None = None) -> DataFrame:
+    """Per site and issue: the full count and the URLs, all or the first ``urls_per_issue``."""
     counts = findings.groupBy("site", "issue", "severity").agg(F.count("*").alias("count"))
-    listed = top_n(findings, ["site", "issue"], [F.col("url"), F.col("detail")], URLS_PER_ISSUE, "_pos")
-    urls = listed.groupBy("site", "issue").agg(F.array_sort(F.collect_list(F.struct("_pos", "url", "detail"))).alias("_u"))
+    listed = findings if urls_per_issue is None else top_n(findings, ["site", "issue"], [F.col("url"), F.col("detail")], urls_per_issue, "_pos")
+    urls = listed.groupBy("site", "issue").agg(F.array_sort(F.collect_list(F.struct("url", "detail"))).alias("_u"))
     urls = urls.withColumn("urls", F.transform("_u", lambda u: F.struct(u["url"].alias("url"), u["detail"].alias("detail")))).drop("_u")
     return counts.join(urls, ["site", "issue"])
 
@@ -397,16 +396,16 @@ def mark_sitemap(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
     return pages.join(listed, ["site", "url"], "left").withColumn("in_sitemap", F.col("_listed").isNotNull()).drop("_listed")
 
 
-def unchecked_resources(resources: DataFrame, images: DataFrame, pages: DataFrame, n: int = 300) -> DataFrame:
-    """Files and images that were not crawled as pages, once each, the first n per site."""
+def unchecked_resources(resources: DataFrame, images: DataFrame, pages: DataFrame, n: int = 2**31 - 1) -> DataFrame:
+    """Files and images that were not crawled as pages, once each and numbered per site; all, or the first n."""
     both = resources.select("site", "dst", "ord").unionByName(images.select("site", "dst", "ord"))
     once = both.groupBy("site", "dst").agg(F.min("ord").alias("ord"))
     open_ = once.join(pages.select("site", F.col("url").alias("dst")), ["site", "dst"], "left_anti")
     return top_n(open_, ["site"], [F.col("ord"), F.col("dst")], n, "position")
 
 
-def external_check_list(externals: DataFrame, per_host: int = 8, per_site: int = 300) -> DataFrame:
-    """External targets to check: at most 8 per host, then 300 per site, in first-seen order."""
+def external_check_list(externals: DataFrame, per_host: int = 2**31 - 1, per_site: int = 2**31 - 1) -> DataFrame:
+    """External targets to check, numbered per site in first-seen order: all, or so many per host and then per site."""
     once = externals.groupBy("site", "dst").agg(F.min("ord").alias("ord")).withColumn("host", ur.host_of(F.col("dst")))
     order = [F.col("ord"), F.col("dst")]
     return top_n(top_n(once, ["site", "host"], order, per_host), ["site"], order, per_site, "position")
@@ -446,8 +445,8 @@ def external_view(checks: DataFrame, errors_only: bool = False) -> DataFrame:
 
 
 def check_links(links: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Link list with check results; ``broken`` follows the link checker's own rule."""
-    joined = links.join(statuses.select(F.col("url").alias("href"), "status", "error"), "href", "left")
+    """Link list with the check results of its own site; ``broken`` follows the link checker's own rule."""
+    joined = links.join(statuses.select("site", F.col("url").alias("href"), "status", "error"), ["site", "href"], "left")
     return joined.withColumn("broken", F.coalesce(broken_link_check(F.col("status")), F.lit(False)))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,15 +104,16 @@ def crawl_plan(starts: DataFrame, links: DataFrame, pages: DataFrame, sitemap: D
     return queue.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max_pages)
 
 
-def expand_sitemaps(roots: DataFrame, entries: DataFrame, max_sitemaps: int = 10, max_rounds: int = 100) -> DataFrame:
-    """Sitemaps read breadth-first from the roots through index files, at most ``max_sitemaps`` per site.
+def expand_sitemaps(roots: DataFrame, entries: DataFrame, max_sitemaps: int | None = None) -> DataFrame:
+    """Sitemaps read breadth-first from the roots through index files: all of them, or the first ``max_sitemaps`` per site.
 
-    ``roots(site, sitemap, ord)``; ``entries(site, sitemap, kind, loc, ord)`` as parsed. Returns ``(site, sitemap, seq)``.
+    ``roots(site, sitemap, ord)``; ``entries(site, sitemap, kind, loc, ord)`` as parsed. Returns ``(site, sitemap, seq, partial)``;
+    ``partial`` tells that sitemaps of the site were left out.
     """
     seen = cut_lineage(roots.groupBy("site", "sitemap").agg(F.min(F.struct(F.lit(0).alias("level"), F.lit(0).alias("parent"), "ord")).alias("at")))
     seen = number_sitemaps(seen, max_sitemaps)
     children = entries.where("kind = 'index'").select("site", F.col("sitemap").alias("from"), F.col("loc").alias("sitemap"), "ord")
-    for level in range(1, max_rounds):
+    for level in count(1):  # ends with the deepest index: each round adds only sitemaps not seen before
         front = seen.where(F.col("at.level") == level - 1).select("site", F.col("sitemap").alias("from"), "seq")
         fresh = (
             front.join(children, ["site", "from"])
@@ -118,28 +121,37 @@ def expand_sitemaps(roots: DataFrame, entries: DataFrame, max_sitemaps: int = 10
             .agg(F.min(F.struct(F.lit(level).alias("level"), F.col("seq").alias("parent"), "ord")).alias("at"))
             .join(seen.select("site", "sitemap"), ["site", "sitemap"], "left_anti")
         )
-        grown = cut_lineage(number_sitemaps(seen.drop("seq").unionByName(fresh), max_sitemaps))
+        grown = cut_lineage(number_sitemaps(seen.drop("seq").unionByName(fresh, allowMissingColumns=True), max_sitemaps))
         if grown.where(F.col("at.level") == level).isEmpty():
+            forget(grown)
             break
+        forget(seen)
         seen = grown
-    return seen.select("site", "sitemap", "seq")
+    return seen.select("site", "sitemap", "seq", "partial")
 
 
-def number_sitemaps(seen: DataFrame, max_sitemaps: int) -> DataFrame:
+def number_sitemaps(seen: DataFrame, max_sitemaps: int | None) -> DataFrame:
     order = Window.partitionBy("site").orderBy("at", "sitemap")
-    return seen.withColumn("seq", F.row_number().over(order)).where(F.col("seq") <= max_sitemaps)
+    placed = seen.withColumn("seq", F.row_number().over(order))
+    if max_sitemaps is None:
+        return placed.withColumn("partial", F.lit(False))
+    cut = F.max((F.col("seq") > max_sitemaps) | F.coalesce(F.col("partial"), F.lit(False))) if "partial" in seen.columns else F.max(F.col("seq") > max_sitemaps)
+    return placed.withColumn("partial", cut.over(Window.partitionBy("site"))).where(F.col("seq") <= max_sitemaps)
+
 
+def collect_sitemap_urls(expanded: DataFrame, entries: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """Distinct page URLs of the sitemaps that were read, in reading order; all, or the first ``max_urls`` per site.
 
-def collect_sitemap_urls(expanded: DataFrame, entries: DataFrame, max_urls: int = 50_000) -> DataFrame:
-    """Distinct page URLs of the sitemaps that were read, in reading order, with a cap per site and a ``partial`` flag."""
+    ``partial`` tells that sitemaps or URLs of the site were left out.
+    """
     read = expanded.join(entries.where("kind = 'urlset'"), ["site", "sitemap"])
-    first = read.groupBy("site", "loc").agg(F.min(F.struct("seq", "ord", "lastmod")).alias("at"))
-    totals = first.groupBy("site").agg(F.count("*").alias("_total"))
+    first = read.groupBy("site", "loc").agg(F.min(F.struct("seq", "ord", "lastmod")).alias("at"), F.max("partial").alias("_cut"))
+    totals = first.groupBy("site").agg(F.count("*").alias("_total"), F.max("_cut").alias("_cut"))
     order = Window.partitionBy("site").orderBy("at.seq", "at.ord", "loc")
-    kept = first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max_urls)
-    return kept.join(totals, "site").select(
-        "site", "loc", F.col("at.lastmod").alias("lastmod"), "position", (F.col("_total") > max_urls).alias("partial")
-    )
+    kept = first.drop("_cut").withColumn("position", F.row_number().over(order))
+    kept = kept if max_urls is None else kept.where(F.col("position") <= max_urls)
+    cut = F.col("_cut") if max_urls is None else F.col("_cut") | (F.col("_total") > max_urls)
+    return kept.join(totals, "site").select("site", "loc", F.col("at.lastmod").alias("lastmod"), "position", cut.alias("partial"))
 
 
 def sitemap_summary(urls: DataFrame) -> DataFrame:

@@ -13,10 +13,6 @@ from sitegrain.functions import urls as ur
 from sitegrain.operators.ranking import top_n
 
 
-# The suggestion sources.
-SOURCES = ["amazon", "bing", "duckduckgo", "google", "youtube"]
-
-
 def top_ngrams(texts: DataFrame, key: str, text: str, n: int, limit: int = 15) -> DataFrame:
     """Most frequent phrases of n words per text with their share of its words.
 
@@ -31,22 +27,22 @@ def top_ngrams(texts: DataFrame, key: str, text: str, n: int, limit: int = 15) -
     return ranked.select(key, "phrase", "count", share.alias("density"), "rank")
 
 
-def idea_scores(suggestions: DataFrame) -> DataFrame:
+def idea_scores(suggestions: DataFrame, longest: int | None = None) -> DataFrame:
     """Scores of all suggested keywords per seed from ``(seed, source, query, suggestions)`` lists.
 
     Every appearance adds 1/position; each further source adds a quarter; the best keyword of a seed is 100. The maximum per
-    seed is a partial aggregate joined back, so a seed with very many ideas is never one task.
+    seed is a partial aggregate joined back, so a seed with very many ideas is never one task. Ideas of more than ``longest``
+    characters are left out, if it is given.
     """
     # Cleaned inside the array, so that each text is cleaned once and filters see the finished column.
     clean = F.transform("suggestions", lambda s: tx.squeeze(F.lower(s)))
-    rows = suggestions.select("seed", "source", F.posexplode(clean).alias("at", "keyword")).where((F.col("keyword") != "") & (F.length("keyword") <= 120))
+    rows = suggestions.select("seed", "source", F.posexplode(clean).alias("at", "keyword")).where("keyword <> ''")
+    rows = rows.where(F.length("keyword") <= longest) if longest else rows
     position = F.col("at") + 1
     # Shares are summed as integers (units of 2^-40), so the sum does not depend on the order of rows.
     share = F.sum(F.floor(F.lit(2.0**40) / position))
-    heard = [F.max(F.col("source") == name).alias(f"_{name}") for name in SOURCES]
-    ideas = rows.groupBy("seed", "keyword").agg(share.alias("_share"), F.min(position).alias("best_position"), F.count("*").alias("appearances"), *heard)
-    sources = F.filter(F.array(*[F.when(F.col(f"_{n}"), F.lit(n)) for n in SOURCES]), lambda n: n.isNotNull())
-    named = ideas.select("seed", "keyword", "_share", "best_position", "appearances", sources.alias("sources"))
+    ideas = rows.groupBy("seed", "keyword").agg(share.alias("_share"), F.min(position).alias("best_position"), F.count("*").alias("appearances"), F.collect_set("source").alias("_sources"))
+    named = ideas.select("seed", "keyword", "_share", "best_position", "appearances", F.array_sort("_sources").alias("sources"))
     weighted = named.withColumn("raw", F.col("_share") / F.lit(2.0**40) * (1 + 0.25 * (F.size("sources") - 1)))
     best = weighted.groupBy("seed").agg(F.max("raw").alias("best"))
     score = F.greatest(F.lit(1), F.floor(F.col("raw") / F.greatest(F.col("best"), F.lit(1e-9)) * 100 + 0.5)).cast("int")
@@ -136,9 +132,14 @@ def _best_keywords(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def keywords_from_volumes(candidates: DataFrame, volumes: DataFrame, limit: int = 10) -> DataFrame:
-    """Target keywords with known search volumes; phrases without searches drop out."""
-    known = volumes.select("keyword", "volume").where("volume > 0")
-    rows = candidates.join(known, "keyword").withColumn("estimated", F.lit(False)).withColumn("typed_prefix", F.lit(None).cast("string"))
+    """Target keywords with known search volumes; phrases without searches drop out.
+
+    Where both tables name a market (country ``gl``, language ``hl``), a keyword meets the volume of its own market; else the highest of
+    all markets.
+    """
+    markets = [c for c in ("gl", "hl") if c in volumes.columns and c in candidates.columns]
+    known = volumes.where("volume > 0").groupBy("keyword", *markets).agg(F.max("volume").alias("volume"))
+    rows = candidates.join(known, ["keyword", *markets]).withColumn("estimated", F.lit(False)).withColumn("typed_prefix", F.lit(None).cast("string"))
     return _best_keywords(rows, limit)
 
 
@@ -148,22 +149,24 @@ def shortest_prefixes(candidates: DataFrame, prefixes: DataFrame) -> DataFrame:
     Equal to a binary search when longer prefixes keep suggesting the phrase. Phrase and lists meet on the compacted text, so
     no phrase is compared with a list that does not hold it.
     """
-    listed = prefixes.select("prefix", "suggestions", F.posexplode("suggestions").alias("at", "s"))
-    listed = listed.select("prefix", "suggestions", (F.col("at") + 1).alias("position"), ph.compact(F.col("s")).alias("compact"))
-    wanted = candidates.select("keyword").distinct().withColumn("compact", ph.compact(F.col("keyword")))
-    hits = wanted.join(listed, "compact").where(F.startswith("keyword", "prefix"))
-    best = hits.groupBy("keyword").agg(F.min_by(F.struct("prefix", "position", "suggestions"), F.struct(F.length("prefix"), F.col("position"))).alias("b"))
+    markets = [c for c in ("engine", "gl", "hl") if c in prefixes.columns and c in candidates.columns]
+    listed = prefixes.select(*markets, "prefix", "suggestions", F.posexplode("suggestions").alias("at", "s"))
+    listed = listed.select(*markets, "prefix", "suggestions", (F.col("at") + 1).alias("position"), ph.compact(F.col("s")).alias("compact"))
+    wanted = candidates.select("keyword", *markets).distinct().withColumn("compact", ph.compact(F.col("keyword")))
+    hits = wanted.join(listed, ["compact", *markets]).where(F.startswith("keyword", "prefix"))
+    best = hits.groupBy("keyword", *markets).agg(F.min_by(F.struct("prefix", "position", "suggestions"), F.struct(F.length("prefix"), F.col("position"), F.col("prefix"), F.col("suggestions"))).alias("b"))
     # A phrase that is not suggested when typed in full has too few searches to count.
-    full = hits.where(F.col("prefix") == F.col("keyword")).select("keyword").distinct()
-    return best.join(full, "keyword", "left_semi").select("keyword", "b.*")
+    full = hits.where(F.col("prefix") == F.col("keyword")).select("keyword", *markets).distinct()
+    return best.join(full, ["keyword", *markets], "left_semi").select("keyword", *markets, "b.*")
 
 
 def keywords_from_estimates(candidates: DataFrame, prefixes: DataFrame, limit: int = 10) -> DataFrame:
     """Target keywords with rough volumes from search suggestions."""
     best = shortest_prefixes(candidates, prefixes)
     volume = ph.estimate_volume(F.length("prefix"), F.col("position"), ph.competitors(F.col("keyword"), F.col("suggestions")))
-    scored = best.select("keyword", volume.alias("volume"), F.col("prefix").alias("typed_prefix"))
-    return _best_keywords(candidates.join(scored, "keyword").withColumn("estimated", F.lit(True)), limit)
+    markets = [c for c in best.columns if c in ("engine", "gl", "hl")]
+    scored = best.select("keyword", *markets, volume.alias("volume"), F.col("prefix").alias("typed_prefix"))
+    return _best_keywords(candidates.join(scored, ["keyword", *markets]).withColumn("estimated", F.lit(True)), limit)
 
 
 def site_keywords(candidates: DataFrame, prefixes: DataFrame, volumes: DataFrame | None = None, limit: int = 10) -> DataFrame:
@@ -189,7 +192,7 @@ def union_phrases(three: DataFrame, two: DataFrame, key: str) -> DataFrame:
 def recent_searches(log: DataFrame, stored: int = 30) -> DataFrame:
     """Newest entry per user, tool and lower-cased query; the newest 30 per user."""
     once = log.where(F.trim("query") != "").groupBy("user_id", "tool", F.lower(F.trim("query")).alias("_q")).agg(
-        F.max("at").alias("at"), F.max_by("query", "at").alias("query"))
+        F.max("at").alias("at"), F.max_by("query", F.struct("at", "query")).alias("query"))
     return top_n(once, ["user_id"], [F.col("at").desc(), F.col("tool"), F.col("_q")], stored, "position").drop("_q")
 
 

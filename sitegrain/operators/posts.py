@@ -9,6 +9,7 @@ from sitegrain.functions import urls as ur
 from sitegrain.functions.text import js_round
 from sitegrain.operators.ranking import top_n, with_ordinal
 
+# Names of post files, and times as posts write them.
 FILE_NAME = r"^(\d{4}-\d{2}-\d{2})-([a-z0-9]+(?:-[a-z0-9]+)*)\.md$"
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})$"
 # Reserved addresses, house-style phrases and limits of the document rules.
@@ -56,18 +57,22 @@ def latest_posts(posts: DataFrame, n: int) -> DataFrame:
     return posts.orderBy(F.try_to_timestamp("date").desc(), F.col("slug")).limit(n)
 
 
-def related_posts(posts: DataFrame, n: int = 3, max_tags: int = 5) -> DataFrame:
+def related_posts(posts: DataFrame, n: int = 3) -> DataFrame:
     """For every post the n others with the best score, shared tags times 100 minus recency place.
 
     Posts meet on sets of tags, not in pairs: of all posts holding a given tag set only the n + 1 newest can be among anybody's
-    best n, so each set keeps those, and a post looks up its own sets. A post has at most ``max_tags`` tags, hence at most
-    2^max_tags sets; the empty set stands for posts that share nothing. ``posts(slug, published_at, tags)``.
+    best n, so each set keeps those, and a post looks up its own sets. All tags of a post count; tags that no other post has can't be
+    shared and make no sets. A post has 2^t sets of its t shared tags; the empty set stands for posts that share nothing.
+    ``posts(slug, published_at, tags)``.
     """
     placed = with_ordinal(posts, -F.unix_micros("published_at"), "slug", "place")
-    tags = F.array_sort(F.array_distinct(F.slice("tags", 1, max_tags)))
+    each = placed.select("slug", "place", F.explode(F.array_distinct("tags")).alias("tag"))
+    known = each.join(each.groupBy("tag").agg(F.count("*").alias("posts")).where("posts > 1").select("tag"), "tag", "left_semi")
+    held = known.groupBy("slug").agg(F.array_sort(F.collect_set("tag")).alias("_t"))
     mask = lambda m: F.filter(F.col("_t"), lambda t, i: F.getbit(m, i) == 1)
     sets = F.transform(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("_t")).cast("int") - 1), lambda m: F.array_join(mask(m), "\x1f"))
-    rows = placed.withColumn("_t", tags).select("slug", "place", F.explode(sets).alias("set"))
+    tagged = placed.select("slug", "place").join(held, "slug", "left").withColumn("_t", F.coalesce("_t", F.array().cast("array<string>")))
+    rows = tagged.select("slug", "place", F.explode(sets).alias("set"))
     newest = top_n(rows, ["set"], [F.col("place")], n + 1)
     held = newest.groupBy("set").agg(F.collect_list(F.struct("slug", "place")).alias("others"))
     met = rows.join(held, "set").select("slug", "place", "set", F.explode("others").alias("o")).where(F.col("o.slug") != F.col("slug"))

@@ -21,7 +21,7 @@ SIGNATURES: list[tuple[str, str, dict]] = [
     ("Contentful", "CMS", {"html": r"images\.ctfassets\.net"}),
     ("Sanity", "CMS", {"html": r"cdn\.sanity\.io"}),
     ("Notion", "CMS", {"html": r"notion-static\.com|<meta[^>]+notion-site"}),
-    ("Mintlify", "CMS", {"html": r"mintlify\.s3|mintcdn\.com|generator\x22 content=\x22Mintlify"}),
+    ("Mintlify", "CMS", {"html": r'mintlify\.s3|mintcdn\.com|generator" content="Mintlify'}),
     ("Shopify", "Ecommerce", {"headers": {"x-shopid": r".", "x-shopify-stage": r"."}, "html": r"cdn\.shopify\.com|Shopify\.theme"}),
     ("WooCommerce", "Ecommerce", {"html": r"woocommerce"}),
     ("Magento", "Ecommerce", {"cookies": r"(?:^|\s)(?:frontend|mage-cache-storage)=", "html": r"Mage\.Cookies|/static/version\d+/frontend/"}),
@@ -34,15 +34,15 @@ SIGNATURES: list[tuple[str, str, dict]] = [
     ("Astro", "Framework", {"generator": r"astro", "html": r"<astro-island|astro-[a-z0-9]{6,}", "version": r"astro\s*v?([\d.]+)"}),
     ("SvelteKit", "Framework", {"html": r"__sveltekit|data-sveltekit"}),
     ("Remix", "Framework", {"html": r"__remixContext|__remixManifest"}),
-    ("Angular", "Framework", {"html": r"ng-version=\x22|ng-app="}),
+    ("Angular", "Framework", {"html": r'ng-version="|ng-app='}),
     ("React", "JavaScript library", {"scripts": r"react(?:-dom)?(?:\.production)?(?:\.min)?\.js", "html": r"data-reactroot|__REACT_DEVTOOLS|react-dom(?:\.production)?(?:\.min)?\.js"}),
     ("Vue.js", "JavaScript library", {"scripts": r"vue(?:\.runtime)?(?:\.global)?(?:\.prod)?(?:\.min)?\.js", "html": r"data-v-[0-9a-f]{8}|__VUE__"}),
-    ("Svelte", "JavaScript library", {"html": r"class=\x22[^\x22]*svelte-[a-z0-9]{5,}"}),
+    ("Svelte", "JavaScript library", {"html": r'class="[^"]*svelte-[a-z0-9]{5,}'}),
     ("Alpine.js", "JavaScript library", {"html": r"\sx-data=|alpinejs"}),
     ("htmx", "JavaScript library", {"scripts": r"htmx", "html": r"\shx-(?:get|post|target|swap)="}),
     ("jQuery", "JavaScript library", {"scripts": r"jquery[.-]?(?:\d[\d.]*)?(?:\.min)?\.js"}),
     ("Bootstrap", "JavaScript library", {"html": r"bootstrap(?:\.bundle)?(?:\.min)?\.(?:css|js)"}),
-    ("Tailwind CSS", "JavaScript library", {"html": r"tailwindcss|class=\x22[^\x22]*\b(?:sm|md|lg):(?:flex|grid|hidden|block)\b"}),
+    ("Tailwind CSS", "JavaScript library", {"html": r'tailwindcss|class="[^"]*\b(?:sm|md|lg):(?:flex|grid|hidden|block)\b'}),
     ("Docusaurus", "Static site generator", {"generator": r"docusaurus"}),
     ("Hugo", "Static site generator", {"generator": r"hugo", "version": r"hugo\s*([\d.]+)"}),
     ("Jekyll", "Static site generator", {"generator": r"jekyll"}),
@@ -50,11 +50,11 @@ SIGNATURES: list[tuple[str, str, dict]] = [
     ("VitePress", "Static site generator", {"generator": r"vitepress"}),
     ("Laravel", "Framework", {"cookies": r"laravel_session="}),
     ("Django", "Framework", {"cookies": r"csrftoken=", "html": r"csrfmiddlewaretoken"}),
-    ("Ruby on Rails", "Framework", {"headers": {"x-runtime": r"^[\d.]+$"}, "html": r"<meta name=\x22csrf-param\x22 content=\x22authenticity_token\x22"}),
+    ("Ruby on Rails", "Framework", {"headers": {"x-runtime": r"^[\d.]+$"}, "html": r'<meta name="csrf-param" content="authenticity_token"'}),
     ("ASP.NET", "Framework", {"headers": {"x-aspnet-version": r".", "x-powered-by": r"asp\.net"}, "cookies": r"ASP\.NET_SessionId", "html": r"__VIEWSTATE"}),
     ("Express", "Framework", {"headers": {"x-powered-by": r"express"}}),
     ("PHP", "Language", {"headers": {"x-powered-by": r"php"}, "cookies": r"PHPSESSID="}),
-    ("Google Analytics", "Analytics", {"html": r"googletagmanager\.com/gtag/js\?id=G-|google-analytics\.com/(?:analytics|ga)\.js|gtag\(['\x22]config['\x22],\s*['\x22]G-"}),
+    ("Google Analytics", "Analytics", {"html": r"""googletagmanager\.com/gtag/js\?id=G-|google-analytics\.com/(?:analytics|ga)\.js|gtag\(['"]config['"],\s*['"]G-"""}),
     ("Google Tag Manager", "Tag manager", {"html": r"googletagmanager\.com/gtm\.js|GTM-[A-Z0-9]{4,}"}),
     ("Plausible", "Analytics", {"html": r"plausible\.io/js"}),
     ("Fathom", "Analytics", {"html": r"cdn\.usefathom\.com"}),
@@ -73,8 +73,8 @@ SIGNATURES: list[tuple[str, str, dict]] = [
     ("Adobe Analytics", "Analytics", {"html": r"assets\.adobedtm\.com|s_code\.js|AppMeasurement"}),
     ("Google AdSense", "Advertising", {"html": r"pagead2\.googlesyndication\.com/pagead/js/adsbygoogle"}),
     ("Google Ad Manager", "Advertising", {"html": r"securepubads\.g\.doubleclick\.net"}),
-    ("Google Ads", "Advertising", {"html": r"googleadservices\.com|gtag\(['\x22]config['\x22],\s*['\x22]AW-"}),
-    ("Meta Pixel", "Advertising", {"html": r"connect\.facebook\.net/[^\x22']*/fbevents\.js|fbq\(['\x22]init"}),
+    ("Google Ads", "Advertising", {"html": r"""googleadservices\.com|gtag\(['"]config['"],\s*['"]AW-"""}),
+    ("Meta Pixel", "Advertising", {"html": r"""connect\.facebook\.net/[^"']*/fbevents\.js|fbq\(['"]init"""}),
     ("LinkedIn Insight", "Advertising", {"html": r"snap\.licdn\.com/li\.lms-analytics"}),
     ("TikTok Pixel", "Advertising", {"html": r"analytics\.tiktok\.com"}),
     ("X (Twitter) Pixel", "Advertising", {"html": r"static\.ads-twitter\.com"}),

@@ -111,7 +111,7 @@ EXTERNALS = per_source_sql("broken-external-links", """SELECT site, src, dst ||
     (SELECT e.site, e.src, e.dst, c.status, c.code, row_number() OVER (PARTITION BY e.site, e.dst ORDER BY e.ord, e.src) AS rn FROM external_links e
      JOIN link_checks c ON c.site = e.site AND c.url = e.dst WHERE c.status IN (404, 410) OR (c.status >= 500 AND c.status <> 503)
      OR (c.status = 0 AND c.code IN ('ENOTFOUND', 'ECONNREFUSED', 'CERT_HAS_EXPIRED', 'ERR_TLS_CERT_ALTNAME_INVALID', 'DEPTH_ZERO_SELF_SIGNED_CERT'))) f
-    WHERE rn <= 20""", 2, "n || ' broken: ' || array_to_string(e, ', ')")
+    """, 2, "n || ' broken: ' || array_to_string(e, ', ')")
 CANONICAL = """SELECT p.site, 'canonical-to-broken' AS issue, p.url, p.canonical || ' (' || CASE WHEN t.status = 0 THEN 'failed' ELSE CAST(t.status AS VARCHAR) END || ')'
     AS detail FROM site_pages p JOIN site_pages t ON t.site = p.site AND t.url = p.canonical
     WHERE p.is_html AND p.status = 200 AND p.canonical <> p.url AND (t.status = 0 OR t.status BETWEEN 400 AND 599)"""
@@ -201,7 +201,7 @@ def site_issues(spark, d):
     return audit.site_issues(graph.host_checks(landed(spark, d, "sites"), landed(spark, d, "host_probes")))
 
 
-@query("issue_rollup", ALL + """SELECT site, issue, severity, count(*) AS count, array_to_string(list_slice(list(url ORDER BY url, detail NULLS FIRST), 1, 500), ' ') AS urls
+@query("issue_rollup", ALL + """SELECT site, issue, severity, count(*) AS count, array_to_string(list(url ORDER BY url, detail NULLS FIRST), ' ') AS urls
     FROM findings GROUP BY site, issue, severity""")
 def issue_rollup(spark, d):
     return audit.issue_rollup(cut_lineage(findings_of(spark, d))).withColumn("urls", F.array_join(F.transform("urls", lambda u: u["url"]), " "))
@@ -251,23 +251,6 @@ def click_depth(spark, d):
     return graph.click_depths(pages.where("ord = 0"), graph.graph_edges(landed(spark, d, "site_links"), pages))
 
 
-CRAWL = DEPTHS.replace("SELECT DISTINCT site, src, dst, 1 AS w FROM site_links", """SELECT DISTINCT l.site, l.src, l.dst, 1 AS w FROM site_links l JOIN site_pages p
-    ON p.site = l.site AND p.url = l.src WHERE NOT l.nofollow AND NOT p.noindex AND p.status <> -1""").replace("WHERE ord = 0 UNION SELECT", "WHERE ord = 0 UNION SELECT site, url, 99 FROM site_pages WHERE in_sitemap UNION SELECT").replace(
-    "<= 14", "<= 12 OR r.depth BETWEEN 99 AND 110")
-
-
-@query("crawl_plan", CRAWL + """SELECT site, url, depth, CAST(ord AS BIGINT) AS ord, CAST(position AS INT) AS position FROM (SELECT d.site, d.url, d.depth, coalesce(s.ord, -1) AS ord,
-    row_number() OVER (PARTITION BY d.site ORDER BY d.depth, coalesce(s.ord, -1), d.url) AS position FROM depths d LEFT JOIN (SELECT l.site, l.dst, min(l.ord) AS ord
-    FROM site_links l JOIN site_pages p ON p.site = l.site AND p.url = l.src WHERE NOT l.nofollow AND NOT p.noindex AND p.status <> -1 GROUP BY l.site, l.dst) s
-    ON s.site = d.site AND s.dst = d.url) q WHERE position <= 100""")
-def crawl_plan(spark, d):
-    pages = landed(spark, d, "site_pages")
-    of_source = pages.select("site", F.col("url").alias("src"), F.col("noindex").alias("page_nofollow"), (F.col("status") != -1).alias("src_allowed"))
-    links = landed(spark, d, "site_links").join(of_source, ["site", "src"])
-    sitemap = pages.where("in_sitemap").select("site", F.col("url").alias("loc"))
-    return graph.crawl_plan(pages.where("ord = 0"), links, pages, sitemap, 100)
-
-
 @query("orphan_pages", f"WITH {FULL} SELECT site, url FROM fullp WHERE {PAGE_RULES['orphan-page'][0]}")
 def orphan_pages(spark, d):
     return graph.orphans(full_pages(spark, d)).select("site", "url")
@@ -325,14 +308,13 @@ def check_sources(spark, d):
 
 
 @query("external_check_list", """SELECT site, dst, CAST(row_number() OVER (PARTITION BY site ORDER BY ord, dst) AS INT) AS position FROM (SELECT site, dst, min(ord) AS ord,
-    row_number() OVER (PARTITION BY site, regexp_extract(dst, '//([^/]*)', 1) ORDER BY min(ord), dst) AS rn FROM external_links GROUP BY site, dst) q WHERE rn <= 8
-    QUALIFY position <= 300""")
+    row_number() OVER (PARTITION BY site, regexp_extract(dst, '//([^/]*)', 1) ORDER BY min(ord), dst) AS rn FROM external_links GROUP BY site, dst) q """)
 def external_check_list(spark, d):
     return audit.external_check_list(landed(spark, d, "external_links")).select("site", "dst", "position")
 
 
 @query("unchecked_resources", """SELECT site, dst, CAST(position AS INT) AS position FROM (SELECT site, dst, row_number() OVER (PARTITION BY site ORDER BY min(ord), dst) AS position
-    FROM image_links GROUP BY site, dst) q WHERE position <= 300""")
+    FROM image_links GROUP BY site, dst) q""")
 def unchecked_resources(spark, d):
     images = landed(spark, d, "image_links")
     files = landed(spark, d, "site_links").where(ur.is_resource(F.col("dst")))
@@ -360,7 +342,7 @@ def external_errors(spark, d):
     LEFT JOIN link_checks c ON c.site = l.site AND c.url = l.dst WHERE coalesce(c.status IN (0, 404, 410) OR c.status >= 500, false)""")
 def link_checker(spark, d):
     links = landed(spark, d, "external_links").select("site", "src", F.col("dst").alias("href"))
-    checks = landed(spark, d, "link_checks").groupBy("url").agg(F.max("status").alias("status"), F.lit(None).cast("string").alias("error"))
+    checks = landed(spark, d, "link_checks").select("site", "url", "status", F.col("code").alias("error"))
     return audit.filter_links(audit.check_links(links, checks).withColumns({"internal": F.lit(False), "nofollow": F.lit(False)}), "broken").select("site", "src", "href", "status", "broken")
 
 
@@ -383,14 +365,13 @@ def robots_verdict(spark, d):
     return robots.robots_access(landed(spark, d, "site_pages").select("site", "url"), robots_of(spark, d))
 
 
-@query("robots_lines", f"""SELECT site, CAST(i AS INT) AS line, key, value, CASE WHEN key = 'user-agent' AND prev IS DISTINCT FROM 'user-agent' THEN 'opens' ELSE '' END AS opens FROM
-    (SELECT *, lag(key) OVER (PARTITION BY site ORDER BY i) AS prev FROM (SELECT site, i, lower(trim(split_part(l, ':', 1))) AS key, trim(substr(l, strpos(l, ':') + 1)) AS value FROM
-    (SELECT site, unnest(string_split(text, chr(10))) AS l, unnest(range(1, 20)) AS i FROM ({ROBOTS}) f) x WHERE l LIKE '%:%' AND l NOT LIKE 'Sitemap%' AND l NOT LIKE 'Disalow:%') y) z
+@query("robots_lines", f"""SELECT site, CAST(i AS INT) AS line, key, value, CAST(group_no AS BIGINT) AS group_no FROM
+    (SELECT *, sum(CASE WHEN key = 'user-agent' AND prev IS DISTINCT FROM 'user-agent' THEN 1 ELSE 0 END) OVER (PARTITION BY site ORDER BY i) AS group_no FROM (SELECT *, lag(key) OVER (PARTITION BY site ORDER BY i) AS prev FROM (SELECT site, i, lower(trim(split_part(l, ':', 1))) AS key, trim(substr(l, strpos(l, ':') + 1)) AS value FROM
+    (SELECT site, unnest(string_split(text, chr(10))) AS l, unnest(range(1, 20)) AS i FROM ({ROBOTS}) f) x WHERE l LIKE '%:%' AND l NOT LIKE 'Sitemap%' AND l NOT LIKE 'Disalow:%') y) w) z
     WHERE NOT (key = 'disallow' AND value = '')""")
 def robots_lines(spark, d):
     rules = robots.robots_rules(robots.robots_lines(robots_of(spark, d)))
-    opens = F.when((F.col("key") == "user-agent") & F.col("line").isin(3, 10), "opens").otherwise("")
-    return rules.select("site", "line", "key", "value", opens.alias("opens"))
+    return rules.select("site", "line", "key", "value", F.col("group_no").cast("bigint").alias("group_no"))
 
 
 @query("robots_summary", f"SELECT site, base || '/map.xml' AS sitemaps, CAST(1 AS BIGINT) AS invalid_lines FROM ({ROBOTS}) f")
@@ -415,7 +396,7 @@ def sitemap_files(spark, d):
 def sitemap_urls(spark, d):
     files, roots = sitemap_files(spark, d)
     entries = responses.parse_sitemaps(files)
-    return graph.collect_sitemap_urls(graph.expand_sitemaps(roots, entries, max_sitemaps=50), entries).select("site", "loc", "lastmod")
+    return graph.collect_sitemap_urls(graph.expand_sitemaps(roots, entries), entries).select("site", "loc", "lastmod")
 
 
 @query("sitemap_summary", """SELECT site, count(*) AS url_count, max('2024-01-' || lpad(CAST(ord % 28 + 1 AS VARCHAR), 2, '0')) AS latest_lastmod, false AS partial FROM site_pages
@@ -423,12 +404,12 @@ def sitemap_urls(spark, d):
 def sitemap_summary(spark, d):
     files, roots = sitemap_files(spark, d)
     entries = responses.parse_sitemaps(files)
-    urls = graph.collect_sitemap_urls(graph.expand_sitemaps(roots, entries, max_sitemaps=50), entries)
+    urls = graph.collect_sitemap_urls(graph.expand_sitemaps(roots, entries), entries)
     return graph.sitemap_summary(urls).drop("sample")
 
 
 @query("issues_export", ALL + """SELECT site, severity, issue, url, CASE WHEN regexp_matches(coalesce(detail, ''), '^[=+\\-@\t\r]') THEN '''' ELSE '' END || coalesce(detail, '') AS detail FROM
-    (SELECT *, row_number() OVER (PARTITION BY site, issue ORDER BY url, detail NULLS FIRST) AS rn FROM findings) q WHERE rn <= 500""")
+    (SELECT *, row_number() OVER (PARTITION BY site, issue ORDER BY url, detail NULLS FIRST) AS rn FROM findings) q""")
 def issues_export(spark, d):
     return sinks.csv_safe(sinks.issues_export(audit.issue_rollup(cut_lineage(findings_of(spark, d)))))
 

@@ -83,13 +83,16 @@ def url_parts(spark, d):
                                            ur.normalize_url(url).alias("normal"), ur.strip_www(ur.host_of(url)).alias("bare_host"))
 
 
-ODD_URLS = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN replace(url, '://', '://user:pw@') WHEN 1 THEN regexp_replace(url, '^http', 'ftp') WHEN 2 THEN 'http://localhost/x' WHEN 3 THEN
+ODD_URLS = """SELECT page_id, CASE page_id % 12 WHEN 0 THEN replace(url, '://', '://user:pw@') WHEN 1 THEN regexp_replace(url, '^http', 'ftp') WHEN 2 THEN 'http://localhost/x' WHEN 3 THEN
     'http://10.0.' || CAST(page_id % 200 AS STRING) || '.1/' WHEN 4 THEN 'http://93.184.' || CAST(page_id % 200 AS STRING) || '.34/' WHEN 5 THEN 'https://a.example.com:' || CAST(8000 + page_id % 100 AS STRING) || '/'
-    WHEN 6 THEN 'https://db' || CAST(page_id AS STRING) || '.internal/' WHEN 7 THEN 'https://intranet/' ELSE url END AS url FROM pages"""
+    WHEN 6 THEN 'https://db' || CAST(page_id AS STRING) || '.internal/' WHEN 7 THEN 'https://intranet/' WHEN 8 THEN url
+    WHEN 9 THEN 'http://[2606:4700::' || CAST(page_id % 1000 AS STRING) || ']/' WHEN 10 THEN 'https://[' || CASE page_id % 7 WHEN 0 THEN '::1' WHEN 1 THEN 'fd00::' || CAST(page_id % 1000 AS STRING)
+    WHEN 2 THEN 'fe80::1' WHEN 3 THEN '::ffff:10.0.0.' || CAST(page_id % 200 AS STRING) WHEN 4 THEN '2001:db8::1' WHEN 5 THEN 'ff02::1' ELSE '::' END || ']:8080/x'
+    ELSE 'http://[::ffff:93.184.216.' || CAST(page_id % 200 AS STRING) || ']/' END AS url FROM pages"""
 
 
-@query("url_policy", f"""SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'credentials' WHEN 1 THEN 'scheme' WHEN 2 THEN 'host' WHEN 3 THEN 'address' WHEN 4 THEN NULL
-    WHEN 5 THEN CASE WHEN 8000 + page_id % 100 = 8080 THEN NULL ELSE 'port' END WHEN 6 THEN 'host' WHEN 7 THEN 'host' END AS reason FROM ({ODD_URLS}) u""")
+@query("url_policy", f"""SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'credentials' WHEN 1 THEN 'scheme' WHEN 2 THEN 'host' WHEN 3 THEN 'address' WHEN 4 THEN NULL
+    WHEN 5 THEN CASE WHEN 8000 + page_id % 100 = 8080 THEN NULL ELSE 'port' END WHEN 6 THEN 'host' WHEN 7 THEN 'host' WHEN 10 THEN 'address' END AS reason FROM ({ODD_URLS}) u""")
 def url_policy(spark, d):
     return derive(spark, d, ODD_URLS).select("page_id", ur.reject_reason(F.col("url")).alias("reason"))
 
@@ -236,17 +239,19 @@ def source_diversity(spark, d):
     return docs.groupBy("source").agg(F.count_distinct("lang").alias("languages"), F.count_distinct(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("good_docs"))
 
 
-# Documents as posts: tags are their source, language and length class; every post has a distinct day and number.
-TAGGED = "SELECT slug, day, source AS t1, lang AS t2, CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars < 4000 THEN 'medium' ELSE 'long' END AS t3 FROM posts"
+# Documents as posts: tags are their source, language and length class, three numbers and a tag nobody shares; every post has a distinct day and number.
+TAGGED = """SELECT slug, day, 'a' || source AS t1, 'b' || lang AS t2, CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars < 4000 THEN 'medium' ELSE 'long' END AS t3, 'own' || slug AS t4,
+    'e' || CAST(doc_id % 7 AS STRING) AS t5, 'f' || CAST(doc_id % 11 AS STRING) AS t6, 'g' || CAST(doc_id % 13 AS STRING) AS t7 FROM posts"""
+SHARED = " + ".join(f"(a.t{i} = b.t{i})::INT" for i in (1, 2, 3, 5, 6, 7))
 
 
-@query("related_posts", f"""WITH p AS (SELECT slug, t1, t2, t3, row_number() OVER (ORDER BY day DESC, slug) - 1 AS place FROM ({TAGGED}) t)
-    SELECT slug, related, shared, score, CAST(rank AS INT) AS rank FROM (SELECT a.slug, b.slug AS related, (a.t1 = b.t1)::INT + (a.t2 = b.t2)::INT + (a.t3 = b.t3)::INT AS shared,
-    ((a.t1 = b.t1)::INT + (a.t2 = b.t2)::INT + (a.t3 = b.t3)::INT) * 100 - (b.place - CASE WHEN b.place > a.place THEN 1 ELSE 0 END) AS score,
-    row_number() OVER (PARTITION BY a.slug ORDER BY ((a.t1 = b.t1)::INT + (a.t2 = b.t2)::INT + (a.t3 = b.t3)::INT) * 100 - (b.place - CASE WHEN b.place > a.place THEN 1 ELSE 0 END) DESC, b.slug) AS rank
+@query("related_posts", f"""WITH p AS (SELECT slug, t1, t2, t3, t5, t6, t7, row_number() OVER (ORDER BY day DESC, slug) - 1 AS place FROM ({TAGGED}) t)
+    SELECT slug, related, shared, score, CAST(rank AS INT) AS rank FROM (SELECT a.slug, b.slug AS related, {SHARED} AS shared,
+    ({SHARED}) * 100 - (b.place - CASE WHEN b.place > a.place THEN 1 ELSE 0 END) AS score,
+    row_number() OVER (PARTITION BY a.slug ORDER BY ({SHARED}) * 100 - (b.place - CASE WHEN b.place > a.place THEN 1 ELSE 0 END) DESC, b.slug) AS rank
     FROM p a JOIN p b ON a.slug <> b.slug) r WHERE rank <= 3""")
 def related_posts(spark, d):
-    rows = derive(spark, d, TAGGED).select("slug", F.timestamp_seconds(F.lit(1700000000) + F.col("day") * 86400).alias("published_at"), F.array("t1", "t2", "t3").alias("tags"))
+    rows = derive(spark, d, TAGGED).select("slug", F.timestamp_seconds(F.lit(1700000000) + F.col("day") * 86400).alias("published_at"), F.array(*[f"t{i}" for i in range(1, 8)]).alias("tags"))
     return posts.related_posts(rows).select("slug", "related", "shared", "score", "rank")
 
 

@@ -26,35 +26,35 @@ def suggestion_lists(spark, d):
         F.when(~F.col("ok"), F.concat(F.lit("error "), "doc_id")).alias("error"))
 
 
-IDEAS = f"""placed AS (SELECT seed, engine, keyword, position, count(*) AS n FROM (SELECT seed, engine, unnest(l) AS keyword, unnest(range(1, len(l) + 1)) AS position FROM
+IDEAS = f"""placed AS MATERIALIZED (SELECT seed, engine, keyword, position, count(*) AS n FROM (SELECT seed, engine, unnest(l) AS keyword, unnest(range(1, len(l) + 1)) AS position FROM
     (SELECT seed, engine, {PAIRS} AS l FROM suggestion_texts WHERE ok) x) y WHERE length(keyword) <= 120 GROUP BY ALL),
     raw AS (SELECT seed, keyword, sum(n * floor(1099511627776.0::DOUBLE / position)) / 1099511627776.0::DOUBLE * (1 + 0.25 * (count(DISTINCT engine) - 1)) AS raw,
     array_to_string(list_sort(list_distinct(list(engine))), ' ') AS sources, min(position) AS best_position, CAST(sum(n) AS BIGINT) AS appearances FROM placed GROUP BY seed, keyword),
-    ideas AS (SELECT *, CAST(greatest(1, floor(raw / max(raw) OVER (PARTITION BY seed) * 100 + 0.5)) AS INT) AS score FROM raw)"""
+    ideas AS MATERIALIZED (SELECT *, CAST(greatest(1, floor(raw / max(raw) OVER (PARTITION BY seed) * 100 + 0.5)) AS INT) AS score FROM raw)"""
 
 
 @query("suggestion_scores", f"WITH {IDEAS} SELECT seed, keyword, score, sources, best_position, appearances, 2 AS words FROM ideas")
 def suggestion_scores(spark, d):
-    ideas = keywords.idea_scores(suggestion_lists(spark, d))
+    ideas = keywords.idea_scores(suggestion_lists(spark, d), 120)
     return ideas.select("seed", "keyword", "score", F.array_join("sources", " ").alias("sources"), F.col("best_position").cast("bigint").alias("best_position"), "appearances", "words")
 
 
 IGNORED = STOP + ", " + ", ".join(f"'{w}'" for w in ph.QUESTION_WORDS + ph.CLUSTER_IGNORE)
-CLUSTERS = f"""{IDEAS}, terms AS (SELECT DISTINCT seed, keyword, term FROM (SELECT seed, keyword, unnest(string_split(keyword, ' ')) AS term FROM ideas) t
+CLUSTERS = f"""{IDEAS}, terms AS MATERIALIZED (SELECT DISTINCT seed, keyword, term FROM (SELECT seed, keyword, unnest(string_split(keyword, ' ')) AS term FROM ideas) t
     WHERE length(term) > 2 AND term <> seed AND term NOT IN ({IGNORED})), df AS (SELECT seed, term, count(*) AS df FROM terms GROUP BY ALL HAVING count(*) >= 2),
-    best AS (SELECT seed, keyword, term FROM terms JOIN df USING (seed, term) QUALIFY row_number() OVER (PARTITION BY seed, keyword ORDER BY df DESC, term) = 1),
+    best AS (SELECT seed, keyword, min(struct_pack(d := -df, term := term)).term AS term FROM terms JOIN df USING (seed, term) GROUP BY seed, keyword),
     clustered AS (SELECT i.seed, i.keyword, coalesce(b.term, 'Other') AS cluster FROM ideas i LEFT JOIN best b USING (seed, keyword))"""
 
 
 @query("keyword_clusters", f"WITH {CLUSTERS} SELECT * FROM clustered")
 def keyword_clusters(spark, d):
-    return keywords.assign_clusters(keywords.idea_scores(suggestion_lists(spark, d))).select("seed", "keyword", "cluster")
+    return keywords.assign_clusters(keywords.idea_scores(suggestion_lists(spark, d), 120)).select("seed", "keyword", "cluster")
 
 
 @query("cluster_sizes", f"""WITH {CLUSTERS} SELECT seed, cluster, count(*) AS ideas, CAST(row_number() OVER (PARTITION BY seed ORDER BY count(*) DESC, cluster) AS INT) AS rank FROM clustered
     WHERE cluster <> 'Other' GROUP BY seed, cluster QUALIFY rank <= 24""")
 def cluster_sizes(spark, d):
-    return keywords.cluster_sizes(keywords.assign_clusters(keywords.idea_scores(suggestion_lists(spark, d))))
+    return keywords.cluster_sizes(keywords.assign_clusters(keywords.idea_scores(suggestion_lists(spark, d), 120)))
 
 
 INTENT = f"""CASE WHEN regexp_matches(k, '{ph.TRANSACTIONAL}') THEN 'Transactional' WHEN regexp_matches(k, '{ph.COMMERCIAL}') THEN 'Commercial'
@@ -74,12 +74,12 @@ def intent_group(spark, d):
 
 @query("group_counts", f"WITH {IDEAS} SELECT seed, grp, count(*) AS ideas FROM (SELECT seed, {GROUP} AS grp FROM (SELECT seed, keyword AS k FROM ideas) i) g GROUP BY ALL")
 def group_counts(spark, d):
-    return keywords.group_counts(keywords.idea_scores(suggestion_lists(spark, d))).withColumnRenamed("group", "grp")
+    return keywords.group_counts(keywords.idea_scores(suggestion_lists(spark, d), 120)).withColumnRenamed("group", "grp")
 
 
 @query("filtered_ideas", f"WITH {IDEAS} SELECT seed, keyword FROM (SELECT seed, keyword, keyword AS k FROM ideas) i WHERE {GROUP} = 'Prepositions' AND keyword LIKE '%the%'")
 def filtered_ideas(spark, d):
-    return keywords.filter_ideas(keywords.idea_scores(suggestion_lists(spark, d)), group="Prepositions", text="The").select("seed", "keyword")
+    return keywords.filter_ideas(keywords.idea_scores(suggestion_lists(spark, d), 120), group="Prepositions", text="The").select("seed", "keyword")
 
 
 @query("source_health", f"""SELECT seed, engine AS source, count(*) AS queries, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS failed,
@@ -121,15 +121,16 @@ def target_phrases(spark, d):
     return candidates_of(spark, d).select("domain", "keyword", F.array_join("found_in", " ").alias("found_in"))
 
 
-VOLUME_ROWS = "SELECT DISTINCT split_part(p_name, ' ', 1) || ' price' AS keyword, length(p_name) * 700 AS volume FROM part UNION ALL SELECT DISTINCT p_name || ' guide', 0 FROM part"
-VOLUMES_BEST = "SELECT keyword, max(volume) AS volume FROM (" + VOLUME_ROWS + ") v GROUP BY keyword"
+VOLUME_ROWS = """SELECT DISTINCT split_part(p_name, ' ', 1) || ' price' AS keyword, 'us' AS gl, length(p_name) * 700 AS volume FROM part UNION ALL SELECT DISTINCT p_name || ' guide', 'us', 0 FROM part
+    UNION ALL SELECT DISTINCT split_part(p_name, ' ', 1) || ' price', 'de', length(p_name) * 900 FROM part"""
+VOLUMES_BEST = "SELECT keyword, max(volume) AS volume FROM (" + VOLUME_ROWS + ") v WHERE gl = CASE WHEN length(keyword) % 2 = 0 THEN 'us' ELSE 'de' END GROUP BY keyword"
 
 
 @query("keywords_from_volumes", f"""WITH {PHRASE_ROWS}, vol AS ({VOLUMES_BEST}) SELECT domain, keyword, volume, CASE WHEN volume >= 10000 THEN 'High' WHEN volume >= 1000 THEN 'Medium' ELSE 'Low' END AS level,
     CAST(row_number() OVER (PARTITION BY domain ORDER BY volume DESC, first_place, ord) AS INT) AS rank FROM cand JOIN vol USING (keyword) WHERE volume > 0 QUALIFY rank <= 10""")
 def keywords_from_volumes(spark, d):
-    volumes = derive(spark, d, VOLUMES_BEST)
-    return keywords.keywords_from_volumes(candidates_of(spark, d), volumes).select("domain", "keyword", "volume", "level", "rank")
+    asked = candidates_of(spark, d).withColumn("gl", F.when(F.length("keyword") % 2 == 0, "us").otherwise("de"))
+    return keywords.keywords_from_volumes(asked, derive(spark, d, VOLUME_ROWS)).select("domain", "keyword", "volume", "level", "rank")
 
 
 # Prefix lists: every start of a part name of at least half its length suggests it, third after two rivals.
@@ -421,15 +422,6 @@ def recent_searches(spark, d):
     return keywords.recent_searches(landed(spark, d, "search_log")).select("user_id", "tool", "query", "position")
 
 
-@query("fixed_window_limit", """WITH RECURSIVE r AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
-    w AS (SELECT user_id, i, t AS opened, 1 AS n, true AS ok, event_id FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.i, CASE WHEN r.t >= w.opened + 200000 THEN r.t ELSE w.opened END,
-    CASE WHEN r.t >= w.opened + 200000 THEN 1 WHEN w.n >= 3 THEN w.n ELSE w.n + 1 END, r.t >= w.opened + 200000 OR w.n < 3, r.event_id FROM w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1)
-    SELECT event_id, ok FROM w""")
-def fixed_window_limit(spark, d):
-    requests = table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return streaming.fixed_window_limit_batch(requests, 3, 200000.0).select("event_id", "ok")
-
-
 EVENTS = """SELECT 'a' || CAST(user_id AS STRING) AS audit_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'page' WHEN 'click' THEN 'phase' WHEN 'purchase' THEN 'done' ELSE 'info' END AS type,
     CASE WHEN event_type = 'click' THEN 'phase ' || CAST(event_id AS STRING) END AS phase, CASE WHEN event_type = 'view' THEN CAST(event_id % 500 AS INT) END AS crawled,
     CASE WHEN event_type = 'view' THEN CAST(event_id % 70 AS INT) END AS queued, 'https://e/' || CAST(event_id AS STRING) AS page_url FROM events"""

@@ -1,7 +1,8 @@
 """Landed tables that the registered queries run on, derived from the given tables.
 
-Each is one SELECT that Spark and an ANSI SQL engine read alike, so both sides of a comparison start from the same rows. Every
-table grows with the given tables; none is sampled or cut.
+Each is one SELECT that Spark and an ANSI SQL engine read alike, so both sides of a comparison start from the same rows. Tables
+grow with the given ones: every supplier is a site and every order line a link. A site's pages are numbered modulo 150, so that
+its links make a dense graph; what a page says comes from a part of its own, over all parts.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ DERIVED: dict[str, str] = {
         CASE WHEN h % 29 = 0 THEN 1 ELSE 0 END AS http_internal_links, CASE WHEN h % 31 = 0 THEN 2 ELSE 0 END AS mixed_content,
         {s('h % 200')} AS content_hash, CAST(floor(p_retailprice) + (h % 5) * 60 AS INT) AS ttfb_ms, CAST(h * 2000 AS INT) AS html_bytes,
         (h % 3 <> 0) AS compressed, (status = 200 AND h % 11 <> 0) AS is_html
-        FROM site_nodes JOIN part ON p_partkey = n""",
+        FROM site_nodes JOIN (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part) described
+        ON place = (n + CAST(substr(site, 2) AS BIGINT) * 150) % (SELECT count(*) FROM part)""",
     "sites": f"""SELECT 's' || {s('s_suppkey')} AS site,
         CASE WHEN s_suppkey % 10 = 0 THEN 'http' ELSE 'https' END || '://s' || {s('s_suppkey')} || '.example.com/' AS final_url,
         (s_suppkey % 4 = 0) AS limit_reached, (s_suppkey % 6 <> 0) AS robots_found, (s_suppkey % 7 <> 0) AS sitemap_found,
@@ -80,7 +82,7 @@ DERIVED: dict[str, str] = {
         ELSE '.example.com' END AS domain, 'c' || {s('c_custkey')} || '.example.com' AS ranked, c_custkey,
         CASE c_custkey % 5 WHEN 0 THEN 'en-GB' WHEN 1 THEN 'fr' WHEN 2 THEN 'pt_BR' WHEN 3 THEN 'xx' END AS lang FROM customer""",
     # Documents are autocomplete lists: their source is the seed, their two-word runs are the suggestions.
-    "suggestion_texts": """SELECT doc_id, source AS seed, CASE doc_id % 4 WHEN 0 THEN 'google' WHEN 1 THEN 'bing' WHEN 2 THEN 'duckduckgo' ELSE 'youtube' END
+    "suggestion_texts": """SELECT doc_id, source AS seed, CASE doc_id % 6 WHEN 0 THEN 'google' WHEN 1 THEN 'bing' WHEN 2 THEN 'duckduckgo' WHEN 3 THEN 'amazon' WHEN 4 THEN 'yandex' ELSE 'youtube' END
         AS engine, text, (doc_id % 7 <> 3) AS ok FROM documents""",
     "search_log": f"""SELECT user_id, event_type AS tool, CASE WHEN event_id % 2 = 0 THEN 'Site ' ELSE 'site ' END || {s('event_id % 60')} AS query,
         ts AS at, event_id FROM events""",

@@ -15,8 +15,6 @@ RESPONSE_SCHEMA = (
     " fetched_at timestamp, ord bigint, redirects array<struct<url:string,status:int,location:string>>,"
     " tls struct<protocol:string,cipher:string,subject:string,issuer:string,valid_from:timestamp,valid_to:timestamp,alt_names:array<string>>"
 )
-GZIP_LIMIT = 60 * 1024 * 1024
-NATIVE_CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "utf-16": "UTF-16LE"}
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -61,34 +59,34 @@ def decode_other(body: pd.Series, label: pd.Series) -> pd.Series:
 
 
 def decode_body(responses: DataFrame, body: str = "body", content_type: str = "content_type", out: str = "html") -> DataFrame:
-    """Decoded text. UTF-8 stays in the JVM; only rows with another charset pass through Python."""
+    """Decoded text, in one scan. UTF-8 stays in the JVM; the function gets nulls for all rows but those with another charset."""
     labelled = responses.withColumn("_label", charset_label(F.col(body), F.col(content_type)))
     plain = F.col("_label").isin("", "utf-8", "utf8")
-    easy = labelled.where(plain).withColumn(out, F.regexp_replace(F.try_validate_utf8(F.col(body).cast("string")), r"^\x{FEFF}", ""))
-    broken = easy.where(F.col(out).isNull() & F.col(body).isNotNull()).drop(out)
-    good = easy.where(F.col(out).isNotNull() | F.col(body).isNull())
-    rest = labelled.where(~plain).unionByName(broken).withColumn(out, decode_other(F.col(body), F.col("_label")))
-    return good.unionByName(rest).drop("_label")
+    staged = labelled.withColumn("_text", F.when(plain, F.regexp_replace(F.try_validate_utf8(F.col(body).cast("string")), r"^\x{FEFF}", "")))
+    odd = F.when(F.col("_text").isNull(), F.col(body))
+    return staged.withColumn(out, F.coalesce("_text", decode_other(odd, F.col("_label")))).drop("_label", "_text")
 
 
 def gunzip_bodies(rows: DataFrame, body: str = "body", out: str = "text") -> DataFrame:
-    """Sitemap bodies as text; gzip is told by its magic bytes and unpacked up to 60 MB, a corrupt file becomes empty."""
+    """Sitemap bodies as text; gzip is told by its magic bytes, a corrupt file becomes empty, a missing body stays null."""
 
     @F.pandas_udf(T.StringType())
     def unpack(data: pd.Series) -> pd.Series:
-        def one(raw: bytes) -> str:
+        def one(raw: bytes | None) -> str | None:
+            if raw is None:
+                return None
             stream = zlib.decompressobj(31)
             try:
-                text = stream.decompress(bytes(raw), GZIP_LIMIT)
-                return "" if stream.unconsumed_tail or not stream.eof else text.decode("utf-8", "replace")
+                text = stream.decompress(bytes(raw))
+                return text.decode("utf-8", "replace") if stream.eof else ""
             except zlib.error:
                 return ""
 
         return data.map(one)
 
-    packed = F.substring(F.col(body), 1, 2) == F.unhex(F.lit("1F8B"))
-    plain = rows.where(~packed).withColumn(out, F.make_valid_utf8(F.col(body).cast("string")))
-    return plain.unionByName(rows.where(packed).withColumn(out, unpack(F.col(body))))
+    packed = F.coalesce(F.substring(F.col(body), 1, 2) == F.unhex(F.lit("1F8B")), F.lit(False))
+    # one scan; the function gets nulls for all rows but the packed ones
+    return rows.withColumn(out, F.coalesce(F.when(~packed, F.make_valid_utf8(F.col(body).cast("string"))), unpack(F.when(packed, F.col(body)))))
 
 
 def _xml_text(text: Column) -> Column:

@@ -68,9 +68,12 @@ def test_url_rules(spark):
     reasons = {"ftp://e.com/": "scheme", "http://u@e.com/": "credentials", "http://e.com:22/": "port", "http://127.0.0.1/": "address", "http://x.local/": "host", "https://e.com/": None}
     for url, want in reasons.items():
         assert value(spark, ur.reject_reason(F.lit(url))) == want
-    public = {"8.8.8.8": True, "10.0.0.1": False, "::1": False, "2606:4700::1111": True, "::ffff:10.0.0.1": False, "nonsense": False}
+    public = {"::1": False, "::": False, "fc00::1": False, "fd00::1": False, "fe80::1": False, "2606:4700::1111": True, "::ffff:10.0.0.1": False, "::ffff:8.8.8.8": True, "2001:db8::1": False,
+              "2606:4700:0:0:0:0:0:1": True, "2606:4700:0:0:0:0:1": False, "2606::4700::1": False, "2606::g": False, "::ffff:8.8.8.800": False, "ff02::1": False, "2002::1": False, "nonsense": False}
     rows = spark.createDataFrame([(k,) for k in public], "ip string")
-    assert {r["ip"]: r["p"] for r in rows.select("ip", ur.is_public_ip("ip").alias("p")).collect()} == public
+    assert {r["ip"]: r["p"] for r in rows.select("ip", ur.is_public_ipv6(F.col("ip")).alias("p")).collect()} == public
+    reasons = {"http://[::1]/": "address", "http://[fd00::1]:8080/x": "address", "https://[2606:4700::1111]/": None, "http://[2606:4700::1111]:22/": "port"}
+    assert {r["u"]: r["r"] for r in spark.createDataFrame([(k,) for k in reasons], "u string").select("u", ur.reject_reason(F.col("u")).alias("r")).collect()} == reasons
 
 
 def test_registrable_domain_with_a_suffix_table(spark):

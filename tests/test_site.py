@@ -105,8 +105,8 @@ def test_bodies_and_certificates(spark):
                                   (4, bytearray(b"\xff x"), None), (5, bytearray("é".encode()), "text/html; charset=nonsense")], "id int, body binary, content_type string")
     got = {r["id"]: r["html"] for r in responses.decode_body(rows).collect()}
     assert got == {1: "é", 2: "<meta charset='latin1'>é", 3: "é", 4: "� x", 5: "é"}
-    packed = spark.createDataFrame([(1, bytearray(gzip.compress(b"<urlset/>"))), (2, bytearray(b"\x1f\x8bbroken")), (3, bytearray(b"plain"))], "id int, body binary")
-    assert {r["id"]: r["text"] for r in responses.gunzip_bodies(packed).collect()} == {1: "<urlset/>", 2: "", 3: "plain"}
+    packed = spark.createDataFrame([(1, bytearray(gzip.compress(b"<urlset/>"))), (2, bytearray(b"\x1f\x8bbroken")), (3, bytearray(b"plain")), (4, None)], "id int, body binary")
+    assert {r["id"]: r["text"] for r in responses.gunzip_bodies(packed).collect()} == {1: "<urlset/>", 2: "", 3: "plain", 4: None}
     xml = "<urlset><url><loc> https://e.com/?a=1&amp;b=2 </loc><lastmod>2024-01-01</lastmod></url><url><loc><![CDATA[https://e.com/c]]></loc></url></urlset>"
     files = spark.createDataFrame([("e", "m.xml", xml), ("e", "bad", "<html>")], "site string, sitemap string, text string")
     assert [(r["loc"], r["lastmod"]) for r in responses.parse_sitemaps(files).orderBy("ord").collect()] == [("https://e.com/?a=1&b=2", "2024-01-01"), ("https://e.com/c", None)]
@@ -138,3 +138,24 @@ def test_global_ordinals_and_peaks_against_brute_force(spark):
             run += delta
             best = max(best, run)
         assert peaks[key] == best
+
+
+def test_all_sitemaps_are_read_or_said_to_be_left_out(spark):
+    leaves = [("s", f"m{i}", "urlset", f"https://s/{i}", i, None) for i in range(12)]
+    index = [("s", "root", "index", f"m{i}", i, None) for i in range(12)]
+    entries = spark.createDataFrame(index + leaves, "site string, sitemap string, kind string, loc string, ord long, lastmod string")
+    roots = spark.createDataFrame([("s", "root", 0)], "site string, sitemap string, ord long")
+    for limit, urls, partial in ((None, 12, False), (5, 4, True)):
+        rows = graph.collect_sitemap_urls(graph.expand_sitemaps(roots, entries, limit), entries).collect()
+        assert (len(rows), {r["partial"] for r in rows}) == (urls, {partial})
+
+
+def test_volumes_and_prefixes_keep_to_their_market(spark):
+    from sitegrain.operators import keywords
+
+    asked = spark.createDataFrame([("d", "red shoes", "us", 1, 1), ("e", "red shoes", "de", 1, 1)], "domain string, keyword string, gl string, origin_order int, position int")
+    volumes = spark.createDataFrame([("red shoes", "us", 500), ("red shoes", "de", 70), ("red shoes", "fr", 9000)], "keyword string, gl string, volume long")
+    assert sorted((r["domain"], r["volume"]) for r in keywords.keywords_from_volumes(asked, volumes).collect()) == [("d", 500), ("e", 70)]
+    lists = [("us", "red", ["red shoes"]), ("us", "red shoes", ["red shoes"]), ("de", "red sho", ["x", "red shoes"]), ("de", "red shoes", ["red shoes"])]
+    prefixes = spark.createDataFrame(lists, "gl string, prefix string, suggestions array<string>")
+    assert sorted((r["gl"], r["prefix"]) for r in keywords.shortest_prefixes(asked, prefixes).collect()) == [("de", "red sho"), ("us", "red")]
