@@ -35,6 +35,8 @@ from sitegrain.session import cut_lineage
 BASE, LIMIT, RATE = 1.001, 2**16 - 2, 20.0
 #: Bands and registers in a band. A pair at similarity 0.8 shares no band with a probability of (1 - 0.8 ** 6) ** 50 < 3e-7.
 BANDS, ROWS = 50, 6
+#: Bytes of text that are hashed at a time; the arrays for them take some fifty times as much.
+TEXT_BYTES = 500_000
 #: Rows of a block, and bytes of their sets, that are compared with as many others at a time.
 BLOCK, BLOCK_BYTES = 1024, 8_000_000
 
@@ -136,7 +138,7 @@ def _sketch(width: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = bytes_of(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, TEXT_BYTES):
                 sets, sizes = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 full = sizes > 0
                 prints = np.zeros((2, b - a), np.int64)
@@ -193,7 +195,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = bytes_of(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, TEXT_BYTES):
                 sets, sizes = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 stops = np.cumsum(sizes)
                 packed = [sets[x:y].tobytes() for x, y in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]
