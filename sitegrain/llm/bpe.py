@@ -23,10 +23,13 @@ class Memory:
         self.found: dict[str, object] = {}
         self.older: dict[str, object] = {}
 
-    def missing(self, words: set[str]) -> list[str]:
-        """The words that nothing is known of; all others can be read from ``found`` until the next call."""
+    def renew(self) -> None:
+        """Begin a generation if this one is full."""
         if len(self.found) > REMEMBERED:
             self.older, self.found = self.found, {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words that nothing is known of; all others can then be read from ``found``."""
         new = []
         for word in words.difference(self.found):
             if word in self.older:
@@ -70,16 +73,22 @@ class Encoder:
         whole = [i for i, t in enumerate(texts) if "  " in t or t.endswith(" ") or any(s in t for s in self.specials)]
         other = set(whole)
         split = [None if i in other else t.split(" ") for i, t in enumerate(texts)]
-        met: set[str] = set()
-        for words in split:
-            if words:
-                met.update(words[1:])
-        new = self.words.missing(met)
-        self.words.found.update(zip(new, self._word_ids(new), strict=True))
-        known = self.words.found.__getitem__
         starts = iter(self._ids([words[0] for words in split if words]))
         wholes = iter(self._ids([texts[i] for i in whole]))
-        return [next(wholes) if words is None else next(starts) + b"".join(map(known, words[1:])) for words in split]
+        self.words.renew()
+        known = self.words.found
+        # each word is looked up once; only what wasn't found is looked at again
+        found = [[next(wholes)] if words is None else list(map(known.get, words)) for words in split]
+        lacking = [[i for i, ids in enumerate(own) if ids is None] if None in own else () for own in found]
+        met = {words[i] for words, places in zip(split, lacking, strict=True) if places for i in places if i}
+        new = self.words.missing(met)
+        known.update(zip(new, self._word_ids(new), strict=True))
+        for words, own, places in zip(split, found, lacking, strict=True):
+            for i in places:
+                own[i] = known.get(words[i])
+            if words:
+                own[0] = next(starts)  # the first word has no space before it
+        return [b"".join(own) for own in found]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

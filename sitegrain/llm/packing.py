@@ -101,7 +101,7 @@ def _pack(tokenizer: str, length: int, separator: int, hidden: int):
 
         for batch in batches:
             _, offsets = bytes_of(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 4_000_000):
                 names, texts = batch.column("id").slice(a, b - a).to_pylist(), batch.column("text").slice(a, b - a).to_pylist()
                 for name, ids in zip(names, encode([t or "" for t in texts]), strict=True):
                     held.append((name, ids + end))

@@ -159,6 +159,7 @@ class Codec:
         for words in split:
             if words:
                 met.update(words)
+        self.words.renew()
         new = [w for w in self.words.missing(met) if w]
         # the leading marker of each is that of its word; a lone marker is what follows a last space
         known = self.words.found
