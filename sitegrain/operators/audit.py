@@ -147,11 +147,12 @@ def content_rules() -> dict[str, tuple[Column, Column | None]]:
     }
 
 
-def page_issues(pages: DataFrame, rules=None) -> DataFrame:
-    """Findings of all page-local rules in one scan: ``(site, issue, url, detail)``. Works on a stream as well."""
+def page_issues(pages: DataFrame, rules=None, ids: set[str] | None = None) -> DataFrame:
+    """Findings of the page-local rules, of all or of some ids, in one scan: ``(site, issue, url, detail)``. Works on a stream as well."""
     live = F.col("is_html") & (F.col("status") == 200)
     content = {k: (live & cond, detail) for k, (cond, detail) in content_rules().items()} if rules is None else rules
     every = {**status_rules(), **content} if rules is None else content
+    every = every if ids is None else {k: rule for k, rule in every.items() if k in ids}
     flags = F.array(*[
         F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(k).alias("issue"), (F.lit(None).cast("string") if d is None else d).alias("detail")))
         for k, (cond, d) in every.items()
@@ -201,6 +202,14 @@ def link_targets(edges: DataFrame, pages: DataFrame, checks: DataFrame) -> DataF
     return joined.withColumn("status", F.coalesce("_page", "_check")).drop("_page", "_check").where(F.col("status") != -1)
 
 
+def faulty_targets(edges: DataFrame, pages: DataFrame, checks: DataFrame) -> DataFrame:
+    """Edges to broken or redirecting targets with their status. The targets are filtered before the edges meet them, so edges are shuffled once."""
+    crawled = pages.select("site", F.col("url").alias("dst"), "status")
+    checked = checks.select("site", F.col("url").alias("dst"), "status").join(crawled.select("site", "dst"), ["site", "dst"], "left_anti")
+    faulty = crawled.unionByName(checked).where(broken_internal(F.col("status")) | F.col("status").between(300, 399))
+    return edges.join(faulty, ["site", "dst"])
+
+
 def link_rows(targets: DataFrame) -> DataFrame:
     """Broken and redirecting targets per source page, ``(site, src, issue, item)``."""
     s = F.col("status")
@@ -296,16 +305,42 @@ def site_issues(sites: DataFrame) -> DataFrame:
     return sites.select("site", hits.alias("h")).select("site", "h.issue", "h.url", "h.detail")
 
 
-def find_issues(pages: DataFrame, edges: DataFrame, images: DataFrame, externals: DataFrame, checks: DataFrame, sites: DataFrame) -> DataFrame:
-    """All findings, ``(site, issue, severity, url, detail)``. ``pages`` carries the columns of ``audit_pages``."""
-    facts = sites.select("site", F.col("final_url").startswith("https:").alias("https_site"), "limit_reached")
-    raw = inlink_counts(edges).select("site", "url", "raw_inlinks")
-    full = pages.join(facts, "site").join(raw, ["site", "url"], "left")
-    # The rows behind the per-source findings feed a count and a top-n; they are written once so that no join runs twice.
-    rows = [link_rows(link_targets(edges, pages, checks)), image_rows(images, checks), external_rows(externals, checks)]
-    per_source = source_findings(cut_lineage(reduce(DataFrame.unionByName, rows)))
-    parts = [site_issues(sites), page_issues(full), duplicate_issues(pages), redirect_issues(pages), canonical_issues(pages), per_source]
-    return with_severity(reduce(DataFrame.unionByName, parts))
+def find_issues(
+    pages: DataFrame, edges: DataFrame, images: DataFrame, externals: DataFrame, checks: DataFrame, sites: DataFrame, ids: set[str] | None = None, detail: bool = True
+) -> DataFrame:
+    """All findings, ``(site, issue, severity, url, detail)``. ``pages`` carries the columns of ``audit_pages``.
+
+    With ``ids`` only those rules run, and joins that only others need are left out; without ``detail`` that column is null and no examples are
+    gathered.
+    """
+    wanted = set(SEVERITY) if ids is None else set(ids)
+    parts = [site_issues(sites).where(F.col("issue").isin(*sorted(wanted)))]
+    local = wanted & {*status_rules(), *content_rules()}
+    if local:
+        facts = sites.select("site", F.col("final_url").startswith("https:").alias("https_site"), "limit_reached")
+        full = pages.join(facts, "site")
+        counted = detail and "page-4xx" in local
+        full = full.join(inlink_counts(edges).select("site", "url", "raw_inlinks"), ["site", "url"], "left") if counted else full.withColumn("raw_inlinks", F.lit(None).cast("int"))
+        parts.append(page_issues(full, ids=local))
+    if wanted & {"duplicate-title", "duplicate-description", "duplicate-content"}:
+        parts.append(duplicate_issues(pages).where(F.col("issue").isin(*sorted(wanted))))
+    if wanted & {"redirect-loop", "redirect-chain"}:
+        parts.append(redirect_issues(pages).where(F.col("issue").isin(*sorted(wanted))))
+    if "canonical-to-broken" in wanted:
+        parts.append(canonical_issues(pages))
+    rows = []
+    if wanted & {"broken-internal-links", "links-to-redirect"}:
+        rows.append(link_rows(faulty_targets(edges, pages, checks)).where(F.col("issue").isin(*sorted(wanted))))
+    if "broken-images" in wanted:
+        rows.append(image_rows(images, checks))
+    if "broken-external-links" in wanted:
+        rows.append(external_rows(externals, checks))
+    if rows:
+        every = reduce(DataFrame.unionByName, rows)
+        # The rows behind the per-source findings feed a count and a top-n; they are written once so that no join runs twice.
+        parts.append(source_findings(cut_lineage(every)) if detail else every.select("site", "issue", F.col("src").alias("url"), F.lit(None).cast("string").alias("detail")).distinct())
+    found = with_severity(reduce(DataFrame.unionByName, parts))
+    return found if detail else found.withColumn("detail", F.lit(None).cast("string"))
 
 
 def with_severity(findings: DataFrame) -> DataFrame:

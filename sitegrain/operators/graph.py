@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sitegrain.functions import urls as ur
 from sitegrain.operators.ranking import fan_out, hot_keys, spread
-from sitegrain.session import cut_lineage, forget
+from sitegrain.session import cut_lineage, forget, shared_folder
 
 
 def graph_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -19,39 +21,54 @@ def graph_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
     return clicks.unionByName(hops).groupBy("site", "src", "dst").agg(F.min("w").alias("w"))
 
 
-def click_depths(starts: DataFrame, edges: DataFrame, rows_per_part: int = 1_000_000, max_rounds: int = 10_000) -> DataFrame:
+def click_depths(starts: DataFrame, edges: DataFrame, rows_per_part: int = 1_000_000) -> DataFrame:
     """Fewest clicks from a start page, ``(site, url, depth)``; unreachable pages have no row.
 
-    ``starts(site, url)`` may carry a ``depth`` of its own.
-    Each round joins only the pages whose depth just fell with their out-edges. The edges are laid out once by
-    (site, src); a hub's edges are dealt over several parts, so no task holds all links of one page.
+    ``starts(site, url)`` may carry a ``depth`` of its own. Levels are settled one after another: the pages of a level are those that a click
+    from the level before reaches, with all that redirects reach from them, as far as no earlier level has them. A level is written once and
+    never again; a round joins only the newest pages with their out-edges and compares what they reach with the settled pages. The
+    edges are laid out once by (site, src); a hub's edges are dealt over several parts, so no task holds all links of one page.
     """
     hot = hot_keys(edges, ["site", "src"], rows_per_part)
     hot = None if hot is None else cut_lineage(hot)
-    laid = spread(edges, hot, ["site", "src"], ["dst"]).repartition("site", "src", "_part").persist()
+    laid = cut_lineage(spread(edges, hot, ["site", "src"], ["dst"]).repartition("site", "src", "_part"))
     depth = F.col("depth") if "depth" in starts.columns else F.lit(0)
-    seen = cut_lineage(starts.groupBy("site", "url").agg(F.min(depth).alias("depth")).withColumn("fresh", F.lit(True)))
-    try:
-        for _ in range(max_rounds):
-            front = seen.where("fresh").select("site", F.col("url").alias("src"), "depth")
-            reached = (
-                fan_out(front, hot, ["site", "src"])
-                .join(laid, ["site", "src", "_part"])
-                .groupBy("site", F.col("dst").alias("url"))
-                .agg(F.min(F.col("depth") + F.col("w")).alias("found"))
-            )
-            better = F.col("found").isNotNull() & (F.col("depth").isNull() | (F.col("found") < F.col("depth")))
-            grown = cut_lineage(
-                seen.drop("fresh").join(reached, ["site", "url"], "full_outer")
-                .select("site", "url", F.least("depth", "found").alias("depth"), better.alias("fresh"))
-            )
-            forget(seen)
-            seen = grown
-            if seen.where("fresh").isEmpty():
-                return seen.drop("fresh")
-    finally:
-        laid.unpersist()
-    raise RuntimeError(f"click depths did not settle in {max_rounds} rounds")
+    begin = cut_lineage(starts.groupBy("site", "url").agg(F.min(depth).alias("depth")))
+    redirects = not laid.where("w = 0").isEmpty()
+    spark, root, writes = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/levels-{uuid.uuid4().hex}", count()
+    schema = begin.select("site", "url", F.col("depth").cast("int").alias("depth")).schema
+    settled = lambda: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root)
+
+    def settle(found: DataFrame, level: int) -> tuple[DataFrame, int]:
+        """Write the pages that no level has yet, and count them."""
+        fresh, seen, at = found.select("site", "url").distinct(), Observation(), next(writes)
+        if at:
+            fresh = fresh.join(settled().select("site", "url"), ["site", "url"], "left_anti")
+        fresh.withColumn("depth", F.lit(level).cast("int")).observe(seen, F.count("*").alias("rows")).write.parquet(f"{root}/{at}")
+        return spark.read.schema(schema).parquet(f"{root}/{at}"), seen.get["rows"]
+
+    def reached(front: DataFrame, weight: int) -> DataFrame:
+        from_pages = fan_out(front.select("site", F.col("url").alias("src")), hot, ["site", "src"])
+        return from_pages.join(laid.where(F.col("w") == weight), ["site", "src", "_part"]).select("site", F.col("dst").alias("url"))
+
+    levels = sorted(r["depth"] for r in begin.select("depth").distinct().collect())  # a few distinct numbers
+    level, front = None, []
+    while levels or front:
+        if not front:
+            level = levels[0]
+        found = [reached(pages, 1) for pages in front]
+        if levels and levels[0] == level:
+            found.append(begin.where(F.col("depth") == level))
+            levels.pop(0)
+        front, (pages, rows) = [], settle(reduce(DataFrame.unionByName, found), level)
+        while rows:
+            front.append(pages)
+            if not redirects:
+                break
+            pages, rows = settle(reached(pages, 0), level)
+        level += 1
+    forget(laid)
+    return settled() if next(writes) else spark.createDataFrame([], schema)
 
 
 def redirect_chains(pages: DataFrame) -> DataFrame:

@@ -141,14 +141,14 @@ ALL = f"""WITH RECURSIVE {FULL}, targets AS (SELECT e.site, e.src, e.dst, coales
     UNION ALL {IMAGES} UNION ALL {EXTERNALS}) u) """
 
 
-def findings_of(spark, d):
-    """All findings. Pages and edges feed many rules, so they are written once, as a crawl would have landed them."""
+def findings_of(spark, d, ids=None, detail=True):
+    """Findings of all rules or some. Pages and edges feed many rules, so they are written once, as a crawl would have landed them."""
     sites = graph.host_checks(landed(spark, d, "sites"), landed(spark, d, "host_probes"))
     edges = cut_lineage(edges_of(spark, d))
     pages = pages_of(spark, d).join(audit.inlink_counts(edges).select("site", "url", "inlinks"), ["site", "url"], "left")
     pages = cut_lineage(pages.withColumn("inlinks", F.coalesce("inlinks", F.lit(0))))
     images, externals, checks = (cut_lineage(landed(spark, d, n)) for n in ("image_links", "external_links", "link_checks"))
-    return audit.find_issues(pages, edges, images, externals, checks, sites)
+    return audit.find_issues(pages, edges, images, externals, checks, sites, ids, detail)
 
 
 @query("page_issues", f"WITH {FULL} {PAGE_ISSUES}")
@@ -210,7 +210,7 @@ def issue_rollup(spark, d):
 @query("severity_totals", ALL + """SELECT site, severity, CAST(sum(n) AS BIGINT) AS findings, count(*) AS issue_types FROM
     (SELECT site, issue, severity, count(*) AS n FROM findings GROUP BY ALL) g GROUP BY site, severity""")
 def severity_totals(spark, d):
-    counts = findings_of(spark, d).groupBy("site", "issue", "severity").agg(F.count("*").alias("count"))
+    counts = findings_of(spark, d, detail=False).groupBy("site", "issue", "severity").agg(F.count("*").alias("count"))
     return audit.severity_totals(counts)
 
 
@@ -218,19 +218,20 @@ def severity_totals(spark, d):
     / count(*) FILTER (WHERE p.status <> -1) * 100 + 0.5) END AS INT) AS health_score FROM site_pages p
     LEFT JOIN (SELECT DISTINCT site, url FROM findings WHERE severity = 'error') d ON d.site = p.site AND d.url = p.url GROUP BY p.site""")
 def health_score(spark, d):
-    return audit.health_score(pages_of(spark, d), findings_of(spark, d))
+    errors = {issue for issue, severity in audit.SEVERITY.items() if severity == "error"}
+    return audit.health_score(landed(spark, d, "site_pages"), findings_of(spark, d, errors, detail=False))
 
 
 @query("pages_with_issues", ALL + """SELECT p.site, p.url, coalesce(f.issues, '') AS issues FROM site_pages p LEFT JOIN
     (SELECT site, url, array_to_string(list(issue ORDER BY issue), ' ') AS issues FROM findings GROUP BY site, url) f ON f.site = p.site AND f.url = p.url""")
 def pages_with_issues(spark, d):
-    return audit.pages_with_issues(pages_of(spark, d), findings_of(spark, d)).select("site", "url", F.array_join("issues", " ").alias("issues"))
+    return audit.pages_with_issues(landed(spark, d, "site_pages"), findings_of(spark, d, detail=False)).select("site", "url", F.array_join("issues", " ").alias("issues"))
 
 
 @query("issue_list", ALL + """SELECT site, issue, severity, count, CAST(row_number() OVER (PARTITION BY site ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END,
     count DESC, issue) AS INT) AS place FROM (SELECT site, issue, severity, count(*) AS count FROM findings GROUP BY ALL) g""")
 def issue_list(spark, d):
-    counts = findings_of(spark, d).groupBy("site", "issue", "severity").agg(F.count("*").alias("count"))
+    counts = findings_of(spark, d, detail=False).groupBy("site", "issue", "severity").agg(F.count("*").alias("count"))
     return ranking.top_n(counts, ["site"], audit.issue_order(), len(audit.SEVERITY), "place")
 
 

@@ -148,4 +148,4 @@ def first_lookups(lookups: DataFrame, ttl: str) -> DataFrame:
 
 def completed_overviews(sections: DataFrame, total: int = 8) -> DataFrame:
     """Domains and how many of their sections have arrived; complete when all have."""
-    return sections.groupBy("domain").agg(F.approx_count_distinct("section", 0.01).alias("arrived")).withColumn("complete", F.col("arrived") >= total)
+    return sections.groupBy("domain").agg(F.size(F.collect_set("section")).alias("arrived")).withColumn("complete", F.col("arrived") >= total)
