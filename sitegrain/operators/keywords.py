@@ -52,6 +52,11 @@ def idea_scores(suggestions: DataFrame, longest: int | None = None) -> DataFrame
         ph.group(F.col("keyword")).alias("group"), ph.intent(F.col("keyword")).alias("intent"))
 
 
+def ranked_ideas(ideas: DataFrame, limit: int) -> DataFrame:
+    """The best ideas of each seed with their ``rank``: highest score first, of equals the keyword that sorts first."""
+    return top_n(ideas, ["seed"], [F.col("score").desc(), F.col("keyword")], limit, "rank")
+
+
 def idea_terms(keyword: Column, seed: Column) -> Column:
     """Distinct words of an idea that could name a cluster."""
     words = F.array_distinct(F.array_except(tx.tokenize(keyword), tx.tokenize(seed)))

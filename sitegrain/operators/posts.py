@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import urls as ur
 from sitegrain.functions.text import js_round
-from sitegrain.operators.ranking import top_n, with_ordinal
+from sitegrain.operators.ranking import page_of, top_n, with_ordinal
 
 # Names of post files, and times as posts write them.
 FILE_NAME = r"^(\d{4}-\d{2}-\d{2})-([a-z0-9]+(?:-[a-z0-9]+)*)\.md$"
@@ -57,6 +57,11 @@ def latest_posts(posts: DataFrame, n: int) -> DataFrame:
     return posts.orderBy(F.try_to_timestamp("date").desc(), F.col("slug")).limit(n)
 
 
+def post_page(posts: DataFrame, page: int, size: int = 12) -> DataFrame:
+    """One page (from 1) of the list of posts, newest first, with the zero-based ``position`` of each."""
+    return page_of(posts, -F.unix_micros(F.try_to_timestamp("date")), "slug", page, size)
+
+
 def related_posts(posts: DataFrame, n: int = 3) -> DataFrame:
     """For every post the n others with the best score, shared tags times 100 minus recency place.
 

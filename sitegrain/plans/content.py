@@ -263,6 +263,14 @@ def published_posts(spark, d):
     return top_n(newest, ["one"], [F.col("date").desc(), F.col("slug")], 30, "place").select("slug", "place")
 
 
+@query("post_page", """SELECT slug, CAST(position AS BIGINT) AS position FROM (SELECT slug, row_number() OVER (ORDER BY day DESC, slug) - 1 AS position FROM posts WHERE doc_id % 5 <> 0 AND day <= 600) q
+    WHERE position BETWEEN 24 AND 35""")
+def post_page(spark, d):
+    rows = landed(spark, d, "posts").select("slug", (F.col("doc_id") % 5 == 0).alias("draft"), F.date_add(F.lit("2022-01-01").cast("date"), F.col("day")).cast("string").alias("date"))
+    kept = posts.published(rows, F.date_add(F.lit("2022-01-01").cast("date"), F.lit(600)).cast("timestamp"))
+    return posts.post_page(kept, 3).select("slug", F.col("position").cast("bigint").alias("position"))
+
+
 POST_FILES = """SELECT slug, '2024-01-' || lpad(CAST(day % 28 + 1 AS STRING), 2, '0') || '-' || slug || '.md' AS file, '---' || chr(10) || 'title: "Post ' || slug || '"' || chr(10) || 'date: 2024-01-01T00:00:00Z'
     || chr(10) || 'tags: [' || source || ', ' || lang || ']' || chr(10) || 'draft: ' || CASE WHEN doc_id % 5 = 0 THEN 'true' ELSE 'false' END || chr(10) || '---' || chr(10) || text AS raw FROM posts"""
 

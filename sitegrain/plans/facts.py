@@ -39,6 +39,11 @@ def suggestion_scores(spark, d):
     return ideas.select("seed", "keyword", "score", F.array_join("sources", " ").alias("sources"), F.col("best_position").cast("bigint").alias("best_position"), "appearances", "words")
 
 
+@query("ranked_ideas", f"WITH {IDEAS} SELECT seed, keyword, score, CAST(row_number() OVER (PARTITION BY seed ORDER BY score DESC, keyword) AS INT) AS rank FROM ideas QUALIFY rank <= 50")
+def ranked_ideas(spark, d):
+    return keywords.ranked_ideas(keywords.idea_scores(suggestion_lists(spark, d), 120), 50).select("seed", "keyword", "score", "rank")
+
+
 IGNORED = STOP + ", " + ", ".join(f"'{w}'" for w in ph.QUESTION_WORDS + ph.CLUSTER_IGNORE)
 CLUSTERS = f"""{IDEAS}, terms AS MATERIALIZED (SELECT DISTINCT seed, keyword, term FROM (SELECT seed, keyword, unnest(string_split(keyword, ' ')) AS term FROM ideas) t
     WHERE length(term) > 2 AND term <> seed AND term NOT IN ({IGNORED})), df AS (SELECT seed, term, count(*) AS df FROM terms GROUP BY ALL HAVING count(*) >= 2),
