@@ -2,8 +2,8 @@
 
 A page becomes a tree: void elements hold nothing, and the start of a block closes an open paragraph, an item the item before it, a
 cell or row the one before it, as authors leave those end tags out. What a browser wouldn't show is skipped: the head,
-scripts, styles, templates, elements that are ``hidden``, styled ``display: none`` or ``visibility: hidden`` by attribute, or by a
-rule of the page's own style sheets on a tag, class or id. All other text is emitted in the order of the page. White space collapses as in a
+scripts, styles, templates, and elements that are ``hidden``, or styled ``display: none`` or ``visibility: hidden`` by attribute or by the
+cascade of the page's own style sheets on a screen (``style_sheets``). All other text is emitted in the order of the page. White space collapses as in a
 browser except in ``pre``; blocks stand on lines of their own, with an empty line around paragraphs, headings, lists and tables;
 items are marked or numbered and indented; the cells of a table are aligned in columns.
 
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from sitegrain.llm.common import bytes_of, own_columns, slices
+from sitegrain.llm.style_sheets import drop_unshown
 
 DEPTH, ALIGN = 200, 60
 
@@ -44,9 +45,6 @@ IN_HEAD = frozenset("head html title meta link base script style template noscri
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>]++))?""")
-_RULE = re.compile(r"([^{}]++)\{([^{}]*+)\}")
-_UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_SELECTOR = re.compile(r"[a-z][a-z0-9]*|[.#][\w-]+", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -124,34 +122,14 @@ def tree(page: str) -> Element:
     return root
 
 
-def unshown_selectors(root: Element) -> set[str]:
-    """Plain selectors (a tag, a class or an id) that the page's style sheets don't show."""
-    out, waiting = set(), [root]
-    while waiting:
-        e = waiting.pop()
-        if isinstance(e, Element):
-            if e.tag == "style":
-                for m in _RULE.finditer("".join(map(str, e.children))):
-                    if _UNSHOWN.search(m[2]):
-                        out.update(s.strip() for s in m[1].split(",") if _SELECTOR.fullmatch(s.strip()))
-            waiting.extend(c for c in e.children if isinstance(c, Element))
-    return out
-
-
 class Layout:
     """Lines of blocks, one after another."""
 
-    def __init__(self, unshown: set[str]):
-        self.unshown, self.lines, self.inline, self.gap = unshown, [], [], 0
+    def __init__(self) -> None:
+        self.lines, self.inline, self.gap = [], [], 0
 
     def seen(self, e: Element) -> bool:
-        if e.tag in UNSEEN or e.tag in self.unshown:
-            return False
-        if not e.attributes:
-            return True
-        if e.attribute("hidden") is not None or e.tag == "input" or _UNSHOWN.search(e.attribute("style") or ""):
-            return False
-        return not self.unshown or not ({f".{c}" for c in (e.attribute("class") or "").split()} | {f"#{e.attribute('id')}"}) & self.unshown
+        return e.tag not in UNSEEN and e.tag != "input"
 
     def flush(self) -> None:
         if self.inline:
@@ -172,7 +150,7 @@ class Layout:
 
     def inside(self, e: Element, pre: bool = False) -> list[str]:
         """Lines of an element's content by itself."""
-        own = Layout(self.unshown)
+        own = Layout()
         own.walk(e, pre)
         own.flush()
         return own.lines
@@ -213,7 +191,7 @@ class Layout:
             self.gap = max(self.gap, 0 if self.nested else 1)
         elif tag == "pre":
             self.space(1)
-            own = Layout(self.unshown)
+            own = Layout()
             own.walk(e, True)
             own.put_raw()
             while own.lines and not own.lines[-1]:
@@ -235,7 +213,7 @@ class Layout:
     nested = False
 
     def item(self, mark: str, e: Element) -> list[str]:
-        own = Layout(self.unshown)
+        own = Layout()
         own.nested = True
         own.walk(e)
         own.flush()
@@ -321,7 +299,8 @@ def visible_text(page: str | None) -> str | None:
     if page is None:
         return None
     root = tree(page)
-    layout = Layout(unshown_selectors(root) if "<style" in page.lower() else set())
+    drop_unshown(root, Element, "<style" in page.lower())
+    layout = Layout()
     layout.walk(root)
     layout.flush()
     return "\n".join(layout.lines).replace("\xa0", " ").strip("\n")
