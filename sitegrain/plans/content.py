@@ -424,6 +424,13 @@ def client_rendered(spark, d):
     return docs.select(F.col("doc_id").alias("page_id"), extract.looks_client_rendered(html, words, F.lit(0), F.array().cast("array<string>")).alias("shell"))
 
 
+@query("client_rendered_pages")
+def client_rendered_pages(spark, d):
+    """Every page judged by its own HTML, scripts and words; no SQL can scan HTML."""
+    page = extract.page_facts(extract.scan_pages(table(spark, d, "pages").select("page_id", "url", "html", F.col("html").alias("raw"))))
+    return page.select("page_id", extract.looks_client_rendered(F.col("raw"), F.col("word_count"), F.col("inline_script_bytes"), F.col("scripts")).alias("shell"))
+
+
 @query("phrase_normalisation", r"""SELECT item_id, array_to_string(list_filter(list_transform(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}''&+.\s-]', ' ', 'g'), '\s+'),
     lambda w: regexp_replace(w, '^[-''.&+]+|[-''.&]+$', '', 'g')), lambda w: w <> ''), ' ') AS phrase FROM benchmark""")
 def phrase_normalisation(spark, d):

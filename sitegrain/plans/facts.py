@@ -77,6 +77,12 @@ def intent_group(spark, d):
     return derive(spark, d, SENTENCES).select("item", ph.intent(F.col("k")).alias("intent"), ph.group(F.col("k")).alias("grp"))
 
 
+@query("intent_group_turns")
+def intent_group_turns(spark, d):
+    """Intent and group of the whole text of every turn; the patterns' engines differ on other scripts, so there is no SQL."""
+    return table(spark, d, "conversations").select("conv_id", "turn", ph.intent(F.col("text")).alias("intent"), ph.group(F.col("text")).alias("grp"))
+
+
 @query("group_counts", f"WITH {IDEAS} SELECT seed, grp, count(*) AS ideas FROM (SELECT seed, {GROUP} AS grp FROM (SELECT seed, keyword AS k FROM ideas) i) g GROUP BY ALL")
 def group_counts(spark, d):
     return keywords.group_counts(keywords.idea_scores(suggestion_lists(spark, d), 120)).withColumnRenamed("group", "grp")
@@ -277,6 +283,20 @@ def json_suggestions(spark, d):
     return parsed.select("doc_id", F.array_join("suggestions", "|").alias("suggestions"))
 
 
+@query("json_suggestions_whole")
+def json_suggestions_whole(spark, d):
+    """All words of every text as an engine's answer in its own format; no SQL, as tags and entities are taken out of answers."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    source = F.element_at(F.array(F.lit("google"), F.lit("duckduckgo"), F.lit("amazon")), (F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0)) + 1).cast("int"))
+    each = lambda name: F.transform(words, lambda w: F.struct(w.alias(name)))
+    body = (
+        F.when(source == "google", F.concat(F.lit('["q",'), F.to_json(words), F.lit("]")))
+        .when(source == "duckduckgo", F.to_json(each("phrase")))
+        .otherwise(F.to_json(F.struct(each("value").alias("suggestions"))))
+    )
+    return js.parse_suggestions(table(spark, d, "documents").select("doc_id", source.alias("source"), body.alias("body"))).select("doc_id", "suggestions")
+
+
 @query("json_authority", """SELECT c_name AS domain, floor(c_acctbal * 100 + 0.5) / 100 AS score, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS rank FROM customer WHERE c_custkey % 4 <> 1""")
 def json_authority(spark, d):
     row = F.struct(F.when(F.col("c_custkey") % 4 == 1, 404).otherwise(200).alias("status_code"), F.col("c_acctbal").cast("string").alias("page_rank_decimal"),
