@@ -33,7 +33,6 @@ _NAV = frozenset(("nav", "header", "footer"))
 _CHROME_ROLES = frozenset(("navigation", "banner", "contentinfo"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _KEEP = _HEADINGS | frozenset("title a img script style link meta base form iframe html audio video source".split())
-MAIN_TEXT_LIMIT = 100_000
 
 
 def absolute(href: str | None, base: str) -> str | None:
@@ -183,7 +182,7 @@ def scan(html: str, page_url: str) -> tuple[list[dict], str, str]:
     if stack:
         close_to(0)
     visible = _squeeze(" ".join(everything))
-    return nodes, visible, _squeeze(" ".join(main if main_seen else outside))[:MAIN_TEXT_LIMIT]
+    return nodes, visible, _squeeze(" ".join(main if main_seen else outside))
 
 
 def scan_pages(pages: DataFrame, html: str = "html", url: str = "url", text_only: bool = False) -> DataFrame:
@@ -345,7 +344,7 @@ def page_facts(scanned: DataFrame, url: str = "url") -> DataFrame:
         "microdata_types": F.array_distinct(F.filter(itemtypes, lambda t: t != "")),
         "favicon": first(_link_rel("icon", "apple-touch-icon"))["url"],
         "amp_html": first(_link_rel("amphtml"))["url"],
-        "mixed_content": F.when(F.col("_https"), F.slice(F.array_distinct(mixed), 1, 50)).otherwise(F.array().cast("array<string>")),
+        "mixed_content": F.when(F.col("_https"), F.array_distinct(mixed)).otherwise(F.array().cast("array<string>")),
         "forms": F.transform(_pick("form"), form),
         "inline_script_bytes": total(inline_js),
         "inline_style_bytes": total(_pick("style")),

@@ -6,7 +6,7 @@ import uuid
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sitegrain.functions import urls as ur
@@ -72,33 +72,35 @@ def click_depths(starts: DataFrame, edges: DataFrame, rows_per_part: int = 1_000
 
 
 def redirect_chains(pages: DataFrame) -> DataFrame:
-    """Redirect walk of every 3xx page over at most 12 nodes: ``chain``, ``hops``, ``is_loop``.
+    """Redirect walk of every 3xx page to its end: ``chain``, ``hops``, ``is_loop``.
 
-    Paths are doubled (1, 2, 4, 8, 11 steps), so four joins replace eleven, each on the redirecting pages only.
+    Paths are doubled (1, 2, 4, ... steps) until none grows, each on the redirecting pages only. A path ends at a page that doesn't redirect or
+    at the first node it has met before. A walk of n nodes takes about log2(n) rounds.
     """
     step = pages.where(F.col("status").between(300, 399) & F.col("redirect_to").isNotNull()).select(
         "site", "url", F.array("redirect_to").alias("path")
     )
 
-    def extend(left: DataFrame, right: DataFrame) -> DataFrame:
-        tail = right.select("site", F.col("url").alias("_last"), F.col("path").alias("_more"))
-        grown = left.withColumn("_last", F.element_at("path", -1)).join(tail, ["site", "_last"], "left")
-        more = F.coalesce(F.col("_more"), F.array().cast("array<string>"))
-        return cut_lineage(grown.select("site", "url", F.concat("path", more).alias("path")))
-
-    two = extend(step, step)
-    four = extend(two, two)
-    eight = extend(four, four)
-    nodes = F.slice(F.concat(F.array("url"), F.col("path")), 1, 12)
-    walked = extend(eight, four).withColumn("path", nodes)
-    repeats = F.filter(
-        F.sequence(F.lit(2), F.size("path")), lambda i: F.array_contains(F.slice("path", F.lit(1), i - 1), F.element_at("path", i))
-    )
-    return walked.select(
-        "site", "url",
-        F.when(F.size(repeats) > 0, F.slice("path", F.lit(1), F.element_at(repeats, 1) - 1)).otherwise(F.col("path")).alias("chain"),
-        (F.size(repeats) > 0).alias("is_loop"),
-    ).withColumn("hops", F.size("chain") - 1)
+    def ended(walks: DataFrame, last: Column) -> DataFrame:
+        """Paths cut behind their first repeat; ``chain`` is what comes before it."""
+        nodes = walks.withColumn("path", F.concat(F.array("url"), F.col("path")))
+        # as long as nothing repeats, a path and its distinct nodes are the same
+        pairs = F.filter(F.arrays_zip(F.col("path").alias("p"), F.array_distinct("path").alias("d"), F.sequence(F.lit(1), F.size("path")).alias("i")), lambda z: ~z["p"].eqNullSafe(z["d"]))
+        nodes = nodes.withColumn("at", F.get(pairs, F.lit(0))["i"])
+        chain = F.when(F.col("at").isNotNull(), F.slice("path", F.lit(1), F.col("at") - 1)).otherwise(F.col("path"))
+        path = F.slice("path", F.lit(2), F.coalesce("at", F.size("path")) - 1)
+        return nodes.select("site", "url", path.alias("path"), chain.alias("chain"), F.col("at").isNotNull().alias("is_loop"), (last | F.col("at").isNotNull()).alias("ended"))
+
+    walked = cut_lineage(ended(step, F.lit(False)))
+    while not walked.where("NOT ended").isEmpty():
+        # rows that are landed twice are one way on, so a round makes no more rows than it has walks
+        onward = walked.select("site", F.col("url").alias("_last"), F.col("path").alias("_more"), F.col("ended").alias("_ended")).distinct()
+        grown = walked.where("NOT ended").withColumn("_last", F.element_at("path", -1)).join(onward, ["site", "_last"], "left")
+        more = F.coalesce("_more", F.array().cast("array<string>"))
+        grown = ended(grown.select("site", "url", F.concat("path", more).alias("path"), F.coalesce("_ended", F.lit(True)).alias("_ended")), F.col("_ended"))
+        before, walked = walked, cut_lineage(grown.unionByName(walked.where("ended")))
+        forget(before)
+    return walked.select("site", "url", "chain", "is_loop").withColumn("hops", F.size("chain") - 1)
 
 
 def crawl_plan(starts: DataFrame, links: DataFrame, pages: DataFrame, sitemap: DataFrame, max_pages: int) -> DataFrame:

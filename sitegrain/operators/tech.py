@@ -139,7 +139,6 @@ SIGNATURES: list[tuple[str, str, dict]] = [
     ("Envoy", "Web server", {"headers": {"server": r"envoy", "x-envoy-upstream-service-time": r"."}}),
     ("Google Web Server", "Web server", {"headers": {"server": r"^gws$|^gfe"}}),
 ]
-HTML_LIMIT = 1_500_000
 
 
 def _evidence(patterns: dict) -> Column:
@@ -167,7 +166,7 @@ def detect_technologies(pages: DataFrame, *keys: str, signatures=None) -> DataFr
     with the signature table.
     """
     staged = pages.select(
-        *keys, "headers", "generator", F.array_join("scripts", "\n").alias("_scripts"), F.substring("html", 1, HTML_LIMIT).alias("_doc"))
+        *keys, "headers", "generator", F.array_join("scripts", "\n").alias("_scripts"), F.col("html").alias("_doc"))
     rows = []
     for name, category, patterns in signatures or SIGNATURES:
         version = F.lit(None).cast("string")

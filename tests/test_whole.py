@@ -4,6 +4,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from sitegrain.operators import extract, graph, tech
 from sitegrain.plans import QUERIES
 
 
@@ -45,3 +46,25 @@ def test_intent_of_whole_turns(spark, tables):
     assert got[1, 0][1] == "Questions" and got[1, 1][0] == "Transactional" and got[1, 200] == ("Informational", "Related") and got[2, 0][1] == "Comparisons"
     assert len(got) == 5
     assert QUERIES["intent_group_turns"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/conversations.parquet").count()
+
+
+def test_long_pages_are_read_whole(spark):
+    same = "word " * 40_000
+    page = lambda end: f"<main>{same}{end}</main>" + "".join(f"<img src='http://x.com/{i}.png'>" for i in range(120))
+    rows = spark.createDataFrame([("https://e.com/1", page("one")), ("https://e.com/2", page("two"))], "url string, html string")
+    a, b = extract.extract_pages(rows).orderBy("url").collect()
+    assert a.main_text.endswith(" one") and len(a.main_text) == 200_003 and a.content_hash != b.content_hash and len(a.mixed_content) == 120
+    late = spark.createDataFrame([(1, "<p>" + "x " * 800_000 + '<script id="__NEXT_DATA__">', {}, None, [])], "id long, html string, headers map<string,string>, generator string, scripts array<string>")
+    assert [r.name for r in tech.detect_technologies(late, "id").collect()] == [r.name for r in tech.detect_technologies(late.withColumn("html", F.lit('<script id="__NEXT_DATA__">')), "id").collect()] == ["Next.js"]
+
+
+def test_redirects_are_walked_to_their_end(spark):
+    rows = [("r", f"m{i}", 301, f"m{(i + 1) % 15}") for i in range(15)] + [("r", f"l{i}", 302, f"l{i + 1}") for i in range(100)] + [("r", "in", 301, "m3"), ("r", "s", 301, "s"), ("q", "l5", 301, "x"), ("r", "ok", 200, "l0")]
+    rows += [("r", "d0", 301, "d1"), ("r", "d1", 301, "d2"), ("r", "d1", 301, "d2"), ("r", "b", 301, "c"), ("r", "c", 301, "b")]
+    walks = graph.redirect_chains(spark.createDataFrame(rows, "site string, url string, status int, redirect_to string")).collect()
+    got = {(r.site, r.url): (r.chain, r.hops, r.is_loop) for r in walks}
+    assert len(walks) == len(rows) - 1
+    assert got["r", "m2"] == ([f"m{(i + 2) % 15}" for i in range(15)], 14, True) and got["r", "in"] == (["in", *(f"m{(i + 3) % 15}" for i in range(15))], 15, True)
+    assert got["r", "l0"] == ([f"l{i}" for i in range(101)], 100, False) and got["r", "l99"][1:] == (1, False) and got["q", "l5"] == (["l5", "x"], 1, False)
+    assert got["r", "s"] == (["s"], 0, True) and got["r", "d0"] == (["d0", "d1", "d2"], 2, False) and got["r", "b"] == (["b", "c"], 1, True)
+    assert graph.redirect_chains(spark.createDataFrame([], "site string, url string, status int, redirect_to string")).count() == 0
