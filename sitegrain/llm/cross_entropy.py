@@ -10,8 +10,7 @@ Counts are made in the tasks by sorting packed n-grams, added up by Spark and sm
 score, the table of losses goes to the workers if it has at most ``SENT`` rows; a larger one is joined with the n-grams that each
 document has. Both give the same losses.
 
-Defined results: a null or empty text has no tokens and null losses. Characters beyond the basic plane are one character of the
-vocabulary. Without any chosen document the target model is uniform.
+Defined results: a null or empty text has no tokens and null losses. Every code point is a character of its own. Without any chosen document the target model is uniform.
 """
 
 from __future__ import annotations
@@ -28,73 +27,93 @@ from sitegrain.llm.common import bytes_of, own_columns, slices
 from sitegrain.session import cut_lineage
 
 ORDER, PRIOR = 4, 10.0
-#: Rows of the table of losses, of 24 bytes each, that are sent to workers at most.
+#: Rows of the table of losses, of 28 bytes each, that are sent to workers at most.
 SENT = 4_000_000
-#: Stands for all characters beyond the basic plane.
-BEYOND = 0xFFFF
+#: Bits of a code point; the three of a history fit in a long.
+BITS = 21
 
 
-def packed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that each character ends, four 16-bit codes in one number, text after text, and how many each text has."""
+def packed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram that each character ends, as the three before it in one number and itself, text after text, and how many each text has."""
     lengths = np.asarray([len(t or "") for t in texts])
     joined = "".join("\0\0\0" + (t or "").replace("\0", "\x01") for t in texts)
-    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where(c > BEYOND, BEYOND, c).astype(np.uint64)
-    keys = c.copy()
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    histories = np.zeros_like(c)
     for back in range(1, ORDER):
-        keys[back:] |= c[:-back] << np.uint64(16 * back)
+        histories[back:] |= c[:-back] << (BITS * (back - 1))
     inside = np.ones(len(c), bool)
     starts = np.cumsum(lengths + ORDER - 1) - lengths - (ORDER - 1)
     for i in range(ORDER - 1):
         inside[starts + i] = False
-    return keys[inside].view(np.int64), lengths
+    return histories[inside], c[inside].astype(np.int32), lengths
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of a task and their numbers, added up as far as memory allows."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def narrow(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams as four 16-bit codes in one number, and which of them it is right for: those of the basic plane."""
+    m, key, wide = (1 << BITS) - 1, c.astype(np.int64), c.astype(np.int64)
+    for i in range(ORDER - 1):
+        code = (h >> (BITS * i)) & m
+        key |= code << (16 * (i + 1))
+        wide |= code
+    return key, wide < 1 << 16
+
+
+def added_up(h: np.ndarray, c: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each n-gram once, with the sum of its numbers."""
+    key, plane = narrow(h, c)
+    n = np.ones(len(h), np.int64) if n is None else n
+    k, at = np.unique(key[plane], return_inverse=True)
+    unpacked = sum((((k >> (16 * (i + 1))) & 0xFFFF) << (BITS * i) for i in range(ORDER - 1)), np.zeros(len(k), np.int64))
+    out = [(unpacked, (k & 0xFFFF).astype(np.int32), np.bincount(at, n[plane], len(k)).astype(np.int64))]
+    if not plane.all():
+        bh, bc, bn = h[~plane], c[~plane], n[~plane]
+        order = np.lexsort((bc, bh))
+        bh, bc, bn = bh[order], bc[order], bn[order]
+        first = np.flatnonzero(np.r_[True, (bh[1:] != bh[:-1]) | (bc[1:] != bc[:-1])])
+        out.append((bh[first], bc[first], np.add.reduceat(bn, first)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
-    def added() -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-grams of a task and their numbers, added up as far as memory allows."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    added = lambda: added_up(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    rows = lambda grams: pa.RecordBatch.from_arrays([pa.array(x) for x in grams], ["h", "c", "n"])
     for batch in batches:
         _, offsets = bytes_of(batch.column("text"))
         for a, b in slices(offsets):
-            held.append(np.unique(packed(batch.column("text").slice(a, b - a).to_pylist())[0], return_counts=True))
+            held.append(added_up(*packed(batch.column("text").slice(a, b - a).to_pylist())[:2]))
             if len(held) == 16:
                 held[:] = [added()]
                 if len(held[0][0]) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["gram", "n"])
+                    yield rows(held.pop())
     if held:
-        keys, n = added()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["gram", "n"])
+        yield rows(added())
 
 
 def _smoothed(grams: DataFrame) -> DataFrame:
-    """gram, target_loss, background_loss of each n-gram, from the counts ``nb`` and ``nt``."""
-    mask = lambda k: (1 << 16 * k) - 1
-    low = lambda k: F.col("gram").bitwiseAND(F.lit(mask(k))) if k < 4 else F.col("gram")
+    """h, c, target_loss, background_loss of each n-gram, from the counts ``nb`` and ``nt``."""
+    low = lambda k: F.col("h").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1).cast("long"))
     sums = (F.sum("nb").alias("nb"), F.sum("nt").alias("nt"))
-    level = {k: cut_lineage(grams.select(low(k).alias("gram"), "nb", "nt").groupBy("gram").agg(*sums)) if k < ORDER else grams for k in range(1, ORDER + 1)}
+    level = {k: cut_lineage(grams.select(low(k).alias("h"), "c", "nb", "nt").groupBy("h", "c").agg(*sums)) if k < ORDER else grams for k in range(1, ORDER + 1)}
     whole = level[1].agg(F.sum("nb").alias("hb"), F.sum("nt").alias("ht"), F.count("*").alias("v"))
     mixed = lambda n, below, h: (F.col(n) + PRIOR * F.col(below)) / (F.col(h) + PRIOR)
     p = level[1].withColumn("one", F.lit(1)).join(F.broadcast(whole.withColumn("one", F.lit(1))), "one").withColumn("u", 1.0 / F.col("v"))
-    p = p.select("gram", mixed("nb", "u", "hb").alias("pb"), mixed("nt", "u", "ht").alias("pt"))
+    p = p.select("h", "c", mixed("nb", "u", "hb").alias("pb"), mixed("nt", "u", "ht").alias("pt"))
     for k in range(2, ORDER + 1):
-        own = level[k].withColumn("history", F.shiftrightunsigned("gram", 16)).withColumn("shorter", low(k - 1))
-        history = own.groupBy("history").agg(F.sum("nb").alias("hb"), F.sum("nt").alias("ht"))
-        below = p.select(F.col("gram").alias("shorter"), F.col("pb").alias("lb"), F.col("pt").alias("lt"))
-        p = own.join(history, "history").join(below, "shorter").select("gram", mixed("nb", "lb", "hb").alias("pb"), mixed("nt", "lt", "ht").alias("pt"))
-    return p.select("gram", (-F.log("pt")).alias("target_loss"), (-F.log("pb")).alias("background_loss"))
+        own = level[k].withColumn("shorter", low(k - 1))
+        history = own.groupBy("h").agg(F.sum("nb").alias("hb"), F.sum("nt").alias("ht"))
+        below = p.select(F.col("h").alias("shorter"), "c", F.col("pb").alias("lb"), F.col("pt").alias("lt"))
+        p = own.join(history, "h").join(below, ["shorter", "c"]).select("h", "c", mixed("nb", "lb", "hb").alias("pb"), mixed("nt", "lt", "ht").alias("pt"))
+    return p.select("h", "c", (-F.log("pt")).alias("target_loss"), (-F.log("pb")).alias("background_loss"))
 
 
 def losses(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """gram, target_loss, background_loss of every n-gram of ``docs``; the target model counts the rows whose id is in the column of ``chosen``."""
+    """h (the three characters before), c, target_loss, background_loss of every n-gram of ``docs``; the target model counts the rows whose id is in the column of ``chosen``."""
     rows = own_columns(docs, id=id_col, text=text_col)
     targets = rows.join(chosen.toDF("id").distinct(), "id", "left_semi").select("text")
-    count = lambda texts, name: texts.mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias(name))
-    grams = count(rows.select("text"), "nb").join(count(targets, "nt"), "gram", "left").fillna(0, ["nt"])
+    count = lambda texts, name: texts.mapInArrow(_counted, "h long, c int, n long").groupBy("h", "c").agg(F.sum("n").alias(name))
+    grams = count(rows.select("text"), "nb").join(count(targets, "nt"), ["h", "c"], "left").fillna(0, ["nt"])
     return cut_lineage(_smoothed(cut_lineage(grams)))
 
 
@@ -123,20 +142,42 @@ class Table:
         return found
 
 
-_tables: dict[str, Table] = {}
+class Grams:
+    """Losses of n-grams: by one number in the basic plane, else by the place of the history and the character."""
+
+    def __init__(self, h: np.ndarray, c: np.ndarray, values: np.ndarray):
+        key, plane = narrow(h, c)
+        self.basic = Table(key[plane], values[plane])
+        histories = np.unique(h[~plane])
+        self.places = Table(histories, np.arange(1, len(histories) + 1)[:, None])
+        self.others = Table(self._other(h[~plane], c[~plane]), values[~plane])
+
+    def _other(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.places.find(h)[:, 0].astype(np.int64) << BITS | c
+
+    def find(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        key, plane = narrow(h, c)
+        if plane.all():
+            return self.basic.find(key)
+        out = np.zeros((len(h), 2))
+        out[plane], out[~plane] = self.basic.find(key[plane]), self.others.find(self._other(h[~plane], c[~plane]))
+        return out
+
+
+_tables: dict[str, Grams] = {}
 
 
 def _scored(sent, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _tables:  # a worker keeps one table
             _tables.clear()
-            _tables[name] = Table(*sent.value)
+            _tables[name] = Grams(*sent.value)
         find = _tables[name].find
         for batch in batches:
             _, offsets = bytes_of(batch.column("text"))
             for a, b in slices(offsets):
-                keys, lengths = packed(batch.column("text").slice(a, b - a).to_pylist())
-                loss, full = find(keys), lengths > 0
+                h, c, lengths = packed(batch.column("text").slice(a, b - a).to_pylist())
+                loss, full = find(h, c), lengths > 0
                 sums = np.zeros((b - a, 2))
                 if full.any():
                     sums[full] = np.add.reduceat(loss, (np.cumsum(lengths) - lengths)[full], axis=0)
@@ -148,8 +189,8 @@ def _scored(sent, name: str):
 def _own_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, text in enumerate(batch.column("text").to_pylist()):
-            keys, n = np.unique(packed([text])[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1).take(pa.array(np.zeros(len(keys), np.int64))), pa.array(keys), pa.array(n, pa.int64())], ["row", "gram", "n"])
+            h, c, n = added_up(*packed([text])[:2])
+            yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1).take(pa.array(np.zeros(len(h), np.int64))), pa.array(h), pa.array(c), pa.array(n)], ["row", "h", "c", "n"])
 
 
 def score(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,10 +200,10 @@ def score(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: s
     if table.count() <= SENT:
         local = table.toArrow()
         values = np.stack([local.column(c).to_numpy() for c in ("target_loss", "background_loss")], 1)
-        summed = rows.mapInArrow(_scored(spark.sparkContext.broadcast((local.column("gram").to_numpy(), values)), uuid.uuid4().hex), f"id {kind}, n_tokens long, t double, b double")
+        summed = rows.mapInArrow(_scored(spark.sparkContext.broadcast((local.column("h").to_numpy(), local.column("c").to_numpy(), values)), uuid.uuid4().hex), f"id {kind}, n_tokens long, t double, b double")
     else:
         named = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
-        found = named.select("row", "text").mapInArrow(_own_grams, "row long, gram long, n long").join(table, "gram")
+        found = named.select("row", "text").mapInArrow(_own_grams, "row long, h long, c int, n long").join(table, ["h", "c"])
         sums = found.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("target_loss")).alias("t"), F.sum(F.col("n") * F.col("background_loss")).alias("b"))
         summed = named.select("row", "id").join(sums, "row", "left").select("id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "t", "b")
     mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
