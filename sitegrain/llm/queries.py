@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm import cross_entropy, html_text, impact_index, language, near_dups, packing, personal_data, pieces, spelling, token_counts, vector_tree
+from sitegrain.llm import alignment, cross_entropy, html_text, impact_index, language, near_dups, packing, personal_data, pieces, spelling, token_counts, vector_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +158,9 @@ SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_nea
 """)
 def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts by both tokenizers; links are counted over all documents."""
+    return alignment.aligned_links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
