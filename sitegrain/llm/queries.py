@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm import alignment, cross_entropy, html_text, impact_index, language, near_dups, packing, personal_data, pieces, spelling, token_counts, vector_tree
+from sitegrain.llm import alignment, cross_entropy, html_text, impact_index, language, near_dups, packing, personal_data, pieces, quality, spelling, token_counts, vector_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +164,39 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts by both tokenizers; links are counted over all documents."""
     return alignment.aligned_links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_quality", r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (SELECT r, lang, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+seq AS MATERIALIZED (SELECT r, lang, i, ws[i] AS word, translate(ws[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+triples AS MATERIALIZED (SELECT r, i, row(a, b, c) AS g FROM (SELECT r, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM seq WINDOW o AS (PARTITION BY r ORDER BY i)) WHERE c IS NOT NULL),
+again AS (SELECT r, unnest([i, i + 1, i + 2]) AS i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM triples) WHERE n >= 2),
+repeated AS (SELECT r, count(DISTINCT i) AS n FROM again GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+kinds AS MATERIALIZED (SELECT r, lang, length(t) AS n, list_transform(['[a-z]', '[A-Z]', '[0-9]', '[.,;:?!''"()-]', '[\x20\x09-\x0D]', '[\x{C0}-\x{24F}]', '[\x00-\x08\x0E-\x1F#$%&*+/<=>@\[\\\]^_`{|}~\x7F]'], lambda p: length(t) - length(regexp_replace(t, p, '', 'g'))) AS k FROM d),
+classes AS MATERIALIZED (SELECT r, lang, n, list_append(k, n - list_sum(k)) AS k FROM kinds),
+totals AS (SELECT lang, count(*) AS n FROM seq WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= 1000 ORDER BY n DESC, lang LIMIT 100),
+common AS MATERIALIZED (SELECT lang, low, c, n FROM (SELECT lang, low, count(*) AS c, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, low) AS p FROM seq GROUP BY lang, low) JOIN totals USING (lang) WHERE p <= 50),
+own AS (SELECT r, low, count(*) AS c FROM seq GROUP BY r, low),
+size AS (SELECT r, count(*) AS n FROM seq GROUP BY r),
+pairs AS (
+  SELECT s.r, m.lang, CAST(m.c AS DOUBLE) / m.n AS p, coalesce(o.c, 0) / CAST(s.n AS DOUBLE) AS q FROM size s CROSS JOIN common m LEFT JOIN own o ON o.r = s.r AND o.low = m.low),
+parts AS (SELECT r, lang, p, q FROM pairs UNION ALL SELECT r, lang, 1 - sum(p), 1 - sum(q) FROM pairs GROUP BY r, lang),
+word_far AS (SELECT r, min(far) AS far FROM (
+  SELECT r, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS far FROM parts GROUP BY r, lang) GROUP BY r),
+sums AS (SELECT lang, i, sum(k[i]) AS c FROM (SELECT lang, k, unnest(range(1, 9)) AS i FROM classes JOIN totals USING (lang)) GROUP BY lang, i),
+ref AS (SELECT lang, i, CAST(c AS DOUBLE) / sum(c) OVER (PARTITION BY lang) AS p FROM sums),
+char_far AS (SELECT r, min(far) AS far FROM (
+  SELECT r, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS far
+  FROM (SELECT c.r, ref.lang, p, k[i] / CAST(c.n AS DOUBLE) AS q FROM classes c CROSS JOIN ref WHERE c.n > 0) GROUP BY r, lang) GROUP BY r),
+base AS (SELECT d.r, doc_id, coalesce(size.n, 0) AS n_words, c.n - k[5] AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, c.n AS n_chars, char_far.far AS cf, word_far.far AS wf
+  FROM d JOIN classes c USING (r) LEFT JOIN size USING (r) LEFT JOIN lines USING (r) LEFT JOIN repeated USING (r) LEFT JOIN char_far USING (r) LEFT JOIN word_far USING (r)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_chars >= 200 AND coalesce(cf, 0) > 0.25) AND NOT (n_words >= 100 AND coalesce(wf, 0) > 0.36) AS kept
+FROM failed
+""")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
