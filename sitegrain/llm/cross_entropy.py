@@ -6,11 +6,14 @@ the background, and one smoothing, in which each order is mixed with the next lo
 ``p(c | h) = (n(h c) + PRIOR * p(c | shorter h)) / (n(h) + PRIOR)``, down to the uniform distribution over the vocabulary. A document's
 score is the mean over its tokens of the loss under the target minus the loss under the background; low is like the target.
 
-Counts are made in the tasks by sorting packed n-grams, added up by Spark and smoothed by joins of orders; nothing of them is cut off. To
-score, the table of losses goes to the workers if it has at most ``SENT`` rows; a larger one is joined with the n-grams that each
-document has. Both give the same losses.
-
-Defined results: a null or empty text has no tokens and null losses. Every code point is a character of its own. Without any chosen document the target model is uniform.
+Counts are made in the tasks by sorting packed n-grams, added up by Spark and smoothed by joins of orders; nothing of them is cut off. Only
+texts that may be chosen, by a bitmap of ``MARKS`` bits, are moved to meet the chosen ids. To score, the table of losses goes to the workers in
+slices of about ``SENT`` rows, each in a pass of its own over the texts, and a document's sums are added up; a worker never holds more than a slice.
+The documents are read in each pass, so pass a table or a written frame.
+
+Defined results: a null or empty text has no tokens and null losses. Every code point, U+0000 as well, is a character of its own; the start sign lies outside
+of Unicode. Without any chosen document the target model is uniform. Repeated rows count again and each has its score; a null id is carried along. A text is
+never cut: a worker needs some thirty bytes for each of its characters.
 """
 
 from __future__ import annotations
@@ -27,24 +30,27 @@ from sitegrain.llm.common import bytes_of, own_columns, slices
 from sitegrain.session import cut_lineage
 
 ORDER, PRIOR = 4, 10.0
-#: Rows of the table of losses, of 28 bytes each, that are sent to workers at most.
+#: Rows of the table of losses, of 28 bytes each, that are sent to workers at a time.
 SENT = 4_000_000
-#: Bits of a code point; the three of a history fit in a long.
-BITS = 21
+#: Bits of the bitmap of chosen ids, two for each. With ten million ids it lets one text in fifteen through for nothing.
+MARKS = 1 << 26
+#: Bits of a code point; the three of a history fit in a long. The start sign is the first number beyond Unicode.
+BITS, START = 21, 0x110000
 
 
 def packed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The n-gram that each character ends, as the three before it in one number and itself, text after text, and how many each text has."""
     lengths = np.asarray([len(t or "") for t in texts])
-    joined = "".join("\0\0\0" + (t or "").replace("\0", "\x01") for t in texts)
+    joined = "".join("\0\0\0" + (t or "") for t in texts)
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    histories = np.zeros_like(c)
-    for back in range(1, ORDER):
-        histories[back:] |= c[:-back] << (BITS * (back - 1))
     inside = np.ones(len(c), bool)
     starts = np.cumsum(lengths + ORDER - 1) - lengths - (ORDER - 1)
     for i in range(ORDER - 1):
         inside[starts + i] = False
+    c[~inside] = START
+    histories = np.zeros_like(c)
+    for back in range(1, ORDER):
+        histories[back:] |= c[:-back] << (BITS * (back - 1))
     return histories[inside], c[inside].astype(np.int32), lengths
 
 
@@ -108,12 +114,37 @@ def _smoothed(grams: DataFrame) -> DataFrame:
     return p.select("h", "c", (-F.log("pt")).alias("target_loss"), (-F.log("pb")).alias("background_loss"))
 
 
+def _marked(bits: np.ndarray):
+    """The rows whose two bits are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [batch.column(c).to_numpy() for c in ("one", "two")]
+            hit = np.flatnonzero(np.logical_and(*(bits[x >> 3] >> (x & 7) & 1 for x in both)))
+            yield batch.take(pa.array(hit)).select(["id", "text"])
+
+    return run
+
+
+def chosen_texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The texts of ``rows`` (id, text) whose id is in the column of ``chosen``. A bitmap leaves out nearly all others before any text moves."""
+    ids = chosen.toDF("id").where("id IS NOT NULL").distinct()
+    place = lambda shift: F.pmod(F.shiftrightunsigned(F.xxhash64("id"), shift), F.lit(MARKS))
+    at = ids.select(F.explode(F.array(place(0), place(32))).alias("at")).select((F.col("at") + 1).alias("at"))
+    pages = at.groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    bits = np.zeros(MARKS // 8, np.uint8)
+    for r in pages.collect():  # MARKS bits in pages of 4,096 bytes at most
+        page = np.frombuffer(r["bits"], np.uint8)
+        bits[(r["page"] - 1) * len(page) : r["page"] * len(page)] = page
+    maybe = rows.select("id", "text", place(0).alias("one"), place(32).alias("two")).mapInArrow(_marked(bits), f"id {rows.schema['id'].dataType.simpleString()}, text string")
+    return maybe.join(ids.hint("merge"), "id", "left_semi").select("text")
+
+
 def losses(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """h (the three characters before), c, target_loss, background_loss of every n-gram of ``docs``; the target model counts the rows whose id is in the column of ``chosen``."""
     rows = own_columns(docs, id=id_col, text=text_col)
-    targets = rows.join(chosen.toDF("id").distinct(), "id", "left_semi").select("text")
     count = lambda texts, name: texts.mapInArrow(_counted, "h long, c int, n long").groupBy("h", "c").agg(F.sum("n").alias(name))
-    grams = count(rows.select("text"), "nb").join(count(targets, "nt"), ["h", "c"], "left").fillna(0, ["nt"])
+    grams = count(rows.select("text"), "nb").join(count(chosen_texts(rows, chosen), "nt"), ["h", "c"], "left").fillna(0, ["nt"])
     return cut_lineage(_smoothed(cut_lineage(grams)))
 
 
@@ -181,31 +212,26 @@ def _scored(sent, name: str):
                 sums = np.zeros((b - a, 2))
                 if full.any():
                     sums[full] = np.add.reduceat(loss, (np.cumsum(lengths) - lengths)[full], axis=0)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(lengths, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["id", "n_tokens", "t", "b"])
+                own = [batch.column(n).slice(a, b - a) for n in ("row", "id")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(lengths, pa.int64()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["row", "id", "n_tokens", "t", "b"])
 
     return run
 
 
-def _own_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            h, c, n = added_up(*packed([text])[:2])
-            yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, 1).take(pa.array(np.zeros(len(h), np.int64))), pa.array(h), pa.array(c), pa.array(n)], ["row", "h", "c", "n"])
-
-
 def score(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of each row, by the losses of documents it was among. Losses are per token."""
-    spark, rows = docs.sparkSession, own_columns(docs, id=id_col, text=text_col)
+    context, rows = docs.sparkSession.sparkContext, own_columns(docs, id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
     kind = rows.schema["id"].dataType.simpleString()
-    if table.count() <= SENT:
-        local = table.toArrow()
+    parts = max(1, -(-table.count() // SENT))
+    sums = None
+    for part in range(parts):
+        local = table.where(F.pmod(F.xxhash64("h", "c"), F.lit(parts)) == part).toArrow()  # about SENT rows
         values = np.stack([local.column(c).to_numpy() for c in ("target_loss", "background_loss")], 1)
-        summed = rows.mapInArrow(_scored(spark.sparkContext.broadcast((local.column("h").to_numpy(), local.column("c").to_numpy(), values)), uuid.uuid4().hex), f"id {kind}, n_tokens long, t double, b double")
-    else:
-        named = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
-        found = named.select("row", "text").mapInArrow(_own_grams, "row long, h long, c int, n long").join(table, ["h", "c"])
-        sums = found.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.col("target_loss")).alias("t"), F.sum(F.col("n") * F.col("background_loss")).alias("b"))
-        summed = named.select("row", "id").join(sums, "row", "left").select("id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "t", "b")
+        sent = context.broadcast((local.column("h").to_numpy(), local.column("c").to_numpy(), values))
+        found = cut_lineage(rows.mapInArrow(_scored(sent, uuid.uuid4().hex), f"row long, id {kind}, n_tokens long, t double, b double"))
+        sent.unpersist()
+        sums = found if sums is None else sums.union(found)
+    summed = sums.groupBy("row").agg(F.first("id").alias("id"), F.first("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     mean = lambda c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens"))
     return summed.select(F.col("id").alias("doc_id"), "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"), (mean("t") - mean("b")).alias("score"))
 

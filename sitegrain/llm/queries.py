@@ -108,21 +108,21 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op8_cross_entropy", """
-WITH d AS (SELECT doc_id, chr(1) || chr(1) || chr(1) || coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
     doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS chosen FROM documents),
-grams AS MATERIALIZED (SELECT doc_id, chosen, substr(t, i, 4) AS g FROM (SELECT doc_id, chosen, t, unnest(range(1, n + 1)) AS i FROM d)),
+grams AS MATERIALIZED (SELECT doc_id, chosen, substr(t, greatest(1, i - 3), least(4, i)) AS g FROM (SELECT doc_id, chosen, t, unnest(range(1, n + 1)) AS i FROM d)),
 g4 AS MATERIALIZED (SELECT g, count(*) AS nb, count(*) FILTER (WHERE chosen) AS nt FROM grams GROUP BY g),
-g3 AS (SELECT substr(g, 2) AS g, sum(nb) AS nb, sum(nt) AS nt FROM g4 GROUP BY 1),
-g2 AS (SELECT substr(g, 3) AS g, sum(nb) AS nb, sum(nt) AS nt FROM g4 GROUP BY 1),
-g1 AS (SELECT substr(g, 4) AS g, sum(nb) AS nb, sum(nt) AS nt FROM g4 GROUP BY 1),
-h4 AS (SELECT left(g, 3) AS h, sum(nb) AS nb, sum(nt) AS nt FROM g4 GROUP BY 1),
-h3 AS (SELECT left(g, 2) AS h, sum(nb) AS nb, sum(nt) AS nt FROM g3 GROUP BY 1),
-h2 AS (SELECT left(g, 1) AS h, sum(nb) AS nb, sum(nt) AS nt FROM g2 GROUP BY 1),
+g3 AS (SELECT right(g, 3) AS g, sum(nb) AS nb, sum(nt) AS nt FROM g4 GROUP BY 1),
+g2 AS (SELECT right(g, 2) AS g, sum(nb) AS nb, sum(nt) AS nt FROM g4 GROUP BY 1),
+g1 AS (SELECT right(g, 1) AS g, sum(nb) AS nb, sum(nt) AS nt FROM g4 GROUP BY 1),
+h4 AS (SELECT left(g, length(g) - 1) AS h, sum(nb) AS nb, sum(nt) AS nt FROM g4 GROUP BY 1),
+h3 AS (SELECT left(g, length(g) - 1) AS h, sum(nb) AS nb, sum(nt) AS nt FROM g3 GROUP BY 1),
+h2 AS (SELECT left(g, length(g) - 1) AS h, sum(nb) AS nb, sum(nt) AS nt FROM g2 GROUP BY 1),
 h1 AS (SELECT sum(nb) AS nb, sum(nt) AS nt, count(*) AS v FROM g1),
 p1 AS (SELECT g, (g1.nb + 10.0 / v) / (h1.nb + 10.0) AS pb, (g1.nt + 10.0 / v) / (h1.nt + 10.0) AS pt FROM g1, h1),
-p2 AS (SELECT x.g, (x.nb + 10.0 * pb) / (h.nb + 10.0) AS pb, (x.nt + 10.0 * pt) / (h.nt + 10.0) AS pt FROM g2 x JOIN h2 h ON h.h = left(x.g, 1) JOIN p1 p ON p.g = substr(x.g, 2)),
-p3 AS (SELECT x.g, (x.nb + 10.0 * pb) / (h.nb + 10.0) AS pb, (x.nt + 10.0 * pt) / (h.nt + 10.0) AS pt FROM g3 x JOIN h3 h ON h.h = left(x.g, 2) JOIN p2 p ON p.g = substr(x.g, 2)),
-p4 AS MATERIALIZED (SELECT x.g, -ln(CAST((x.nb + 10.0 * pb) / (h.nb + 10.0) AS DOUBLE)) AS lb, -ln(CAST((x.nt + 10.0 * pt) / (h.nt + 10.0) AS DOUBLE)) AS lt FROM g4 x JOIN h4 h ON h.h = left(x.g, 3) JOIN p3 p ON p.g = substr(x.g, 2)),
+p2 AS (SELECT x.g, (x.nb + 10.0 * pb) / (h.nb + 10.0) AS pb, (x.nt + 10.0 * pt) / (h.nt + 10.0) AS pt FROM g2 x JOIN h2 h ON h.h = left(x.g, length(x.g) - 1) JOIN p1 p ON p.g = right(x.g, 1)),
+p3 AS (SELECT x.g, (x.nb + 10.0 * pb) / (h.nb + 10.0) AS pb, (x.nt + 10.0 * pt) / (h.nt + 10.0) AS pt FROM g3 x JOIN h3 h ON h.h = left(x.g, length(x.g) - 1) JOIN p2 p ON p.g = right(x.g, 2)),
+p4 AS MATERIALIZED (SELECT x.g, -ln(CAST((x.nb + 10.0 * pb) / (h.nb + 10.0) AS DOUBLE)) AS lb, -ln(CAST((x.nt + 10.0 * pt) / (h.nt + 10.0) AS DOUBLE)) AS lt FROM g4 x JOIN h4 h ON h.h = left(x.g, length(x.g) - 1) JOIN p3 p ON p.g = right(x.g, 3)),
 s AS (SELECT doc_id, count(*) AS n, avg(lt) AS lt, avg(lb) AS lb FROM grams JOIN p4 USING (g) GROUP BY doc_id)
 SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_tokens, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(lt - lb, 6) AS score FROM d LEFT JOIN s USING (doc_id)
 """.replace("10.0", "CAST(10 AS DOUBLE)"))

@@ -1,4 +1,4 @@
-"""Losses against the formula, both ways of scoring, odd rows."""
+"""Losses against the formula, scoring by one slice and by many, odd rows."""
 
 import math
 import random
@@ -13,7 +13,7 @@ SCHEMA = "doc_id long, text string, gram string, score string"
 
 
 def expected(rows, chosen):
-    plain = lambda t: ["\0"] * 3 + [c if ord(c) < 0x10000 else "￿" for c in (t or "").replace("\0", "\x01")]
+    plain = lambda t: ["\U0010fffe"] * 3 + list(t or "")
     count = {m: Counter() for m in "tb"}
     for i, t in rows:
         c = plain(t)
@@ -40,12 +40,12 @@ def expected(rows, chosen):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("sent", [cross_entropy.SENT, 0])
+@pytest.mark.parametrize("sent", [cross_entropy.SENT, 100])
 def test_losses(spark, monkeypatch, sent):
     monkeypatch.setattr(cross_entropy, "SENT", sent)
     r = random.Random(3)
     rows = [(i, "".join(r.choice("abcd eéß\n") for _ in range(r.choice([1, 3, 40, 400])))) for i in range(30)]
-    rows += [(40, None), (41, ""), (42, "😀a😁"), (43, "\0x"), (5, rows[5][1]), (None, "abc")]
+    rows += [(40, None), (41, ""), (42, "😀a😁"), (43, "\0x"), (44, "\x01x\0"), (5, rows[5][1]), (None, "abc")]
     docs = spark.createDataFrame([(*x, "", "") for x in rows], SCHEMA).repartition(3)
     found = cross_entropy.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in range(0, 30, 3)] + [(3,)], "doc_id long")).collect()
     got = sorted(((x.doc_id or 0, x.n_tokens, *(None if v is None else round(v, 9) for v in (x.target_loss, x.background_loss))) for x in found), key=repr)
@@ -53,6 +53,22 @@ def test_losses(spark, monkeypatch, sent):
     assert all(x.score is None or abs(x.score - x.target_loss + x.background_loss) < 1e-12 for x in found)
 
 
+def test_long_text(spark):
+    rows = [(1, "ab😀" * 100_000 + "\0"), (2, "abc")]
+    found = cross_entropy.cross_entropy_difference(spark.createDataFrame([(*x, "", "") for x in rows], SCHEMA), spark.createDataFrame([(1,)], "doc_id long")).collect()
+    assert sorted((x.doc_id, x.n_tokens) for x in found) == [(1, 300_001), (2, 3)]
+
+
+def test_bitmap_leaves_out_no_chosen_text(spark, monkeypatch):
+    """Also with so few bits that all of them are set."""
+    rows = spark.range(2000).selectExpr("id", "CAST(id AS STRING) AS text")
+    chosen = spark.range(0, 2000, 7).union(spark.range(3))
+    for bits in (cross_entropy.MARKS, 1 << 16):
+        monkeypatch.setattr(cross_entropy, "MARKS", bits)
+        got = sorted(int(r.text) for r in cross_entropy.chosen_texts(rows, chosen).collect())
+        assert got == sorted({*range(0, 2000, 7), 0, 1, 2})
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert cross_entropy.cross_entropy_difference(spark.createDataFrame([], SCHEMA), none).count() == 0

@@ -7,10 +7,10 @@ from sitegrain.llm import cross_entropy
 from sitegrain.llm.queries import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("sent", [cross_entropy.SENT, 0])
+@pytest.mark.parametrize("sent", [cross_entropy.SENT, 20])
 def test_each_has_its_own_entry(spark, tmp_path, monkeypatch, sent):
     monkeypatch.setattr(cross_entropy, "SENT", sent)
-    texts = ["😀a😁b😀a😁", "😁😁😁😁😁", "𠀀𠀁𠀀x𠀂￿", "plain text", "", None, "😀😀😀a\U0010ffff"]
+    texts = ["😀a😁b😀a😁", "😁😁😁😁😁", "𠀀𠀁𠀀x𠀂￿", "plain text", "\0\x01\0x", "\x01x", "", None, "😀😀😀a\U0010ffff"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, 1), (2, 1), (1, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     con = duckdb.connect()
