@@ -43,6 +43,7 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot",
 #: Elements that start the body where its tag is left out.
 IN_HEAD = frozenset("head html title meta link base script style template noscript".split())
 
+_CLOSING = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s>]++))?""")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -67,7 +68,6 @@ def tree(page: str) -> Element:
     """The page's elements and texts below one root."""
     root = Element("#root")
     stack, at = [root], 0
-    lower = page.lower() if "<" in page else ""
 
     def text(s: str) -> None:
         if s:
@@ -110,8 +110,8 @@ def tree(page: str) -> Element:
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
-            end = lower.find(f"</{tag}", at)
-            end = len(page) if end < 0 else end
+            closing = _CLOSING[tag].search(page, at)
+            end = closing.start() if closing else len(page)
             body = page[at:end]
             element.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
             stop = page.find(">", end)

@@ -186,10 +186,10 @@ def _plausible(text: str, kind: int, start: int, end: int) -> bool:
     if kind == 0:
         return own.count("@") == 1 and "." in own.partition("@")[2].strip(".") and not re.search(r"\s", own) and own[0] != "@"
     if kind == 1:
-        return own.count(".") == 3 and all(p.isdigit() and int(p) <= 255 for p in own.split(".") if len(p) < 4) and len(digits) + 3 == len(own)
+        return own.count(".") == 3 and len(digits) + 3 == len(own) and all(p and int(p) <= 255 for p in own.split("."))
     if kind == 2:
         return 13 <= len(digits) <= 19 and _luhn(digits) and not re.search("[^0-9 ./-]", own)
-    return 9 <= len(digits) <= 15 and len(re.findall("[^0-9]+", own.strip("()"))) >= 2 and not re.search(r"[^0-9+() ./-]", own) and own[0] in "+(0123456789"
+    return 9 <= len(digits) <= 15 and re.search("[^0-9]", own.strip("()")) is not None and not re.search(r"[^0-9+() ./-]", own) and own[0] in "+(0123456789"
 
 
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[Span]]:

@@ -24,6 +24,7 @@ CASES = {
     "<b><div>x</div></b>y": "x\ny",
     "<dl><dt>a<dd>b<dt>c<dd>d</dl>": "a\n  b\nc\n  d",
     "<blockquote><p>a<p>b</blockquote>": "  a\n\n  b",
+    "<p>" + "İ" * 20 + "</p><script>x</SCRIPT>Hello world<b>bold</b>": "İ" * 20 + "\n\nHello worldbold",
     "": "", "<p> </p>": "", "<textarea>a <b></textarea>c": "a <b>c",
     "<select><option>a<option>b</select>": "a\nb",
 }

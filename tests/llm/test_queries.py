@@ -69,6 +69,18 @@ def test_stages(spark):
         assert ids == [*tokenizer.encode(r.text, add_special_tokens=False).ids, 0]
 
 
+def test_edges_of_stages(spark):
+    """No language to learn from, ids that are repeated or missing, repeated rows."""
+    language, dedup = (f for _, f in corpus_pipeline.STAGES[:2])
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    copy, own = " ".join(words), " ".join(reversed(words))
+    rows = [(1, copy), (2, copy), (2, own), (3, "12 34"), (4, None), (5, "a text of its own, quite unlike all others here"), (5, "a text of its own, quite unlike all others here"), (None, "copies without any id are copies as well"), (None, "copies without any id are copies as well")]
+    docs = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, lang string").coalesce(1)
+    first = language(spark, docs, SMALL)
+    assert sorted((r.text for r in first.collect())) == sorted(t for _, t in rows if t and t != "12 34")
+    assert sorted((r.doc_id or 0, r.text) for r in dedup(spark, first, SMALL).collect()) == sorted((i or 0, t) for i, t in [rows[0], rows[2], rows[5], rows[7]])
+
+
 def test_empty_documents_run_through(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
