@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: language, near-duplicates, personal data, packing.
 
 Each stage works on all that the one before kept and is written as Parquet in the shared folder before the next reads it. All but the last
-return the columns of documents. ``doc_id`` names a document; rows whose id is null pass through every stage.
+return the columns of documents. Rows are told apart by their place in the table, so a null or repeated ``doc_id`` does no harm.
 """
 
 from __future__ import annotations
@@ -15,14 +15,23 @@ from sitegrain.session import cut_lineage
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that could be learned; those without a letter go. The rows stay in place, without a shuffle."""
-    return language.where_identified(docs, language.fit(docs))
+    """Documents in a language that could be learned; those without a letter go. The rows stay in place, without a shuffle.
+
+    If no row has a language to learn from, only the letters count.
+    """
+    model = language.fit(docs)
+    return language.where_identified(docs, model) if model.languages else docs.where(F.col("text").rlike(r"\p{L}"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share 80 % of their five-word shingles, the one with the smallest id."""
-    dropped = near_dups.near_duplicates(docs).where("NOT kept").select(F.col("doc_id")).distinct()
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of documents that share 80 % of their five-word shingles, the first row; repeated rows are such a group as well.
+
+    A row's key is its place in ``docs``, which is a written table, so each reading of it numbers the rows alike.
+    """
+    key = "_".join(["row", *docs.columns])  # no column has this name
+    keyed = docs.withColumn(key, F.monotonically_increasing_id())
+    dropped = near_dups.near_duplicates(keyed, id_col=key).where("NOT kept").select(F.col("doc_id").alias(key))
+    return keyed.join(dropped.hint("merge"), key, "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
