@@ -118,8 +118,8 @@ CANONICAL = """SELECT p.site, 'canonical-to-broken' AS issue, p.url, p.canonical
 WALK = """walk AS (SELECT site, url AS start, redirect_to AS nxt, [url] AS chain, false AS looped FROM site_pages WHERE status BETWEEN 300 AND 399 AND redirect_to IS NOT NULL
     UNION ALL SELECT w.site, w.start, CASE WHEN list_contains(w.chain, w.nxt) THEN NULL WHEN p.status BETWEEN 300 AND 399 THEN p.redirect_to END,
     CASE WHEN list_contains(w.chain, w.nxt) THEN w.chain ELSE list_append(w.chain, w.nxt) END, list_contains(w.chain, w.nxt)
-    FROM walk w LEFT JOIN site_pages p ON p.site = w.site AND p.url = w.nxt WHERE w.nxt IS NOT NULL AND len(w.chain) < 12)"""
-WALKED = "walked AS (SELECT site, start AS url, chain, looped FROM walk WHERE nxt IS NULL OR len(chain) >= 12)"
+    FROM walk w LEFT JOIN site_pages p ON p.site = w.site AND p.url = w.nxt WHERE w.nxt IS NOT NULL)"""
+WALKED = "walked AS (SELECT site, start AS url, chain, looped FROM walk WHERE nxt IS NULL)"
 REDIRECTS = """SELECT site, CASE WHEN looped THEN 'redirect-loop' ELSE 'redirect-chain' END AS issue, url,
     CASE WHEN looped THEN array_to_string(chain, ' → ') ELSE (len(chain) - 1) || ' hops: ' || array_to_string(chain, ' → ') END AS detail
     FROM walked WHERE looped OR len(chain) > 2"""

@@ -67,26 +67,39 @@ def decode_body(responses: DataFrame, body: str = "body", content_type: str = "c
     return staged.withColumn(out, F.coalesce("_text", decode_other(odd, F.col("_label")))).drop("_label", "_text")
 
 
-def gunzip_bodies(rows: DataFrame, body: str = "body", out: str = "text") -> DataFrame:
-    """Sitemap bodies as text; gzip is told by its magic bytes, a corrupt file becomes empty, a missing body stays null."""
+def gunzip_bodies(rows: DataFrame, body: str = "body", out: str = "text", error: str | None = None) -> DataFrame:
+    """Sitemap bodies as text; gzip is told by its magic bytes and may have several members, one after another.
 
-    @F.pandas_udf(T.StringType())
-    def unpack(data: pd.Series) -> pd.Series:
-        def one(raw: bytes | None) -> str | None:
-            if raw is None:
-                return None
-            stream = zlib.decompressobj(31)
-            try:
-                text = stream.decompress(bytes(raw))
-                return text.decode("utf-8", "replace") if stream.eof else ""
-            except zlib.error:
-                return ""
+    A member that is cut off or corrupt ends the text, so a file whose first member is broken is empty; the column ``error`` then says
+    which. Zero bytes after the last member are padding. A missing body stays null.
+    """
+    unpacked = "text string, error string"
 
-        return data.map(one)
+    @F.pandas_udf(unpacked)
+    def unpack(data: pd.Series) -> pd.DataFrame:
+        def one(raw: bytes | None) -> tuple[str | None, str | None]:
+            if raw is None:
+                return None, None
+            rest, parts = bytes(raw), []
+            while rest.strip(b"\0"):
+                stream = zlib.decompressobj(31)
+                try:
+                    part = stream.decompress(rest)
+                except zlib.error as broken:
+                    return b"".join(parts).decode("utf-8", "replace"), f"corrupt: {broken}"
+                if not stream.eof:
+                    return b"".join(parts).decode("utf-8", "replace"), "truncated"
+                parts.append(part)
+                rest = stream.unused_data
+            return b"".join(parts).decode("utf-8", "replace"), None
+
+        return pd.DataFrame([one(x) for x in data], columns=["text", "error"])
 
     packed = F.coalesce(F.substring(F.col(body), 1, 2) == F.unhex(F.lit("1F8B")), F.lit(False))
     # one scan; the function gets nulls for all rows but the packed ones
-    return rows.withColumn(out, F.coalesce(F.when(~packed, F.make_valid_utf8(F.col(body).cast("string"))), unpack(F.when(packed, F.col(body)))))
+    staged = rows.withColumn("_unpacked", unpack(F.when(packed, F.col(body))))
+    staged = staged.withColumn(out, F.coalesce(F.when(~packed, F.make_valid_utf8(F.col(body).cast("string"))), F.col("_unpacked.text")))
+    return (staged.withColumn(error, F.col("_unpacked.error")) if error else staged).drop("_unpacked")
 
 
 def _xml_text(text: Column) -> Column:

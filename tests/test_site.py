@@ -40,7 +40,7 @@ def test_redirect_walk(spark, site):
     ring = [("r", f"u{i}", 301, f"u{(i + 1) % 3}") for i in range(3)] + [("r", f"l{i}", 301, f"l{i + 1}") for i in range(20)]
     ring += [("r", f"m{i}", 301, f"m{(i + 1) % 15}") for i in range(15)] + [("r", "s", 301, "s")]
     walked = {r["url"]: (r["hops"], r["is_loop"]) for r in graph.redirect_chains(spark.createDataFrame(ring, "site string, url string, status int, redirect_to string")).collect()}
-    assert walked["u0"] == (2, True) and walked["s"] == (0, True) and walked["l0"] == (11, False) and walked["l18"] == (2, False) and walked["m0"] == (11, False)
+    assert walked["u0"] == (2, True) and walked["s"] == (0, True) and walked["l0"] == (20, False) and walked["l18"] == (2, False) and walked["m0"] == (14, True)
 
 
 def test_findings_of_the_small_site(spark, site):
@@ -107,6 +107,11 @@ def test_bodies_and_certificates(spark):
     assert got == {1: "é", 2: "<meta charset='latin1'>é", 3: "é", 4: "� x", 5: "é"}
     packed = spark.createDataFrame([(1, bytearray(gzip.compress(b"<urlset/>"))), (2, bytearray(b"\x1f\x8bbroken")), (3, bytearray(b"plain")), (4, None)], "id int, body binary")
     assert {r["id"]: r["text"] for r in responses.gunzip_bodies(packed).collect()} == {1: "<urlset/>", 2: "", 3: "plain", 4: None}
+    two = gzip.compress(b"<a>") + gzip.compress(b"<b>")
+    files = [(1, two), (2, two + b"\0" * 9), (3, two[:-3]), (4, two + b"junk"), (5, gzip.compress(b"<a>")[:-9]), (6, b"plain"), (7, None)]
+    got = {r["id"]: (r["text"], r["why"]) for r in responses.gunzip_bodies(spark.createDataFrame([(i, b and bytearray(b)) for i, b in files], "id int, body binary"), error="why").collect()}
+    assert {i: got[i] for i in (1, 2, 3, 5, 6, 7)} == {1: ("<a><b>", None), 2: ("<a><b>", None), 3: ("<a>", "truncated"), 5: ("", "truncated"), 6: ("plain", None), 7: (None, None)}
+    assert got[4][0] == "<a><b>" and got[4][1].startswith("corrupt: ")
     xml = "<urlset><url><loc> https://e.com/?a=1&amp;b=2 </loc><lastmod>2024-01-01</lastmod></url><url><loc><![CDATA[https://e.com/c]]></loc></url></urlset>"
     files = spark.createDataFrame([("e", "m.xml", xml), ("e", "bad", "<html>")], "site string, sitemap string, text string")
     assert [(r["loc"], r["lastmod"]) for r in responses.parse_sitemaps(files).orderBy("ord").collect()] == [("https://e.com/?a=1&b=2", "2024-01-01"), ("https://e.com/c", None)]
