@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitegrain.functions import phrases as ph
 from sitegrain.functions import text as tx
 from sitegrain.functions import urls as ur
-from sitegrain.operators import checks, extract, keywords, posts, tech
+from sitegrain.operators import checks, extract, fields, keywords, posts, tech
 from sitegrain.operators.ranking import top_n
 from sitegrain.plans.audits import px_sql
 from sitegrain.plans.catalog import query
@@ -25,21 +25,20 @@ ARTICLE = SQUEEZE.format(HTML_TEXT.format("regexp_extract(html, '<article>(.*)</
 BODY = SQUEEZE.format(HTML_TEXT.format("regexp_replace(regexp_extract(html, '<body>(.*)', 1, 's'), '<!--.*?-->', '', 'gs')"))
 
 
-def facts(spark, d):
-    return extract.extract_pages(table(spark, d, "pages"))
+def facts(spark, d, *wanted):
+    return fields.extract(table(spark, d, "pages"), list(wanted))
 
 
 @query("page_title_h1", f"""SELECT page_id, {SQUEEZE.format(UNESCAPE.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')"))} AS title, 1 AS title_count,
     {SQUEEZE.format(UNESCAPE.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')"))} AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
     regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset FROM pages""")
 def page_title_h1(spark, d):
-    return facts(spark, d).select("page_id", "title", "title_count", F.get("h1", F.lit(0)).alias("h1"), "lang", "charset")
+    return facts(spark, d, "title", "title_count", "h1", "lang", "charset").select("page_id", "title", "title_count", F.get("h1", F.lit(0)).alias("h1"), "lang", "charset")
 
 
 @query("page_text", f"SELECT page_id, {ARTICLE} AS main_text, {BODY} AS all_text, len(regexp_extract_all({BODY}, '{WORD}')) AS word_count FROM pages")
 def page_text(spark, d):
-    scanned = extract.scan_pages(table(spark, d, "pages"), text_only=True)
-    return scanned.select("page_id", "main_text", "all_text", tx.count_words(F.col("all_text")).alias("word_count"))
+    return facts(spark, d, "main_text", "all_text", "word_count").select("page_id", "main_text", "all_text", "word_count")
 
 
 LINKS = """links AS (SELECT page_id, url, 'http' || CASE WHEN url LIKE 'https%' THEN 's' ELSE '' END || '://' || lower(regexp_extract(url, '//([^/?#]*)', 1)) AS origin, pos,
@@ -50,7 +49,7 @@ ENCODED = "array_to_string(list_transform(string_split(raw, ''), lambda c: CASE
 
 @query("page_links", f"WITH {LINKS} SELECT page_id, pos, origin || {ENCODED} AS href, text, true AS internal, false AS nofollow FROM links")
 def page_links(spark, d):
-    rows = extract.link_rows(facts(spark, d).select("page_id", "links"), "page_id")
+    rows = extract.link_rows(facts(spark, d, "links"), "page_id")
     return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), "href", "text", "internal", "nofollow")
 
 
@@ -64,14 +63,14 @@ def resolved_links(spark, d):
 
 @query("unique_links", f"WITH {LINKS} SELECT page_id, origin || {ENCODED} AS href, count(*) AS count, arg_min(text, pos) AS text FROM links GROUP BY ALL")
 def unique_links(spark, d):
-    rows = extract.link_rows(facts(spark, d).select("page_id", "links"), "page_id")
+    rows = extract.link_rows(facts(spark, d, "links"), "page_id")
     return extract.unique_links(rows, "page_id").select("page_id", "href", "count", "text")
 
 
 @query("link_image_counts", f"""WITH {LINKS} SELECT p.page_id, count(l.page_id) AS links_total, count(l.page_id) AS links_internal, 0 AS links_external, 0 AS links_nofollow,
     0 AS images_total FROM pages p LEFT JOIN links l USING (page_id) GROUP BY p.page_id""")
 def link_image_counts(spark, d):
-    return extract.link_image_counts(facts(spark, d)).select("page_id", "links_total", "links_internal", "links_external", "links_nofollow", "images_total")
+    return extract.link_image_counts(facts(spark, d, "links", "images", "headings", "hreflang")).select("page_id", "links_total", "links_internal", "links_external", "links_nofollow", "images_total")
 
 
 @query("url_parts", r"""SELECT page_id, lower(regexp_extract(url, '^([a-z]+):', 1)) AS scheme, lower(regexp_extract(url, '//([^/?#:]*)', 1)) AS host,
@@ -127,13 +126,13 @@ TITLES = f"""titles AS (SELECT page_id, lower(regexp_extract(url, '//([^/?#]*)',
 @query("title_lengths", f"""WITH {TITLES} SELECT page_id, px, CASE WHEN px > 600 THEN 'long' WHEN length(title) < 30 THEN 'short' ELSE 'good' END AS verdict FROM
     (SELECT page_id, title, {px_sql('title', 20)} AS px FROM titles) t""")
 def title_lengths(spark, d):
-    titles = facts(spark, d).select("page_id", "title", tx.pixel_width(F.col("title"), 20).alias("px"))
+    titles = facts(spark, d, "title").select("page_id", "title", tx.pixel_width(F.col("title"), 20).alias("px"))
     return titles.select("page_id", "px", F.when(F.col("px") > 600, "long").when(F.length("title") < 30, "short").otherwise("good").alias("verdict"))
 
 
 @query("duplicate_titles", f"WITH {TITLES} SELECT site, title, count(*) AS pages FROM titles GROUP BY site, title HAVING count(*) > 1")
 def duplicate_titles(spark, d):
-    titles = facts(spark, d).select(ur.host_of(F.col("url")).alias("site"), "title")
+    titles = facts(spark, d, "title").select(ur.host_of(F.col("url")).alias("site"), "title")
     return titles.groupBy("site", "title").agg(F.count("*").alias("pages")).where("pages > 1")
 
 
@@ -146,7 +145,7 @@ _PREFIX = f"""SELECT page_id, title, max(i) AS n FROM (SELECT page_id, title, i,
     THEN substr(out, 1, length(out) - strpos(reverse(out), ' ')) ELSE out END) || ' ...' END AS title FROM prefixed""")
 def result_titles(spark, d):
     cut = tx.truncate_to_pixels(F.col("title"), tx.TITLE_PX, tx.TITLE_LIMIT_PX)
-    return facts(spark, d).select("page_id", cut.alias("t")).select("page_id", F.col("t.truncated").alias("truncated"), F.col("t.text").alias("title"))
+    return facts(spark, d, "title").select("page_id", cut.alias("t")).select("page_id", F.col("t.truncated").alias("truncated"), F.col("t.text").alias("title"))
 
 
 @query("word_counts", f"SELECT doc_id, len(regexp_extract_all(text, '{WORD}')) AS words, len({TOKENS}) AS tokens FROM documents")
@@ -301,7 +300,7 @@ def full_responses(spark, d):
 
 def checked_pages(spark, d):
     rows = full_responses(spark, d).withColumns({"has_doctype": extract.has_doctype(F.col("html")), "html_bytes": F.octet_length("html")})
-    page = extract.page_facts(extract.scan_pages(rows.withColumn("raw", F.col("html"))))
+    page = fields.extract(rows.withColumn("raw", F.col("html")), [*fields.FIELDS, *fields.MADE])
     return page.withColumns({
         "noindex": extract.is_noindex(extract.robots_tokens(F.col("meta_robots"), F.element_at("headers", F.lit("x-robots-tag")))),
         "googlebot": F.lit(True), "bingbot": F.col("page_id") % 5 != 0,
@@ -427,7 +426,7 @@ def client_rendered(spark, d):
 @query("client_rendered_pages")
 def client_rendered_pages(spark, d):
     """Every page judged by its own HTML, scripts and words; no SQL can scan HTML."""
-    page = extract.page_facts(extract.scan_pages(table(spark, d, "pages").select("page_id", "url", "html", F.col("html").alias("raw"))))
+    page = fields.extract(table(spark, d, "pages").select("page_id", "url", "html", F.col("html").alias("raw")), ["word_count", "inline_script_bytes", "scripts"])
     return page.select("page_id", extract.looks_client_rendered(F.col("raw"), F.col("word_count"), F.col("inline_script_bytes"), F.col("scripts")).alias("shell"))
 
 

@@ -56,9 +56,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return table
 
 
+def bucketed(df: DataFrame, *keys: str, buckets: int | None = None) -> DataFrame:
+    """The rows as a table bucketed by ``keys``, in the shared folder: joins and groupings on these keys, or on more, read it without a shuffle.
+
+    Tables that meet must have as many buckets; by default that is the number of shuffle partitions. The session's catalog holds the table's
+    name until ``forget``, so with a metastore of its own the user must be allowed to create tables.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    table.settled_path, table.settled_name = path, name
+    return table
+
+
 def forget(table: DataFrame) -> None:
     """Delete the files of a table ``cut_lineage`` wrote, once nothing reads it any more."""
-    path = getattr(table, "settled_path", None)
+    path, name = getattr(table, "settled_path", None), getattr(table, "settled_name", None)
+    if name:
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     if path:
         jvm = table.sparkSession._jvm
         folder = jvm.org.apache.hadoop.fs.Path(path)
