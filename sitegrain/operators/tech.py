@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values: (name, category, patterns); patterns ignore case.
 SIGNATURES: list[tuple[str, str, dict]] = [
@@ -141,7 +147,109 @@ SIGNATURES: list[tuple[str, str, dict]] = [
 ]
 
 
-def _evidence(patterns: dict) -> Column:
+#: Fewest characters of a literal that is worth looking for.
+SHORTEST = 3
+
+
+def literals(pattern: str) -> list[str]:
+    """For each top-level alternative of a pattern its longest run of plain characters, in lower case: what a match must hold. Empty where there is none."""
+    found, runs, run, depth, i = [], [], "", 0, 0
+
+    def stop() -> None:
+        nonlocal run
+        if not depth:
+            runs.append(run)
+        run = ""
+
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            if pattern[i + 1].isalnum():
+                stop()
+            else:
+                run += pattern[i + 1]
+            i += 2
+            continue
+        if c == "[":
+            stop()
+            i = pattern.index("]", i + 2)
+        elif c == "(":
+            stop()
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            run = ""
+        elif c == "|" and not depth:
+            stop()
+            found.append(max(runs, key=len))
+            runs = []
+        elif c in "?*{":
+            run = run[:-1]
+            stop()
+            if c == "{":
+                i = pattern.index("}", i)
+        elif c in ".^$+|":
+            stop()
+        else:
+            run += c
+        i += 1
+    stop()
+    return [x.lower() for x in (*found, max(runs, key=len))]
+
+
+@lru_cache(maxsize=8)
+def _automaton(patterns: tuple[str, ...]):
+    """One automaton over the literals of all patterns, the patterns themselves, and those that every text must be searched for."""
+    import ahocorasick
+
+    owners: dict[str, set[int]] = {}
+    always = set()
+    for i, pattern in enumerate(patterns):
+        needles = literals(pattern)
+        if min(map(len, needles)) < SHORTEST:
+            always.add(i)
+            continue
+        for needle in needles:
+            owners.setdefault(needle, set()).add(i)
+    automaton = ahocorasick.Automaton()
+    for needle, which in owners.items():
+        automaton.add_word(needle, frozenset(which))
+    if owners:
+        automaton.make_automaton()
+    # like Java's, the classes and cases of these patterns are those of ASCII
+    return automaton if owners else None, [re.compile(p, re.I | re.A) for p in patterns], frozenset(always)
+
+
+def first_matches(text: str, patterns: tuple[str, ...]) -> dict[int, str]:
+    """The first match of each pattern that occurs in a text. One pass finds the literals; only patterns whose literal is there are searched for."""
+    automaton, compiled, always = _automaton(patterns)
+    likely = set(always)
+    if automaton is not None:
+        for _, which in automaton.iter(text.lower()):
+            likely |= which
+    found = {}
+    for i in sorted(likely):
+        m = compiled[i].search(text)
+        if m and m[0]:
+            found[i] = m[0]
+    return found
+
+
+def with_matches(pages: DataFrame, patterns: list[str], html: str = "html", out: str = "matches", longest: int = 50) -> DataFrame:
+    """The pages without their HTML, with a map from the number of each pattern that occurs to the beginning of its first match."""
+    keep = [f for f in pages.schema.fields if f.name != html]
+    names, fixed = [f.name for f in keep], tuple(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.map_(pa.int32(), pa.string())
+        for batch in batches:
+            found = [[(i, m[:longest]) for i, m in first_matches(x.as_py() or "", fixed).items()] for x in batch[html]]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), pa.array(found, kind)], [*names, out])
+
+    return pages.mapInArrow(run, T.StructType([*keep, T.StructField(out, T.MapType(T.IntegerType(), T.StringType()))]))
+
+
+def _evidence(patterns: dict, place: int | None) -> Column:
     """Text of the first evidence in the order headers, generator, cookies, scripts, HTML; null when nothing fits."""
     found = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, pattern in patterns.get("headers", {}).items():
@@ -153,25 +261,26 @@ def _evidence(patterns: dict) -> Column:
         found = found.when(F.element_at("headers", F.lit("set-cookie")).rlike("(?i)" + patterns["cookies"]), F.lit("Cookie set by server"))
     if "scripts" in patterns:
         found = found.when(F.col("_scripts").rlike("(?i)" + patterns["scripts"]), F.lit("Script URL"))
-    if "html" in patterns:
-        match = F.regexp_extract("_doc", "(?i)" + patterns["html"], 0)
-        found = found.otherwise(F.when(match != "", F.concat(F.lit("HTML contains “"), F.substring(match, 1, 50), F.lit("”"))))
+    if place is not None:
+        found = found.otherwise(F.concat(F.lit("HTML contains “"), F.element_at("_matches", F.lit(place)), F.lit("”")))
     return found
 
 
 def detect_technologies(pages: DataFrame, *keys: str, signatures=None) -> DataFrame:
     """``(keys, name, category, version, evidence)`` from pages with html, headers, scripts and generator.
 
-    Each signature is one Column with a constant pattern, so patterns are compiled once per task and no page is joined
-    with the signature table.
+    The HTML is read once for the patterns of all signatures; what concerns short columns stays in one projection, and no page is joined with
+    the signature table.
     """
-    staged = pages.select(
-        *keys, "headers", "generator", F.array_join("scripts", "\n").alias("_scripts"), F.col("html").alias("_doc"))
+    every = signatures or SIGNATURES
+    places = {name: i for i, name in enumerate(n for n, _, p in every if "html" in p)}
+    staged = with_matches(
+        pages.select(*keys, "headers", "generator", F.array_join("scripts", "\n").alias("_scripts"), "html"), [p["html"] for _, _, p in every if "html" in p], out="_matches")
     rows = []
-    for name, category, patterns in signatures or SIGNATURES:
+    for name, category, patterns in every:
         version = F.lit(None).cast("string")
         if "version" in patterns:
             version = F.nullif(F.regexp_extract(F.coalesce("generator", F.lit("")), "(?i)" + patterns["version"], 1), F.lit(""))
-        rows.append(F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), version.alias("version"), _evidence(patterns).alias("evidence")))
+        rows.append(F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), version.alias("version"), _evidence(patterns, places.get(name)).alias("evidence")))
     hits = F.explode(F.filter(F.array(*rows), lambda r: r["evidence"].isNotNull()))
     return staged.select(*keys, hits.alias("t")).select(*keys, "t.*")

@@ -377,9 +377,8 @@ def ordered_checks(spark, d):
     UNION ALL SELECT page_id, 'PHP', NULL, 'Cookie set by server' FROM pages WHERE page_id % 6 = 0) t""")
 def tech_stack(spark, d):
     rows = full_responses(spark, d)
-    generator = F.nullif(F.regexp_extract("html", '<meta name="generator" content="([^"]*)"', 1), F.lit(""))
-    scripts = F.regexp_extract_all("html", F.lit('<script src="([^"]*)"'), F.lit(1))
-    found = tech.detect_technologies(rows.withColumns({"generator": generator, "scripts": scripts}), "page_id")
+    page = fields.extract(rows.withColumn("raw", F.col("html")), ["generator", "scripts"]).withColumnRenamed("raw", "html")
+    found = tech.detect_technologies(page, "page_id")
     return found.select("page_id", "name", "version", "evidence")
 
 
