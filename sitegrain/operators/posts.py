@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import urls as ur
 from sitegrain.functions.text import js_round
-from sitegrain.operators.ranking import page_of, top_n, with_ordinal
+from sitegrain.operators.ranking import page_of
 
 # Names of post files, and times as posts write them.
 FILE_NAME = r"^(\d{4}-\d{2}-\d{2})-([a-z0-9]+(?:-[a-z0-9]+)*)\.md$"
@@ -62,31 +66,52 @@ def post_page(posts: DataFrame, page: int, size: int = 12) -> DataFrame:
     return page_of(posts, -F.unix_micros(F.try_to_timestamp("date")), "slug", page, size)
 
 
+def _related(sent, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slugs, lists = sent.value
+        place_of = {slug: i for i, slug in enumerate(slugs)}
+        inverted: dict[str, list[int]] = {}
+        for i, tags in enumerate(lists):
+            for tag in tags:
+                inverted.setdefault(tag, []).append(i)
+        places = {tag: np.asarray(at) for tag, at in inverted.items()}
+        for batch in batches:
+            rows: list[tuple] = []
+            for slug, tags in zip(batch.column("slug").to_pylist(), batch.column("tags").to_pylist(), strict=True):
+                reach = min(len(slugs), 100 * len(tags) + n + 1)  # beyond, no post can be among the best
+                shared = np.zeros(reach, np.int64)
+                for tag in tags:
+                    at = places.get(tag, places_of_none)
+                    shared[at[: np.searchsorted(at, reach)]] += 1
+                own = place_of.get(slug, len(slugs))
+                index = np.arange(reach)
+                score = 100 * shared - (index - (index > own))
+                others = index[index != own]
+                least = np.partition(score[others], max(0, len(others) - n))[max(0, len(others) - n)] if len(others) else 0
+                best = sorted((-int(score[i]), slugs[i], int(shared[i])) for i in others[score[others] >= least])[:n]
+                rows += [(slug, related, s, -lost, rank) for rank, (lost, related, s) in enumerate(best, 1)]
+            columns = [*zip(*rows, strict=True)] if rows else [[]] * 5
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slug", "related", "shared", "score", "rank"])
+
+    places_of_none = np.zeros(0, np.int64)
+    return run
+
+
 def related_posts(posts: DataFrame, n: int = 3) -> DataFrame:
-    """For every post the n others with the best score, shared tags times 100 minus recency place.
+    """For every post the n others with the best score, shared tags times 100 minus recency place (of equals the first slug): slug, related, shared, score, rank.
 
-    Posts meet on sets of tags, not in pairs: of all posts holding a given tag set only the n + 1 newest can be among anybody's
-    best n, so each set keeps those, and a post looks up its own sets. All tags of a post count; tags that no other post has can't be
-    shared and make no sets. A post has 2^t sets of its t shared tags; the empty set stands for posts that share nothing.
-    ``posts(slug, published_at, tags)``.
+    A post with t tags scores at most 100 t less the other's place, and the newest n others score more than -n, so only the newest
+    ``100 t + n + 1`` posts can be among its best. Of the posts as many as the longest list of tags asks for are sent to the tasks as inverted
+    tag lists; their number follows the tags of one post and not the number of posts, and nothing is shuffled. A slug names one post; posts without a date
+    are the oldest, null tags are none. ``posts(slug, published_at, tags)``.
     """
-    placed = with_ordinal(posts, -F.unix_micros("published_at"), "slug", "place")
-    each = placed.select("slug", "place", F.explode(F.array_distinct("tags")).alias("tag"))
-    known = each.join(each.groupBy("tag").agg(F.count("*").alias("posts")).where("posts > 1").select("tag"), "tag", "left_semi")
-    held = known.groupBy("slug").agg(F.array_sort(F.collect_set("tag")).alias("_t"))
-    mask = lambda m: F.filter(F.col("_t"), lambda t, i: F.getbit(m, i) == 1)
-    sets = F.transform(F.sequence(F.lit(0), F.pow(F.lit(2), F.size("_t")).cast("int") - 1), lambda m: F.array_join(mask(m), "\x1f"))
-    tagged = placed.select("slug", "place").join(held, "slug", "left").withColumn("_t", F.coalesce("_t", F.array().cast("array<string>")))
-    rows = tagged.select("slug", "place", F.explode(sets).alias("set"))
-    newest = top_n(rows, ["set"], [F.col("place")], n + 1)
-    held = newest.groupBy("set").agg(F.collect_list(F.struct("slug", "place")).alias("others"))
-    met = rows.join(held, "set").select("slug", "place", "set", F.explode("others").alias("o")).where(F.col("o.slug") != F.col("slug"))
-    size = F.when(F.col("set") == "", 0).otherwise(F.size(F.split("set", "\x1f")))
-    # The place of the other post counts without the post itself, as it is left out of the list.
-    index = F.col("o.place") - (F.col("o.place") > F.col("place")).cast("int")
-    scored = met.groupBy("slug", F.col("o.slug").alias("related")).agg(F.max(size).alias("shared"), F.max(index).alias("_i"))
-    scored = scored.withColumn("score", F.col("shared") * 100 - F.col("_i")).drop("_i")
-    return top_n(scored, ["slug"], [F.col("score").desc(), F.col("related")], n, "rank")
+    tags = F.array_distinct(F.array_compact(F.coalesce("tags", F.array().cast("array<string>"))))
+    rows = posts.select("slug", "published_at", tags.alias("tags"))
+    most = rows.agg(F.max(F.size("tags"))).first()[0] or 0
+    head = rows.orderBy(F.col("published_at").desc_nulls_last(), "slug").limit(100 * most + n + 1).select("slug", "tags").toArrow()
+    sent = posts.sparkSession.sparkContext.broadcast((head.column("slug").to_pylist(), head.column("tags").to_pylist()))
+    return rows.select("slug", "tags").mapInArrow(_related(sent, n), "slug string, related string, shared int, score long, rank int")
 
 
 def tag_overlap(a: Column, b: Column) -> Column:
