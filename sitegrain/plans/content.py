@@ -414,14 +414,6 @@ def csv_safe(spark, d):
     return safe.select(F.col("doc_id").cast("bigint").alias("doc_id"), sinks.csv_line(safe.select("text")).alias("line"))
 
 
-@query("client_rendered", """SELECT page_id, page_id % 2 = 0 AND len(regexp_extract_all(text, '[a-z]+')) < 250 AS shell FROM (SELECT doc_id AS page_id, text FROM documents) d WHERE regexp_matches(text, '^[a-zA-Z .,]*$')""")
-def client_rendered(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike("^[a-zA-Z .,]*$"))
-    html = F.when(F.col("doc_id") % 2 == 0, F.lit('<div id="root"></div>')).otherwise(F.lit("<div>text</div>"))
-    words = F.size(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))
-    return docs.select(F.col("doc_id").alias("page_id"), extract.looks_client_rendered(html, words, F.lit(0), F.array().cast("array<string>")).alias("shell"))
-
-
 @query("client_rendered_pages")
 def client_rendered_pages(spark, d):
     """Every page judged by its own HTML, scripts and words; no SQL can scan HTML."""

@@ -16,18 +16,20 @@ from sitegrain.sources import responses
 from sitegrain import streaming
 
 AS_OF = "2024-06-01 00:00:00"
-PAIRS = "regexp_extract_all(lower(text), '[a-z]+ [a-z]+')"
+#: Two words of any script, as a suggestion.
+PAIR = r"[\p{L}\p{N}]+ [\p{L}\p{N}]+"
+PAIRS = f"regexp_extract_all(lower(text), '{PAIR}')"
 
 
 def suggestion_lists(spark, d):
     return landed(spark, d, "suggestion_texts").select(
         "seed", F.col("engine").alias("source"), F.col("doc_id").cast("string").alias("query"), "ok", F.col("doc_id").alias("ord"),
-        F.when(F.col("ok"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+ [a-z]+"), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("suggestions"),
+        F.when(F.col("ok"), F.regexp_extract_all(F.lower("text"), F.lit(PAIR), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("suggestions"),
         F.when(~F.col("ok"), F.concat(F.lit("error "), "doc_id")).alias("error"))
 
 
 IDEAS = f"""placed AS MATERIALIZED (SELECT seed, engine, keyword, position, count(*) AS n FROM (SELECT seed, engine, unnest(l) AS keyword, unnest(range(1, len(l) + 1)) AS position FROM
-    (SELECT seed, engine, {PAIRS} AS l FROM suggestion_texts WHERE ok) x) y WHERE length(keyword) <= 120 GROUP BY ALL),
+    (SELECT seed, engine, {PAIRS} AS l FROM suggestion_texts WHERE ok) x) y GROUP BY ALL),
     raw AS (SELECT seed, keyword, sum(n * floor(1099511627776.0::DOUBLE / position)) / 1099511627776.0::DOUBLE * (1 + 0.25 * (count(DISTINCT engine) - 1)) AS raw,
     array_to_string(list_sort(list_distinct(list(engine))), ' ') AS sources, min(position) AS best_position, CAST(sum(n) AS BIGINT) AS appearances FROM placed GROUP BY seed, keyword),
     ideas AS MATERIALIZED (SELECT *, CAST(greatest(1, floor(raw / max(raw) OVER (PARTITION BY seed) * 100 + 0.5)) AS INT) AS score FROM raw)"""
@@ -35,62 +37,53 @@ IDEAS = f"""placed AS MATERIALIZED (SELECT seed, engine, keyword, position, coun
 
 @query("suggestion_scores", f"WITH {IDEAS} SELECT seed, keyword, score, sources, best_position, appearances, 2 AS words FROM ideas")
 def suggestion_scores(spark, d):
-    ideas = keywords.idea_scores(suggestion_lists(spark, d), 120)
+    ideas = keywords.idea_scores(suggestion_lists(spark, d))
     return ideas.select("seed", "keyword", "score", F.array_join("sources", " ").alias("sources"), F.col("best_position").cast("bigint").alias("best_position"), "appearances", "words")
 
 
 @query("ranked_ideas", f"WITH {IDEAS} SELECT seed, keyword, score, CAST(row_number() OVER (PARTITION BY seed ORDER BY score DESC, keyword) AS INT) AS rank FROM ideas QUALIFY rank <= 50")
 def ranked_ideas(spark, d):
-    return keywords.ranked_ideas(keywords.idea_scores(suggestion_lists(spark, d), 120), 50).select("seed", "keyword", "score", "rank")
+    return keywords.ranked_ideas(keywords.idea_scores(suggestion_lists(spark, d)), 50).select("seed", "keyword", "score", "rank")
 
 
 IGNORED = STOP + ", " + ", ".join(f"'{w}'" for w in ph.QUESTION_WORDS + ph.CLUSTER_IGNORE)
 CLUSTERS = f"""{IDEAS}, terms AS MATERIALIZED (SELECT DISTINCT seed, keyword, term FROM (SELECT seed, keyword, unnest(string_split(keyword, ' ')) AS term FROM ideas) t
-    WHERE length(term) > 2 AND term <> seed AND term NOT IN ({IGNORED})), df AS (SELECT seed, term, count(*) AS df FROM terms GROUP BY ALL HAVING count(*) >= 2),
+    WHERE length(term) > 2 AND NOT regexp_matches(term, '^[0-9]+$') AND term <> seed AND term NOT IN ({IGNORED})), df AS (SELECT seed, term, count(*) AS df FROM terms GROUP BY ALL HAVING count(*) >= 2),
     best AS (SELECT seed, keyword, min(struct_pack(d := -df, term := term)).term AS term FROM terms JOIN df USING (seed, term) GROUP BY seed, keyword),
     clustered AS (SELECT i.seed, i.keyword, coalesce(b.term, 'Other') AS cluster FROM ideas i LEFT JOIN best b USING (seed, keyword))"""
 
 
 @query("keyword_clusters", f"WITH {CLUSTERS} SELECT * FROM clustered")
 def keyword_clusters(spark, d):
-    return keywords.assign_clusters(keywords.idea_scores(suggestion_lists(spark, d), 120)).select("seed", "keyword", "cluster")
+    return keywords.assign_clusters(keywords.idea_scores(suggestion_lists(spark, d))).select("seed", "keyword", "cluster")
 
 
 @query("cluster_sizes", f"""WITH {CLUSTERS} SELECT seed, cluster, count(*) AS ideas, CAST(row_number() OVER (PARTITION BY seed ORDER BY count(*) DESC, cluster) AS INT) AS rank FROM clustered
     WHERE cluster <> 'Other' GROUP BY seed, cluster QUALIFY rank <= 24""")
 def cluster_sizes(spark, d):
-    return keywords.cluster_sizes(keywords.assign_clusters(keywords.idea_scores(suggestion_lists(spark, d), 120)))
+    return keywords.cluster_sizes(keywords.assign_clusters(keywords.idea_scores(suggestion_lists(spark, d))))
 
 
 INTENT = f"""CASE WHEN regexp_matches(k, '{ph.TRANSACTIONAL}') THEN 'Transactional' WHEN regexp_matches(k, '{ph.COMMERCIAL}') THEN 'Commercial'
     WHEN regexp_matches(k, '{ph.NAVIGATIONAL}') THEN 'Navigational' ELSE 'Informational' END"""
 QWORDS = ", ".join(f"'{w}'" for w in ph.QUESTION_WORDS)
-GROUP = rf"""CASE WHEN split_part(lower(k), ' ', 1) IN ({QWORDS}) OR strpos(k, '?') > 0 OR regexp_matches(' ' || lower(k) || ' ', '\b(how to|what is|why do|is it)\b') THEN 'Questions'
+GROUP = rf"""CASE WHEN regexp_extract(lower(k), '^\S*') IN ({QWORDS}) OR strpos(k, '?') > 0 OR regexp_matches(' ' || lower(k) || ' ', '\b(how to|what is|why do|is it)\b') THEN 'Questions'
     WHEN regexp_matches(' ' || lower(k) || ' ', '\s(vs\.?|versus|or|alternative|alternatives|compared to|comparison)\s') THEN 'Comparisons'
-    WHEN regexp_matches(' ' || lower(k) || ' ', '\s(for|with|without|to|near|like|from|in|on)\s') THEN 'Prepositions' WHEN len(string_split(k, ' ')) >= 4 THEN 'Long-tail' ELSE 'Related' END"""
-SENTENCES = """SELECT item, CASE item % 9 WHEN 0 THEN 'buy ' || k WHEN 1 THEN k || ' vs other' WHEN 2 THEN k || ' login' WHEN 3 THEN 'how to ' || k ELSE k END AS k FROM
-    (SELECT conv_id * 100 + turn AS item, regexp_extract(lower(text), '^[a-z]+( [a-z]+)*', 0) AS k FROM conversations) c WHERE k <> ''"""
-
-
-@query("intent_group", f"SELECT item, {INTENT} AS intent, {GROUP} AS grp FROM ({SENTENCES}) s")
-def intent_group(spark, d):
-    return derive(spark, d, SENTENCES).select("item", ph.intent(F.col("k")).alias("intent"), ph.group(F.col("k")).alias("grp"))
-
-
-@query("intent_group_turns")
+    WHEN regexp_matches(' ' || lower(k) || ' ', '\s(for|with|without|to|near|like|from|in|on)\s') THEN 'Prepositions' WHEN len(regexp_extract_all(k, '\S+')) >= 4 THEN 'Long-tail' ELSE 'Related' END"""
+@query("intent_group_turns", f"SELECT conv_id, turn, {INTENT} AS intent, {GROUP} AS grp FROM (SELECT conv_id, turn, text AS k FROM conversations) c")
 def intent_group_turns(spark, d):
-    """Intent and group of the whole text of every turn; the patterns' engines differ on other scripts, so there is no SQL."""
+    """Intent and group of the whole text of every turn."""
     return table(spark, d, "conversations").select("conv_id", "turn", ph.intent(F.col("text")).alias("intent"), ph.group(F.col("text")).alias("grp"))
 
 
 @query("group_counts", f"WITH {IDEAS} SELECT seed, grp, count(*) AS ideas FROM (SELECT seed, {GROUP} AS grp FROM (SELECT seed, keyword AS k FROM ideas) i) g GROUP BY ALL")
 def group_counts(spark, d):
-    return keywords.group_counts(keywords.idea_scores(suggestion_lists(spark, d), 120)).withColumnRenamed("group", "grp")
+    return keywords.group_counts(keywords.idea_scores(suggestion_lists(spark, d))).withColumnRenamed("group", "grp")
 
 
 @query("filtered_ideas", f"WITH {IDEAS} SELECT seed, keyword FROM (SELECT seed, keyword, keyword AS k FROM ideas) i WHERE {GROUP} = 'Prepositions' AND keyword LIKE '%the%'")
 def filtered_ideas(spark, d):
-    return keywords.filter_ideas(keywords.idea_scores(suggestion_lists(spark, d), 120), group="Prepositions", text="The").select("seed", "keyword")
+    return keywords.filter_ideas(keywords.idea_scores(suggestion_lists(spark, d)), group="Prepositions", text="The").select("seed", "keyword")
 
 
 @query("source_health", f"""SELECT seed, engine AS source, count(*) AS queries, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS failed,
@@ -266,23 +259,6 @@ def share_of_total(spark, d):
     return keywords.share_of_total(table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), "n")
 
 
-@query("json_suggestions", """SELECT doc_id, array_to_string([w1, w2], '|') AS suggestions FROM (SELECT doc_id, split_part(text, ' ', 1) AS w1, split_part(text, ' ', 2) AS w2 FROM documents
-    WHERE regexp_matches(text, '^[^ <]+ [^ <]+ ')) d WHERE trim(w1) = w1 AND trim(w2) = w2""")
-def json_suggestions(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike("^[^ <]+ [^ <]+ "))
-    w1, w2 = F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))
-    docs = docs.where((F.trim(w1) == w1) & (F.trim(w2) == w2))
-    source = F.element_at(F.array(F.lit("google"), F.lit("duckduckgo"), F.lit("amazon")), (F.col("doc_id") % 3 + 1).cast("int"))
-    quoted = lambda w: F.regexp_extract(F.to_json(F.struct(w.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
-    body = (
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('["q",["<b>'), F.regexp_extract(quoted(w1), '(?s)^"(.*)"$', 1), F.lit('</b>",['), quoted(w2), F.lit(",0]],{}]")))
-        .when(F.col("doc_id") % 3 == 1, F.concat(F.lit('[{"phrase":'), quoted(w1), F.lit('},{"phrase":'), quoted(w2), F.lit("},{}]")))
-        .otherwise(F.concat(F.lit('{"suggestions":[{"value":'), quoted(w1), F.lit('},{"value":'), quoted(w2), F.lit("}]}")))
-    )
-    parsed = js.parse_suggestions(docs.select("doc_id", source.alias("source"), body.alias("body")))
-    return parsed.select("doc_id", F.array_join("suggestions", "|").alias("suggestions"))
-
-
 @query("json_suggestions_whole")
 def json_suggestions_whole(spark, d):
     """All words of every text as an engine's answer in its own format; no SQL, as tags and entities are taken out of answers."""
