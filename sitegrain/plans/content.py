@@ -354,11 +354,6 @@ def page_scores(spark, d):
     return scores.join(table(spark, d, "pages").select("page_id", "url"), "url").drop("url")
 
 
-@query("page_scores_all_checks")
-def page_scores_all_checks(spark, d):
-    return checks.page_scores(checks.page_checks(checked_pages(spark, d)))
-
-
 @query("ordered_checks", f"""WITH {CHECK_BASE} SELECT page_id, check_id, CAST(place AS INT) AS place FROM (SELECT page_id, check_id, row_number() OVER (PARTITION BY page_id
     ORDER BY CASE status WHEN 'fail' THEN 0 ELSE 1 END, weight DESC, check_id) AS place FROM ({CHECK_SQL}) c WHERE status IN ('fail', 'warn')) q WHERE place <= 5""")
 def ordered_checks(spark, d):
