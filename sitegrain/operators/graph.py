@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import urls as ur
 from sitegrain.operators.ranking import fan_out, hot_keys, spread
-from sitegrain.session import cut_lineage, forget, shared_folder
+from sitegrain.session import append, bucketed, cut_lineage, forget
 
 
 def graph_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -21,54 +19,51 @@ def graph_edges(links: DataFrame, pages: DataFrame) -> DataFrame:
     return clicks.unionByName(hops).groupBy("site", "src", "dst").agg(F.min("w").alias("w"))
 
 
+def behind_redirects(edges: DataFrame) -> DataFrame | None:
+    """``(site, url, via)``: of each redirecting page all pages of its walk, itself first; None without redirects."""
+    hops = edges.where("w = 0").select("site", F.col("src").alias("url"), F.lit(301).alias("status"), F.col("dst").alias("redirect_to"))
+    return None if hops.isEmpty() else cut_lineage(redirect_chains(hops).select("site", "url", F.explode("chain").alias("via")).distinct())
+
+
 def click_depths(starts: DataFrame, edges: DataFrame, rows_per_part: int = 1_000_000) -> DataFrame:
     """Fewest clicks from a start page, ``(site, url, depth)``; unreachable pages have no row.
 
-    ``starts(site, url)`` may carry a ``depth`` of its own. Levels are settled one after another: the pages of a level are those that a click
-    from the level before reaches, with all that redirects reach from them, as far as no earlier level has them. A level is written once and
-    never again; a round joins only the newest pages with their out-edges and compares what they reach with the settled pages. The
-    edges are laid out once by (site, src); a hub's edges are dealt over several parts, so no task holds all links of one page.
+    ``starts(site, url)`` may carry a ``depth`` of its own. A redirect costs nothing, so first each click is made to reach all pages of its target's
+    redirect walk; then the pages of a level are those that a click from the level before reaches and no earlier level has. Both the edges, by
+    (site, src), and the settled pages, by (site, url), lie in bucketed tables: a level shuffles only what it reaches, once, and appends it. A
+    hub's edges are dealt over several parts, so no task holds all links of one page.
     """
-    hot = hot_keys(edges, ["site", "src"], rows_per_part)
-    hot = None if hot is None else cut_lineage(hot)
-    laid = cut_lineage(spread(edges, hot, ["site", "src"], ["dst"]).repartition("site", "src", "_part"))
     depth = F.col("depth") if "depth" in starts.columns else F.lit(0)
-    begin = cut_lineage(starts.groupBy("site", "url").agg(F.min(depth).alias("depth")))
-    redirects = not laid.where("w = 0").isEmpty()
-    spark, root, writes = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/levels-{uuid.uuid4().hex}", count()
-    schema = begin.select("site", "url", F.col("depth").cast("int").alias("depth")).schema
-    settled = lambda: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(root)
-
-    def settle(found: DataFrame, level: int) -> tuple[DataFrame, int]:
-        """Write the pages that no level has yet, and count them."""
-        fresh, seen, at = found.select("site", "url").distinct(), Observation(), next(writes)
-        if at:
-            fresh = fresh.join(settled().select("site", "url"), ["site", "url"], "left_anti")
-        fresh.withColumn("depth", F.lit(level).cast("int")).observe(seen, F.count("*").alias("rows")).write.parquet(f"{root}/{at}")
-        return spark.read.schema(schema).parquet(f"{root}/{at}"), seen.get["rows"]
-
-    def reached(front: DataFrame, weight: int) -> DataFrame:
-        from_pages = fan_out(front.select("site", F.col("url").alias("src")), hot, ["site", "src"])
-        return from_pages.join(laid.where(F.col("w") == weight), ["site", "src", "_part"]).select("site", F.col("dst").alias("url"))
-
+    begin, clicks, walks = starts.select("site", "url", depth.alias("depth")), edges.where("w <> 0").select("site", "src", "dst"), behind_redirects(edges)
+    if walks is not None:
+        # the same plan for starts and clicks: a page without a redirect stays as it is
+        begin = begin.join(walks, ["site", "url"], "left").select("site", F.coalesce("via", "url").alias("url"), "depth")
+        clicks = clicks.join(walks.withColumnRenamed("url", "dst"), ["site", "dst"], "left").select("site", "src", F.coalesce("via", "dst").alias("dst")).distinct()
+        clicks = cut_lineage(clicks)
+    begin = cut_lineage(begin.groupBy("site", "url").agg(F.min("depth").cast("int").alias("depth")))
+    hot = hot_keys(clicks, ["site", "src"], rows_per_part)
+    hot = None if hot is None else cut_lineage(hot)
+    laid = bucketed(spread(clicks, hot, ["site", "src"], ["dst"]), "site", "src", "_part")
     levels = sorted(r["depth"] for r in begin.select("depth").distinct().collect())  # a few distinct numbers
-    level, front = None, []
-    while levels or front:
-        if not front:
+    if not levels:
+        return begin
+    settled = bucketed(begin.where(F.col("depth") == levels[0]), "site", "url")
+    level, rows = levels.pop(0), 1
+    while rows or levels:
+        front = settled.where(F.col("depth") == level).select("site", F.col("url").alias("src"))
+        found = fan_out(front, hot, ["site", "src"]).join(laid, ["site", "src", "_part"]).select("site", F.col("dst").alias("url"))
+        level += 1
+        if not rows:
             level = levels[0]
-        found = [reached(pages, 1) for pages in front]
         if levels and levels[0] == level:
-            found.append(begin.where(F.col("depth") == level))
+            found = found.unionByName(begin.where(F.col("depth") == level).select("site", "url"))
             levels.pop(0)
-        front, (pages, rows) = [], settle(reduce(DataFrame.unionByName, found), level)
-        while rows:
-            front.append(pages)
-            if not redirects:
-                break
-            pages, rows = settle(reached(pages, 0), level)
-        level += 1
+        seen = Observation()
+        fresh = found.distinct().join(settled.select("site", "url"), ["site", "url"], "left_anti").withColumn("depth", F.lit(level).cast("int"))
+        settled = append(settled, fresh.observe(seen, F.count("*").alias("rows")))
+        rows = seen.get["rows"]
     forget(laid)
-    return settled() if next(writes) else spark.createDataFrame([], schema)
+    return settled
 
 
 def redirect_chains(pages: DataFrame) -> DataFrame:

@@ -66,9 +66,24 @@ def bucketed(df: DataFrame, *keys: str, buckets: int | None = None) -> DataFrame
     name = f"bucketed_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    _write_buckets(df, name, path, n, keys, "errorifexists")
+    return _bucketed_table(spark, name, path, n, keys)
+
+
+def append(table: DataFrame, more: DataFrame) -> DataFrame:
+    """A table that ``bucketed`` made, with further rows in their buckets; ``more`` may be read from the table itself."""
+    path, name, n, keys = table.settled_path, table.settled_name, table.settled_buckets, table.settled_keys
+    _write_buckets(more.select(*table.columns), name, path, n, keys, "append")
+    return _bucketed_table(table.sparkSession, name, path, n, keys)
+
+
+def _write_buckets(df: DataFrame, name: str, path: str, n: int, keys: tuple[str, ...], mode: str) -> None:
+    df.repartition(n, *keys).write.mode(mode).bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+
+
+def _bucketed_table(spark: SparkSession, name: str, path: str, n: int, keys: tuple[str, ...]) -> DataFrame:
     table = spark.table(name)
-    table.settled_path, table.settled_name = path, name
+    table.settled_path, table.settled_name, table.settled_buckets, table.settled_keys = path, name, n, keys
     return table
 
 
