@@ -54,8 +54,7 @@ DERIVED: dict[str, str] = {
         CASE WHEN h % 29 = 0 THEN 1 ELSE 0 END AS http_internal_links, CASE WHEN h % 31 = 0 THEN 2 ELSE 0 END AS mixed_content,
         {s('h % 200')} AS content_hash, CAST(floor(p_retailprice) + (h % 5) * 60 AS INT) AS ttfb_ms, CAST(h * 2000 AS INT) AS html_bytes,
         (h % 3 <> 0) AS compressed, (status = 200 AND h % 11 <> 0) AS is_html
-        FROM site_nodes JOIN (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part) described
-        ON place = (n + CAST(substr(site, 2) AS BIGINT) * 150) % (SELECT count(*) FROM part)""",
+        FROM site_nodes LEFT JOIN part ON p_partkey = (SELECT min(p_partkey) FROM part) + (n + CAST(substr(site, 2) AS BIGINT) * 150) % (SELECT max(p_partkey) - min(p_partkey) + 1 FROM part)""",
     "sites": f"""SELECT 's' || {s('s_suppkey')} AS site,
         CASE WHEN s_suppkey % 10 = 0 THEN 'http' ELSE 'https' END || '://s' || {s('s_suppkey')} || '.example.com/' AS final_url,
         (s_suppkey % 4 = 0) AS limit_reached, (s_suppkey % 6 <> 0) AS robots_found, (s_suppkey % 7 <> 0) AS sitemap_found,
