@@ -229,19 +229,23 @@ DEFAULT_SUFFIXES = [
 def with_registrable_domain(df: DataFrame, host: str, suffixes: DataFrame | None = None) -> DataFrame:
     """Adds ``public_suffix`` and ``domain`` (suffix plus one label); null for IP literals and bare suffixes.
 
-    ``suffixes(suffix)`` is a public-suffix table; its longest entry that ends the host wins, else the last label.
+    ``suffixes(suffix)`` is a public-suffix table of rules as its list has them: a name, ``*.name`` for any one label before a name, and ``!name`` for
+    an exception to such a rule, whose suffix is the name without its first label. An exception wins, then the longest match, else the last label.
+    Each host meets only rules that could be its own, by one join on the rule.
     """
     hosts = df.select(host).distinct()
     labels = F.split(F.col(host), r"\.")
-    tail = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    tails = hosts.where(F.col(host).contains(".") & ~is_ip_literal(F.col(host))).select(host, tail.alias("suffix"))
+    end = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    way = lambda rule, suffix, rank: F.struct(rule.alias("rule"), suffix.alias("suffix"), F.lit(rank).alias("rank"))
+    ways = F.flatten(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array(
+        way(end(i), end(i), 0), way(F.concat(F.lit("*."), end(i + 1)), end(i), 0), way(F.concat(F.lit("!"), end(i)), end(i + 1), 1))))
+    named = hosts.where(F.col(host).contains(".") & ~is_ip_literal(F.col(host))).select(host, F.explode(ways).alias("w")).select(host, "w.*")
     if suffixes is None:
-        known = tails.where(F.col("suffix").isin(DEFAULT_SUFFIXES) | ~F.col("suffix").contains("."))
+        ruled = named.where(F.col("rule").isin(DEFAULT_SUFFIXES))
     else:
-        known = tails.join(suffixes.select("suffix").distinct().withColumn("known", F.lit(True)), "suffix", "left").where(
-            F.col("known") | ~F.col("suffix").contains(".")
-        )
-    best = known.groupBy(host).agg(F.max_by("suffix", F.length("suffix")).alias("public_suffix"))
+        ruled = named.join(suffixes.select(F.lower("suffix").alias("rule")).distinct(), "rule").select(*named.columns)
+    last = hosts.where(F.col(host).contains(".") & ~is_ip_literal(F.col(host))).select(host, F.lit("").alias("rule"), F.substring_index(host, ".", -1).alias("suffix"), F.lit(0).alias("rank"))
+    best = ruled.unionByName(last).groupBy(host).agg(F.max_by("suffix", F.struct("rank", F.length("suffix"))).alias("public_suffix"))
     rest = F.expr(f"left(`{host}`, length(`{host}`) - length(public_suffix) - 1)")
     domain = F.when(rest != "", F.concat(F.substring_index(rest, ".", -1), F.lit("."), F.col("public_suffix")))
     return df.join(best.withColumn("domain", domain), host, "left")

@@ -163,12 +163,12 @@ def duplicate_issues(spark, d):
 
 @query("broken_internal_links", f"WITH {TARGETS} {BROKEN}")
 def broken_internal_links(spark, d):
-    return audit.broken_link_issues(audit.link_targets(edges_of(spark, d), pages_of(spark, d), landed(spark, d, "link_checks")))
+    return audit.broken_link_issues(audit.faulty_targets(edges_of(spark, d), pages_of(spark, d), landed(spark, d, "link_checks")))
 
 
 @query("links_to_redirect", f"WITH {TARGETS} {TO_REDIRECT}")
 def links_to_redirect(spark, d):
-    return audit.redirect_link_issues(audit.link_targets(edges_of(spark, d), pages_of(spark, d), landed(spark, d, "link_checks")))
+    return audit.redirect_link_issues(audit.faulty_targets(edges_of(spark, d), pages_of(spark, d), landed(spark, d, "link_checks")))
 
 
 @query("broken_images", IMAGES)

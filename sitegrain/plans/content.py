@@ -102,11 +102,16 @@ def typed_urls(spark, d):
     return table(spark, d, "pages").select("page_id", ur.parse_url_input(typed).alias("parsed"))
 
 
-@query("registrable_domains", r"""SELECT host, CASE WHEN host LIKE '%.co.uk' THEN regexp_extract(host, '[^.]+\.co\.uk$') ELSE regexp_extract(host, '[^.]+\.[^.]+$') END AS domain
-    FROM (SELECT DISTINCT replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '.org', '.co.uk') AS host FROM pages) h""")
+_RULED = "replace(replace(replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '.org', '.co.uk'), '.net', '.ck'), '.example.com', '.www.ck')"
+
+
+@query("registrable_domains", rf"""SELECT host, CASE WHEN host LIKE '%.co.uk' THEN regexp_extract(host, '[^.]+\.co\.uk$') WHEN host LIKE '%.www.ck' THEN 'www.ck' WHEN host LIKE '%.ck' THEN NULLIF(regexp_extract(host, '[^.]+\.[^.]+\.ck$'), '')
+    ELSE regexp_extract(host, '[^.]+\.[^.]+$') END AS domain FROM (SELECT DISTINCT {_RULED} AS host FROM pages) h""")
 def registrable_domains(spark, d):
-    hosts = table(spark, d, "pages").select(F.replace(ur.host_of(F.col("url")), F.lit(".org"), F.lit(".co.uk")).alias("host")).distinct()
-    return ur.with_registrable_domain(hosts, "host").select("host", "domain")
+    """Hosts of the pages moved below suffixes of every kind of rule: a name, a wildcard and its exception."""
+    rules = spark.sql("SELECT suffix FROM VALUES ('com'), ('uk'), ('co.uk'), ('*.ck'), ('!www.ck') AS rules(suffix)")
+    hosts = table(spark, d, "pages").select(F.expr(_RULED).alias("host")).distinct()
+    return ur.with_registrable_domain(hosts, "host", rules).select("host", "domain")
 
 
 @query("breadcrumbs", r"""SELECT page_id, substr(regexp_replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '^www\.', '') || CASE WHEN path IN ('', '/') THEN '' ELSE ' › ' || array_to_string(list_filter(string_split(path, '/'),

@@ -76,6 +76,16 @@ def test_url_rules(spark):
     assert {r["u"]: r["r"] for r in spark.createDataFrame([(k,) for k in reasons], "u string").select("u", ur.reject_reason(F.col("u")).alias("r")).collect()} == reasons
 
 
+def test_registrable_domain_by_wildcards_and_exceptions(spark):
+    rules = spark.createDataFrame([("com",), ("ck",), ("*.ck",), ("!www.ck",), ("*.kawasaki.jp",), ("!city.kawasaki.jp",), ("jp",), ("Co.UK",)], "suffix string")
+    want = {
+        "a.b.shop.ck": "b.shop.ck", "shop.ck": None, "www.ck": "www.ck", "x.www.ck": "www.ck", "a.city.kawasaki.jp": "city.kawasaki.jp", "city.kawasaki.jp": "city.kawasaki.jp",
+        "a.b.c.kawasaki.jp": "b.c.kawasaki.jp", "c.kawasaki.jp": None, "kawasaki.jp": "kawasaki.jp", "a.b.co.uk": "b.co.uk", "a.b.unknown": "b.unknown", "10.0.0.1": None, "localhost": None, "b.com": "b.com",
+    }
+    hosts = spark.createDataFrame([(h, i) for i, h in enumerate(want)], "host string, rule int")
+    assert {r["host"]: r["domain"] for r in ur.with_registrable_domain(hosts, "host", rules).collect()} == want
+
+
 def test_registrable_domain_with_a_suffix_table(spark):
     hosts = spark.createDataFrame([("a.b.foo.bar",), ("x.co.uk",), ("1.2.3.4",), ("deep.x.github.io",)], "host string")
     suffixes = spark.createDataFrame([("foo.bar",)], "suffix string")
