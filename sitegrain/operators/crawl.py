@@ -36,11 +36,11 @@ class Crawl:
     external: DataFrame
 
 
-def page_facts(responses: DataFrame) -> DataFrame:
-    """The responses (url, html and any of ``RESPONSE``) with the fields that rules need; fragments of addresses are cut off."""
+def page_facts(responses: DataFrame, ended: bool = False) -> DataFrame:
+    """The responses (url, html and any of ``RESPONSE``) with the fields that rules need; fragments of addresses are cut off. ``ended`` as in ``fields.extract``."""
     rows = responses.withColumns({n: F.expr(c) for n, c in RESPONSE.items() if n not in responses.columns})
     rows = rows.withColumns({"html_bytes": F.coalesce(F.octet_length("html"), F.lit(0)), "url": F.regexp_replace("url", "#.*$", "")})
-    found = fields.extract(rows.select("url", "html", "html_bytes", *RESPONSE), WANTED)
+    found = fields.extract(rows.select("url", "html", "html_bytes", *RESPONSE), WANTED, ended=ended)
     return found.withColumn("site", ur.strip_www(ur.host_of(F.col("url"))))
 
 
@@ -73,9 +73,9 @@ def edge_rows(facts: DataFrame) -> DataFrame:
     return rows.select("site", "src", "e.dst", "e.kind", F.col("e.ord").cast("bigint").alias("ord"))
 
 
-def landed_crawl(responses: DataFrame, sitemap: DataFrame, buckets: int | None = None) -> Crawl:
+def landed_crawl(responses: DataFrame, sitemap: DataFrame, buckets: int | None = None, ended: bool = False) -> Crawl:
     """Pages with inlinks and sitemap marks, and edges, of landed responses and the locations of sitemaps (site, loc)."""
-    facts = cut_lineage(page_facts(responses))
+    facts = cut_lineage(page_facts(responses, ended))
     once = edge_rows(facts).groupBy("site", "dst", "src", "kind").agg(F.min("ord").alias("ord"))
     edges = bucketed(once, "site", "dst", buckets=buckets)
     internal = edges.where("kind = 'internal'").select("site", "src", "dst", "ord")
