@@ -11,18 +11,25 @@ from sitegrain.functions import phrases as ph
 from sitegrain.functions import text as tx
 from sitegrain.functions import urls as ur
 from sitegrain.operators.ranking import top_n
+from sitegrain.session import cut_lineage
 
 
 def top_ngrams(texts: DataFrame, key: str, text: str, n: int, limit: int = 15) -> DataFrame:
     """Most frequent phrases of n words per text with their share of its words.
 
-    The texts are dealt by key once, before they grow into phrases; counting and ranking then need no further shuffle.
+    A text whose key no other row has is counted and cut to its best phrases within its row, so no phrase is shuffled and a task holds one text at
+    a time. Only rows that share a key are turned into phrases that meet by key.
     """
     tokens = F.filter(tx.tokenize(F.col(text)), lambda t: ~t.rlike(r"^\d+$"))
-    dealt = texts.select(key, text).repartition(key).select(key, tokens.alias("tokens"))
-    rows = dealt.select(key, F.size("tokens").alias("total"), F.explode(tx.ngrams(F.col("tokens"), n)).alias("phrase"))
-    counted = rows.groupBy(key, "phrase").agg(F.count("*").alias("count"), F.first("total").alias("total")).where("count >= 2")
-    ranked = top_n(counted, [key], [F.col("count").desc(), F.col("phrase")], limit, "rank")
+    repeated = cut_lineage(texts.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    parts = lambda how: texts.select(key, text).join(repeated, same, how).select(key, tx.let(tokens, lambda t: F.struct(F.size(t).alias("total"), tx.ngrams(t, n).alias("phrases"))).alias("t"))
+    best = F.slice(F.array_sort(tx.repetitions(F.col("t.phrases"))), 1, limit)
+    own = parts("left_anti").select(key, F.col("t.total").alias("total"), F.posexplode(best).alias("at", "b")).select(
+        key, F.col("b.phrase").alias("phrase"), (-F.col("b.less")).cast("bigint").alias("count"), "total", (F.col("at") + 1).alias("rank"))
+    rows = parts("left_semi").select(key, F.col("t.total").alias("total"), F.explode("t.phrases").alias("phrase"))
+    counted = rows.groupBy(key, "phrase").agg(F.count("*").alias("count"), F.max("total").alias("total")).where("count >= 2")
+    ranked = own.unionByName(top_n(counted, [key], [F.col("count").desc(), F.col("phrase")], limit, "rank"))
     share = F.floor(F.col("count") * n / F.col("total") * 10000 + 0.5) / 100
     return ranked.select(key, "phrase", "count", share.alias("density"), "rank")
 
