@@ -48,9 +48,14 @@ def idea_scores(suggestions: DataFrame, longest: int | None = None) -> DataFrame
     position = F.col("at") + 1
     # Shares are summed as integers (units of 2^-40), so the sum does not depend on the order of rows.
     share = F.sum(F.floor(F.lit(2.0**40) / position))
-    ideas = rows.groupBy("seed", "keyword").agg(share.alias("_share"), F.min(position).alias("best_position"), F.count("*").alias("appearances"), F.collect_set("source").alias("_sources"))
+    # Per source first: plain sums shrink before they are shuffled, and sets are gathered of what is left.
+    placed = rows.groupBy("seed", "keyword", "source").agg(share.alias("_share"), F.min(position).alias("_best"), F.count("*").alias("_n"))
+    ideas = placed.groupBy("seed", "keyword").agg(
+        F.sum("_share").alias("_share"), F.min("_best").alias("best_position"), F.sum("_n").alias("appearances"), F.collect_set("source").alias("_sources"))
     named = ideas.select("seed", "keyword", "_share", "best_position", "appearances", F.array_sort("_sources").alias("sources"))
     weighted = named.withColumn("raw", F.col("_share") / F.lit(2.0**40) * (1 + 0.25 * (F.size("sources") - 1)))
+    # Scores, clusters and counts read the ideas several times; they are written once so that no text is read again.
+    weighted = cut_lineage(weighted)
     best = weighted.groupBy("seed").agg(F.max("raw").alias("best"))
     score = F.greatest(F.lit(1), F.floor(F.col("raw") / F.greatest(F.col("best"), F.lit(1e-9)) * 100 + 0.5)).cast("int")
     return weighted.join(best, "seed").select(
