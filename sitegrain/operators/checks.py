@@ -146,8 +146,8 @@ def structured_types() -> Column:
     return F.array_distinct(F.concat(F.flatten(F.transform("json_ld", lambda j: j["types"])), F.col("microdata_types")))
 
 
-def page_checks(pages: DataFrame, registry: list[Check] | None = None) -> DataFrame:
-    """``(url, check_id, category, status, value, weight)``: all checks are made in one scan of the pages."""
+def page_checks(pages: DataFrame, registry: list[Check] | None = None, key: str = "url") -> DataFrame:
+    """``(url, check_id, category, status, value, weight)``: all checks are made in one scan of the pages. ``key`` names pages that share an address."""
     keyword = F.nullif(F.trim(F.lower("keyword")), F.lit(""))
     tokens = F.when(F.col("kw").isNotNull(), tx.tokenize(F.col("main_text")))
     staged = (
@@ -164,16 +164,16 @@ def page_checks(pages: DataFrame, registry: list[Check] | None = None) -> DataFr
         for c in (registry or page_check_registry())
     ])
     rows = F.explode(F.filter(results, lambda r: r.isNotNull()))
-    return staged.select("url", rows.alias("r")).select("url", "r.*")
+    return staged.select(key, rows.alias("r")).select(key, "r.*")
 
 
-def page_scores(checks: DataFrame) -> DataFrame:
+def page_scores(checks: DataFrame, key: str = "url") -> DataFrame:
     """Weighted share of passed checks per page, in whole percent; warnings count half."""
     scored = (F.col("status") != INFO) & (F.col("weight") > 0)
     earned = F.sum(F.when(scored, F.col("weight") * F.when(F.col("status") == PASS, 1.0).when(F.col("status") == WARN, 0.5).otherwise(0.0)))
     total = F.sum(F.when(scored, F.col("weight")))
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in (PASS, WARN, FAIL, INFO)]
-    return checks.groupBy("url").agg(F.coalesce(F.floor(earned / total * 100 + 0.5), F.lit(0)).cast("int").alias("score"), *counts)
+    return checks.groupBy(key).agg(F.coalesce(F.floor(earned / total * 100 + 0.5), F.lit(0)).cast("int").alias("score"), *counts)
 
 
 def order_checks(checks: DataFrame) -> DataFrame:
