@@ -6,8 +6,9 @@ leaves come out in the order of promise. How many leaves are visited is calibrat
 best leaf is, and for each quarter of them the visits widen until the recall of their true neighbours within the sample reaches
 ``recall``. Queries between rows of tight clusters visit a few leaves and those in empty space many.
 
-Rows of a leaf are dealt over as many blocks as its size asks for and so are its queries; a block of rows meets a block of queries as one
-matrix product. Scores that are returned are computed again from the original vectors, in double precision.
+Neighbouring leaves share a block of rows, and a leaf too large for one is dealt over several. A query goes once to each block that holds leaves it
+visits, with their names, not once to every leaf; there it meets the rows of these leaves only, as matrix products. Scores that are returned are
+computed again from the original vectors, in double precision.
 
 Defined results: vectors that are null, zero, of another length than the commonest, or hold null or non-finite components take no part.
 With fewer rows than k, all are returned.
@@ -31,8 +32,10 @@ from sitegrain.session import cut_lineage
 SAMPLE, TRIALS = 20_000, 400
 #: Children of a node, and rows that a leaf should hold as long as the tree is not at its greatest depth.
 BRANCH, LEAF_ROWS, DEPTH = 8, 1024, 4
-#: Rows and queries of a block.
-ROWS, QUERIES = 8192, 2048
+#: Rows and queries of a block, at most, and blocks of rows that even a small table has.
+ROWS, QUERIES, SPREAD = 8192, 8192, 32
+#: Queries on their way to blocks, and scores of a block, that a worker holds at a time.
+SENT, SCORES = 4096, 1 << 21
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -159,34 +162,84 @@ def _to_leaf(tree: Tree):
     return run
 
 
-def _to_leaves(tree: Tree, counts: np.ndarray, k: int):
+def _deal(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each leaf, -1 where it is empty, and its number of blocks. Leaves beside each other share a block as long as it holds
+    ``ROWS`` rows at most, fewer in a small table, so that it has about ``SPREAD`` blocks; a larger leaf has several of its own."""
+    size = int(np.clip(counts.sum() // SPREAD, min(LEAF_ROWS, ROWS), ROWS))
+    first, parts = np.full(len(counts), -1), np.ones(len(counts), np.int64)
+    blocks, room = 0, 0
+    for leaf in np.flatnonzero(counts).tolist():
+        n = int(counts[leaf])
+        if n > room:
+            first[leaf], parts[leaf] = blocks, -(-n // size)
+            blocks += int(parts[leaf])
+            room = max(0, size - n)
+        else:
+            first[leaf] = blocks - 1
+            room -= n
+    return first, parts
+
+
+def _to_blocks(tree: Tree, counts: np.ndarray, first: np.ndarray, parts: np.ndarray, k: int):
+    """A query goes once to each block that holds leaves it visits, with their names. At most about ``SENT`` rows are held at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                visited = [tree.leaves_for(q, counts, k) for q in _unit(matrix(batch.column("v")))]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in visited]))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("v").take(at), pa.array(np.concatenate(visited), pa.int32())], ["id", "v", "leaf"])
+            at: list[int] = []
+            to: list[int] = []
+            named: list[np.ndarray] = []
+            for i, q in enumerate(_unit(matrix(batch.column("v"))) if batch.num_rows else []):
+                leaves = np.sort(np.asarray(tree.leaves_for(q, counts, k)))
+                leaves = leaves[first[leaves] >= 0]
+                blocks, begin = np.unique(first[leaves], return_index=True)
+                for block, own in zip(blocks.tolist(), np.split(leaves, begin[1:]), strict=bool(len(blocks))):
+                    n = int(parts[own[0]])
+                    at += [i] * n
+                    to += range(block, block + n)
+                    named += [own] * n
+                if at and (len(at) >= SENT or i + 1 == batch.num_rows):
+                    ends = pa.array(np.cumsum([0, *map(len, named)]), pa.int32())
+                    lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(named), pa.int32()))
+                    rows = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("v").take(rows), pa.array(to, pa.int32()), lists], ["id", "v", "block", "leaves"])
+                    at, to, named = [], [], []
 
     return run
 
 
 def _best_of_block(k: int):
     def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        q_id, r_id = (t.column("id").to_numpy() for t in (queries, rows))
-        found: list[tuple] = []
-        if len(q_id) and len(r_id):
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if queries.num_rows and rows.num_rows:
+            rows = rows.sort_by("leaf")
+            q_id, r_id = (t.column("id").to_numpy() for t in (queries, rows))
             q, r = matrix(queries.column("v")), matrix(rows.column("v"))
             q_norm, r_norm = (np.sqrt((x * x).sum(1)) for x in (q, r))
-            unit = _unit(r).T
-            for i in range(len(q_id)):
-                s = (q[i] / q_norm[i]) @ unit
-                s[r_id == q_id[i]] = -np.inf
-                least = np.partition(s, max(0, len(s) - k))[max(0, len(s) - k)] - 1e-9
-                near = np.flatnonzero((s >= least) & (s > -np.inf))
-                exact = (r[near] * q[i]).sum(1) / (r_norm[near] * q_norm[i])
-                for j in np.lexsort((r_id[near], -exact))[:k].tolist():
-                    found.append((int(q_id[i]), int(r_id[near[j]]), float(exact[j])))
-        columns = [*zip(*found, strict=True)] if found else [[], [], []]
+            q_unit, r_unit = _unit(q), _unit(r)
+            leaves, begin = np.unique(rows.column("leaf").to_numpy(), return_index=True)
+            end = np.append(begin[1:], len(r))
+            lists = queries.column("leaves").combine_chunks()
+            asking, asked = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            step = max(1, SCORES // len(r))
+            for low in range(0, len(q), step):
+                high = min(low + step, len(q))
+                own = slice(*np.searchsorted(asking, [low, high]))
+                s = np.full((high - low, len(r)), -np.inf)
+                order = np.argsort(asked[own], kind="stable")
+                names, by = asked[own][order], asking[own][order]
+                for leaf, a, b in zip(leaves.tolist(), begin.tolist(), end.tolist(), strict=True):
+                    who = by[slice(*np.searchsorted(names, [leaf, leaf + 1]))]
+                    if len(who):
+                        s[who - low, a:b] = q_unit[who] @ r_unit[a:b].T
+                s[q_id[low:high, None] == r_id] = -np.inf
+                last = max(0, len(r) - k)
+                least = np.partition(s, last, axis=1)[:, last] - 1e-9
+                for i in range(low, high):
+                    near = np.flatnonzero((s[i - low] >= least[i - low]) & (s[i - low] > -np.inf))
+                    exact = (r[near] * q[i]).sum(1) / (r_norm[near] * q_norm[i])
+                    best = np.lexsort((r_id[near], -exact))[:k]
+                    found.append((np.full(len(best), q_id[i]), r_id[near[best]], exact[best]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
     return run
@@ -204,13 +257,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.
     sizes = placed.groupBy("leaf").count().toArrow()  # a row for each leaf, of which there are BRANCH ** DEPTH at most
     counts = np.zeros(tree.leaves, np.int64)
     counts[sizes.column("leaf").to_numpy()] = sizes.column("count").to_numpy()
-    asked = cut_lineage(rows.join(chosen, "id", "left_semi").mapInArrow(_to_leaves(tree, counts, k), "id long, v array<double>, leaf int"))
-    blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / ROWS).cast("int").alias("nx"))
-    blocks = blocks.join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("ny")), "leaf")
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(blocks, "leaf").select("id", "v", "leaf", every("nx").alias("x"), block("ny").alias("y"))
-    right = placed.join(blocks, "leaf").select("id", "v", "leaf", block("nx").alias("x"), every("ny").alias("y")).toDF("id", "v", "leaf", "x", "y")
-    best = left.groupBy("leaf", "x", "y").cogroup(right.groupBy("leaf", "x", "y")).applyInArrow(_best_of_block(k), "query_id long, vec_id long, score double")
+    first, parts = _deal(counts)
+    spark = vectors.sparkSession
+    queries = rows.join(chosen, "id", "left_semi").repartition(spark.sparkContext.defaultParallelism, "id")
+    asked = cut_lineage(queries.mapInArrow(_to_blocks(tree, counts, first, parts, k), "id long, v array<double>, block int, leaves array<int>"))
+    dealt = spark.createDataFrame(list(zip(range(tree.leaves), first.tolist(), parts.tolist(), strict=True)), "leaf int, first int, parts int")
+    groups = asked.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    left = asked.join(groups, "block").select("id", "v", "leaves", "block", part("groups").alias("y"))
+    held = placed.join(dealt, "leaf").withColumn("block", F.col("first") + part("parts"))
+    right = held.join(groups, "block").select("id", "v", "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("y"))
+    best = left.groupBy("block", "y").cogroup(right.groupBy("block", "y")).applyInArrow(_best_of_block(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
