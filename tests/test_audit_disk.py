@@ -16,7 +16,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["issue_rollup"])
+@pytest.mark.parametrize("name", ["health_score", "issue_rollup"])
 def test_links_are_deleted_once_their_findings_are_written(spark, name):
     folder = shared_folder(spark).removeprefix("file:")
     before = set(os.listdir(folder))
