@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from sitegrain.operators import audit
 from sitegrain.plans import QUERIES
 from sitegrain.session import cut_lineage, shared_folder
+from sitegrain.sources import sinks
 
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["health_score", "issue_rollup"])
+@pytest.mark.parametrize("name", ["health_score", "issue_rollup", "issues_export"])
 def test_links_are_deleted_once_their_findings_are_written(spark, name):
     folder = shared_folder(spark).removeprefix("file:")
     before = set(os.listdir(folder))
@@ -47,3 +48,10 @@ def test_findings_are_rolled_up_in_one_shuffle(spark):
     rolled = audit.issue_rollup(findings)
     assert plan_of(rolled).count("Exchange") == 1
     assert sorted((r.site, r["count"], [tuple(u) for u in r.urls]) for r in rolled.collect()) == [("a", 3, [("u1", None), ("u1", "x"), ("u2", None)]), ("b", 1, [("u", "y")])]
+    exported = sinks.findings_export(findings)
+    assert exported.columns == sinks.issues_export(rolled).columns
+    assert sorted(map(tuple, exported.collect())) == sorted(map(tuple, sinks.issues_export(rolled).collect()))
+
+
+def test_exported_findings_are_not_grouped(spark):
+    assert "collect_list" not in plan_of(QUERIES["issues_export"](spark, SMALL))
